@@ -1,7 +1,7 @@
 """Exact SentencePiece merge-type (BPE) encoding by backtracking, and decoding.
 
-Method: an Aho-Corasick automaton over the pieces lists the matches at every
-position, longest first.  A match is taken if it is compatible with the token
+Method: an Aho-Corasick automaton over the pieces gives the longest match at a
+position, and shorter ones follow.  A match is taken if it is compatible with the token
 before it: re-merging the two tokens' joint text must give the same two tokens
 (answers are remembered by pair).  When no match at a position fits, its bit in
 a bitfield of failed positions is set and the previous choice is undone.  The
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Segments remembered by a worker; the table is emptied when full.
-MEMORY = 500_000
+MEMORY = 800_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -100,36 +100,30 @@ class PieceModel:
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a segment whose characters all occur in pieces and that has no run of marks."""
-        at: list[list[int]] = [[] for _ in text]
-        for last, size in self.automaton.iter(text):
-            at[last - size + 1].append(size)  # a position's matches come shortest first
-        n, failed, pos, k, left = len(text), 0, 0, -1, ""  # failed: bit p set if nothing from p reaches the end
+        ids, pair_ok, reach = self.ids, self.pair_ok, self.automaton.longest_prefix
+        n, pos, failed, left, size = len(text), 0, 0, "", -1  # failed: bit p set if nothing from p reaches the end
         taken: list[str] = []
-        choices: list[int] = []
-        pair_ok = self.pair_ok
         while pos < n:
-            sizes = at[pos]
-            least = -len(sizes)
-            while k >= least:
-                end = pos + sizes[k]
-                if not failed >> end & 1:
-                    piece = text[pos:end]
+            if size < 0:
+                size = reach(text[pos:])
+            while size:
+                piece = text[pos : pos + size]
+                if piece in ids and not failed >> pos + size & 1:
                     ok = pair_ok.get((left, piece))
                     if self.compatible(left, piece) if ok is None else ok:
                         break
-                k -= 1
-            if k >= least:
+                size -= 1
+            if size:
                 taken.append(piece)
-                choices.append(k)
-                pos, k, left = end, -1, piece
+                pos, left, size = pos + size, piece, -1
             elif not taken:
                 raise ValueError(f"no encoding of {text!r}")
             else:
                 failed |= 1 << pos
-                pos -= len(taken.pop())
-                k = choices.pop() - 1
+                size = len(taken.pop())
+                pos -= size
+                size -= 1
                 left = taken[-1] if taken else ""
-        ids = self.ids
         return [ids[p] for p in taken]
 
     def segment(self, text: str) -> list[int]:
@@ -181,30 +175,34 @@ def _lenient(raw: bytes) -> str:
 
 
 class _Words(dict):
-    """Word to (its ids as text, its surface); a key that starts with a newline follows no mark."""
+    """Word to its ids as text; a key that starts with a newline follows no mark."""
 
     def __init__(self, model: PieceModel):
         self.model = model
 
-    def __missing__(self, word: str) -> tuple[str, bytes]:
+    def __missing__(self, word: str) -> str:
         m = self.model
-        if word[:1] == "\n":
-            # a newline lies in no piece, so the rest stands by itself
+        if word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
             ids = [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else [])
+            shown = word
         else:
-            ids = m.segment(MARK + word)
+            ids, shown = m.segment(MARK + word), " " + word
+        if b"".join([m.surface[i] for i in ids]) != shown.encode():
+            raise ValueError(f"{word!r} isn't decoded as it was encoded")
         if len(self) >= MEMORY:
             self.clear()
-        found = self[word] = (" ".join(map(str, ids)), b"".join(m.surface[i] for i in ids))
+        found = self[word] = " ".join(map(str, ids))
         return found
 
 
-_MODELS: dict[str, PieceModel] = {}
+_MODELS: dict[str, tuple[PieceModel, _Words]] = {}
 
 
-def piece_model(path: str) -> PieceModel:
+def piece_model(path: str) -> tuple[PieceModel, _Words]:
+    """The model and the words met so far, kept by a worker from task to task."""
     if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
+        model = PieceModel(path)
+        _MODELS[path] = model, _Words(model)
     return _MODELS[path]
 
 
@@ -212,9 +210,8 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: st
     """Per document its number of ids and the SHA-256 of the ids and of the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(model_path)
+        model, words = piece_model(model_path)
         plain = "\n" not in model.known
-        words = _Words(model)
         tail = str(model.end)
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
@@ -225,9 +222,8 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: st
                     ids = model.encode(t)[:-1]
                     ids_text, raw = " ".join(map(str, ids)), model.decode(ids).encode()
                 else:
-                    found = [words[w] for w in t.replace("\n", " \n").split(" ")]
-                    ids_text = " ".join([f[0] for f in found])
-                    raw = b"".join([f[1] for f in found])[1:]
+                    # a mark starts each word and each word is decoded as itself (checked when it is first met)
+                    ids_text, raw = " ".join([words[w] for w in t.replace("\n", " \n").split(" ")]), t.encode()
                 counts.append(ids_text.count(" ") + 2 if ids_text else 1)
                 ids_hex.append(hashlib.sha256((f"{ids_text} {tail}" if ids_text else tail).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(raw).hexdigest())
@@ -243,7 +239,7 @@ def encode_ids(docs: DataFrame, model_path: str, text: str = "text", key: str =
     """Per document all its ids, the end id last: ``doc_id, ids array<int>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(model_path)
+        model, _ = piece_model(model_path)
         for batch in batches:
             ids = [model.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
