@@ -31,8 +31,8 @@ from .bytesio import U64, column_bytes, lower_ascii, runs, segment_sums, steps,
 from .components import connected_components
 from .scratch import materialize
 
-#: Points of the driver's sample, and points that a leaf should hold.
-SAMPLE, LEAF = 8192, 2048
+#: Points of the driver's sample, points that a leaf should hold, and leaves of a smaller table.
+SAMPLE, LEAF, SHARDS = 8192, 4096, 64
 RADIUS = 4
 LANES = U64(0x0101010101010101)
 
@@ -166,7 +166,7 @@ def near_duplicate_links(points: DataFrame, radius: int = RADIUS, leaf: int = LE
     """``points(fp, node)``, one row per fingerprint, to a spanning set ``a, b`` of the links within ``radius``."""
     total = points.count()
     sample = np.array([r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(U64)
-    tree = VantageTree(sample, total, leaf, radius)
+    tree = VantageTree(sample, total, max(64, min(leaf, total // SHARDS)), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
