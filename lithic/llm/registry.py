@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint_iblt, language_ppm, pii_feistel, piece_encoding, simhash_vptree, source_mixing, topk_bitsliced, toxicity_kneser_ney
+from . import fingerprint_iblt, language_ppm, license_minhash, pii_feistel, piece_encoding, simhash_vptree, source_mixing, topk_bitsliced, toxicity_kneser_ney
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_feistel.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_minhash.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_iblt.fingerprint_versions(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_topk_bitsliced": op6_topk_bitsliced,
         "op7_pii_pseudonyms": op7_pii_pseudonyms,
+        "op8_license_scans": op8_license_scans,
         "op9_document_fingerprints": op9_document_fingerprints,
         "op10_sentencepiece": op10_sentencepiece,
     }
