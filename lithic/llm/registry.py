@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint_iblt, language_ppm, license_minhash, pii_feistel, piece_encoding, simhash_vptree, source_mixing, topk_bitsliced, toxicity_kneser_ney
+from . import fingerprint_iblt, language_ppm, license_minhash, pii_feistel, piece_encoding, simhash_vptree, source_mixing, suffix_dedup, topk_bitsliced, toxicity_kneser_ney
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity_kneser_ney.train_toxicity(docs, labels)
@@ -72,6 +76,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_language_id": op5_language_id,
