@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own = ""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -16,9 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        known = getattr(spark, "_lithic_scratch", None)
-        found = known or tempfile.mkdtemp(prefix="lithic-")
-        spark._lithic_scratch = found
+        global _own
+        found = _own = _own or tempfile.mkdtemp(prefix="lithic-")
     return found.rstrip("/")
 
 
