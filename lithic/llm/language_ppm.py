@@ -35,8 +35,9 @@ from .bytesio import U64, KeyTable, column_bytes, segment_sums, steps
 
 #: Longest context in bytes, and training documents of a language (a bounded sample).
 ORDER, TRAIN_DOCS = 4, 400
-#: Bits a byte from which no learned language explains a text: an order -1 byte costs 8 bits and the escapes to it.
-REJECT_BITS = 7.5
+#: Bits a byte from which no learned language explains a text: nearly every byte then is one no training text
+#: has, at 8 bits and the escapes down to them (another script).  Unusual words in known letters cost up to about 10.
+REJECT_BITS = 14.0
 UNKNOWN = "und"
 
 
