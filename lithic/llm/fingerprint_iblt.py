@@ -1,7 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraph pieces.
 
-A text is a set of pieces (lines, cut further after punctuation) of which each is
-a 64-bit hash.  The low hash bits deal the pieces to groups of up to about 4, so
+A text is a set of pieces of which each is a 64-bit hash: its lines, cut further
+after about half of the sentence ends (those whose last letter is a to m, so the
+cuts depend on the words around them only).  The low hash bits deal the pieces to groups of up to about 4, so
 the work for a text grows little faster than its length.  A group's sketch has three tables
 of cells; a piece is added to one cell of each (count, xor of hashes, xor of
 check hashes).  Sketches of two versions subtract cell by cell, which leaves
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 #: Cells of a table at first and when tried again, peeling rounds, pieces of a group.
-CELLS, RETRIES, ROUNDS, GROUP = 4, (16, 64, 256, 1024), 16, 4
+CELLS, RETRIES, ROUNDS, GROUP = 4, (8, 32, 128, 1024), 16, 4
 #: Bits of a hash that deal to groups, at most; the next 36 choose cells.
 GROUP_BITS = 16
 #: Bins of ids that are counted on the driver, and rows that a bucket should hold.
@@ -36,7 +37,7 @@ BROADCAST_CHARS = 32_000_000
 
 def pieces(text: str) -> str:
     """SQL: distinct hashes of the pieces of a text."""
-    return rf"array_distinct(transform(filter(split({text}, '(?<=[^\\p{{L}}\\p{{N}},])\\s+|\\n+'), u -> u <> ''), u -> xxhash64(u)))"
+    return rf"array_distinct(transform(array_remove(split({text}, '(?=\\s)(?<=[a-m] ?[^\\p{{L}}\\p{{N}}\\s,]{{1,4}})\\s+|\\n+'), ''), u -> xxhash64(u)))"
 
 
 def groups(sets: str) -> str:
