@@ -11,7 +11,11 @@ A byte goes if some string of ``LENGTH`` bytes that covers it starts earlier too
    a batch.
 2. Contexts are ordered by anchor and content: of equal ones all but the first
    are repeats.  Anchors with several different contexts go on, one row a context.
-3. Shards of those contexts are suffix-sorted and their Burrows-Wheeler
+3. The strings of a context fall into classes by the anchor's offset; all strings
+   of a class share a core of ``LENGTH - CLASS + 1`` bytes.  Only regions (the
+   union of a class's strings) whose core occurs in another context go on, equal
+   ones again once.
+4. Shards of those regions are suffix-sorted and their Burrows-Wheeler
    transforms merged: the interleave of two sorted shards starts as "first, then
    second" and is refined by one symbol a round, each round a stable distribution
    of the merged transform by its symbols; a boundary that appears in round h
@@ -19,13 +23,13 @@ A byte goes if some string of ``LENGTH`` bytes that covers it starts earlier too
    rounds, what lies between boundaries are the repeated strings, and all
    but the earliest start of each are covered.
 
-Contexts of one anchor meet in one task: a common passage with different
-surroundings in every document makes that anchor's group as large as the number
-of documents (its exact repeats are taken out before).
+Regions of one core meet in one task: a common passage with different
+surroundings in every document makes the groups at its edges as large as the
+number of documents (exact repeats are taken out before).
 
 Defined results: null is the empty text; texts shorter than ``LENGTH`` keep all
 bytes; strings never cross documents; rows of one id are taken as copies of one
-document; hashes of 128 bits stand for equal contexts in step 2.
+document; hashes of 128 bits stand for equal contexts and regions.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ from .scratch import materialize
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
+#: Offsets of an anchor in one class.
+CLASS = 17
 #: Contexts of a shard; two shards are merged at a time.
 SHARD = 512
 STEP = 1 << 20
@@ -139,25 +145,25 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
 
 def first_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of anchors that are the first of their context in a batch (kind 0), and intervals of the others (kind 1)."""
-    names = ["kind", "anchor", "ctx", "id", "s", "e"]
+    names = ["kind", "anchor", "ctx", "id", "a", "e"]
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         raw, at = column_bytes(batch.column(1))
         parts = []
         for i, _, part, offs in steps(raw, at, STEP):
-            doc, _, s, e, anchor, ctx = anchors(part, offs)
-            parts.append((ids[doc + i], s, e, anchor, ctx))
+            doc, a, _, e, anchor, ctx = anchors(part, offs)
+            parts.append((ids[doc + i], a, e, anchor, ctx))
         if not parts:
             continue
-        doc, s, e, anchor, ctx = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        order = np.lexsort((s, doc, ctx))
-        doc, s, e, anchor, ctx = doc[order], s[order], e[order], anchor[order], ctx[order]
+        doc, a, e, anchor, ctx = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        order = np.lexsort((a, doc, ctx))
+        doc, a, e, anchor, ctx = doc[order], a[order], e[order], anchor[order], ctx[order]
         again = np.zeros(len(ctx), bool)
         again[1:] = (ctx[1:] == ctx[:-1]) & (anchor[1:] == anchor[:-1])
         keep = ~again
         m = int(keep.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(anchor[keep].view(np.int64)), pa.array(ctx[keep].view(np.int64)), pa.array(doc[keep]), pa.array(s[keep].astype(np.int32)), pa.array(e[keep].astype(np.int32))], names=names)
-        d, a, b = _merged(doc[again], s[again], e[again])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(anchor[keep].view(np.int64)), pa.array(ctx[keep].view(np.int64)), pa.array(doc[keep]), pa.array(a[keep].astype(np.int32)), pa.array(e[keep].astype(np.int32))], names=names)
+        d, a, b = _merged(doc[again], np.maximum(a[again] - SPAN + 1, 0), e[again])
         zero = pa.array(np.zeros(len(d), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), np.int32)), zero, zero, pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=names)
 
@@ -231,35 +237,50 @@ def repeated_in(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tu
 
 
 #: Ids with contexts to fetch, up to this many rows, are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_CONTEXTS = 3_000_000
+BROADCAST_CONTEXTS = 1_500_000
+
+
+def _first_of_equal(rows: DataFrame, group: str, same: str, *order: str) -> DataFrame:
+    """``rows`` of groups with several or repeated values of ``same``; ``again`` marks all but the first of equal ones."""
+    part = Window.partitionBy(group)
+    seen = rows.select(
+        "*", F.lag(same).over(part.orderBy(same, *order)).alias("before"), F.min(same).over(part).alias("lo"), F.max(same).over(part).alias("hi")
+    ).where(f"before = {same} or lo <> hi")
+    return seen.withColumn("again", F.col(same).eqNullSafe(F.col("before"))).drop("before", "lo", "hi")
+
+
+def _with_text(docs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """``id, raw, c``: each row of ``rows(id, …)`` as a struct beside its document's bytes."""
+    wanted = rows.groupBy("id").agg(F.collect_list(F.struct(*cols)).alias("all"))
+    few = rows.count() <= BROADCAST_CONTEXTS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "id")
+    return texts.select("id", F.encode("text", "UTF-8").alias("raw"), F.explode("all").alias("c"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """``id, s, e``: intervals of ``docs(id, text)`` whose strings start earlier too."""
-    spark = docs.sparkSession
-    rows = materialize(docs.mapInArrow(first_anchors, "kind int, anchor bigint, ctx bigint, id bigint, s int, e int"), "anchors")
-    group = Window.partitionBy("anchor")
-    seen = rows.where("kind = 0").select(
-        "anchor", "ctx", "id", "s", "e",
-        F.lag("ctx").over(group.orderBy("ctx", "id", "s")).alias("before"),
-        F.min("ctx").over(group).alias("lo"), F.max("ctx").over(group).alias("hi"),
-    )
-    found = materialize(seen.where("before = ctx or lo <> hi").select("anchor", "id", "s", "e", F.col("ctx").eqNullSafe(F.col("before")).alias("again")), "contexts")
-    several = found.where("not again")
-    n = several.count()
-    wanted = several.groupBy("id").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("ctxs"))
-    texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_CONTEXTS else wanted, "id")
-    cut = texts.select("id", F.encode("text", "UTF-8").alias("raw"), F.explode("ctxs").alias("c")).select(
-        "c.anchor", "id", F.col("c.s").alias("s"), F.expr("substring(raw, c.s + 1, c.e - c.s)").alias("bytes")
-    )
-    buckets = max(1, n // (2 * SHARD))
+    rows = materialize(docs.mapInArrow(first_anchors, "kind int, anchor bigint, ctx bigint, id bigint, a int, e int"), "anchors")
+    found = materialize(_first_of_equal(rows.where("kind = 0").drop("kind"), "anchor", "ctx", "id", "a").drop("ctx"), "contexts")
+    # classes: offsets lo to hi; the core is in all of their strings, the region is their union
+    hi = f"least(k * {CLASS} + {CLASS - 1}, {SPAN - 1})"
+    classes = _with_text(docs, found.where("not again"), "anchor", "a", "e").select("id", "raw", "c", F.explode(F.sequence(F.lit(0), F.lit((SPAN - 1) // CLASS))).alias("k"))
+    classes = classes.selectExpr("id", "raw", "c.anchor as anchor", f"c.a - k * {CLASS} as core_s", f"c.a - {hi} + {LENGTH} as core_e", f"greatest(c.a - {hi}, 0) as s", f"least(c.a - k * {CLASS} + {LENGTH}, c.e) as e", "c.e as stop", "k")
+    classes = classes.where(f"core_s >= 0 and core_e <= stop and e - s >= {LENGTH}")
+    core, region = "substring(raw, core_s + 1, core_e - core_s)", "substring(raw, s + 1, e - s)"
+    keyed = classes.selectExpr("id", "s", "e", f"xxhash64(anchor, k, {core}) as core", f"xxhash64({region}, core_s - s) as region")
+    shared = materialize(_first_of_equal(keyed, "core", "region", "id", "s").drop("region"), "regions")
+    several = shared.where("not again")
+    buckets = max(1, several.count() // (2 * SHARD))
+    cut = _with_text(docs, several, "core", "s", "e").selectExpr("id", "c.s as s", "substring(raw, c.s + 1, c.e - c.s) as bytes", f"pmod(c.core, {buckets}) as b")
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         d, s, e = repeated_in([bytes(b) for b in pdf["bytes"]], pdf["id"].to_numpy(np.int64), pdf["s"].to_numpy(np.int64))
         return pd.DataFrame({"id": d, "s": s.astype(np.int32), "e": e.astype(np.int32)})
 
-    other = cut.withColumn("b", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("b").applyInPandas(resolve, "id bigint, s int, e int")
-    return rows.where("kind = 1").select("id", "s", "e").union(found.where("again").select("id", "s", "e")).union(other)
+    other = cut.groupBy("b").applyInPandas(resolve, "id bigint, s int, e int")
+    batch = rows.where("kind = 1").selectExpr("id", "a as s", "e")
+    equal = found.where("again").selectExpr("id", f"greatest(a - {SPAN - 1}, 0) as s", "e")
+    return batch.union(equal).union(shared.where("again").select("id", "s", "e")).union(other)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
