@@ -1,14 +1,18 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraph pieces.
 
-A text is a set of pieces of which each is a 64-bit hash: its lines, cut further
-after about half of the sentence ends (those whose last letter is a to m, so the
-cuts depend on the words around them only).  The low hash bits deal the pieces to groups of up to about 4, so
-the work for a text grows little faster than its length.  A group's sketch has three tables
-of cells; a piece is added to one cell of each (count, xor of hashes, xor of
-check hashes).  Sketches of two versions subtract cell by cell, which leaves
-their symmetric difference; peeling takes cells that hold a single piece, removes
-it from its other cells, and goes on.  If cells are left, the group is tried
-again with four times the cells, and at last by an exact set difference.
+A text is a set of pieces: its lines, cut further after about half of the
+sentence ends (those whose last letter is a to m, so the cuts depend on the words
+around them only).  A piece is a number of 62 hashed bits: 16 deal it to a group,
+34 choose cells, 12 check those.  The number of groups grows with the text, so a
+group has up to about 4 pieces and the work for a text grows little faster than
+its length.
+
+A group's sketch has three tables of cells; a piece is added to one cell of each.
+A cell is one long, ``count * 2**52 + sum of pieces``.  Sketches of two versions
+subtract cell by cell, which leaves their symmetric difference; peeling takes
+cells whose count is 1 or -1 and whose check bits agree, takes that piece out of
+its other cells, and goes on.  If cells are left, the group is tried again with
+larger tables, and at last by an exact set difference.
 
 Likeness is the number of common pieces over that of all pieces, 1 for two empty
 texts.  Only DataFrame and SQL functions.
@@ -27,8 +31,11 @@ from .scratch import materialize
 
 #: Cells of a table at first and when tried again, peeling rounds, pieces of a group.
 CELLS, RETRIES, ROUNDS, GROUP = 4, (8, 32, 128, 1024), 16, 4
-#: Bits of a hash that deal to groups, at most; the next 36 choose cells.
-GROUP_BITS = 16
+#: Bits of a piece that deal to groups, at most, above the bits that choose and check cells; one in the count.
+GROUP_BITS, KEY_BITS, ONE = 16, 46, 1 << 52
+#: Lowest of the 11 bits that choose the cell in each table; below them are the check bits.
+TABLES = (12, 23, 34)
+CHECK = (1 << 12) - 1
 #: Bins of ids that are counted on the driver, and rows that a bucket should hold.
 BINS, BUCKET_ROWS = 65_536, 4_000
 #: Characters of bucket borders that may be broadcast.
@@ -36,8 +43,10 @@ BROADCAST_CHARS = 32_000_000
 
 
 def pieces(text: str) -> str:
-    """SQL: distinct hashes of the pieces of a text."""
-    return rf"array_distinct(transform(array_remove(split({text}, '(?=\\s)(?<=[a-m] ?[^\\p{{L}}\\p{{N}}\\s,]{{1,4}})\\s+|\\n+'), ''), u -> xxhash64(u)))"
+    """SQL: distinct numbers of the pieces of a text."""
+    parts = f"array_remove(split({text}, '(?=\\\\s)(?<=[a-m] ?[^\\\\p{{L}}\\\\p{{N}}\\\\s,]{{1,4}})\\\\s+|\\\\n+'), '')"
+    number = f"shiftleft(h & {(1 << GROUP_BITS + 34) - 1}L, 12) | (xxhash64(h & {(1 << 34) - 1}L) & {CHECK}L)"
+    return f"array_distinct(transform(transform({parts}, u -> xxhash64(u)), h -> {number}))"
 
 
 def groups(sets: str) -> str:
@@ -50,33 +59,33 @@ def _bind(value: str, name: str, body: str) -> str:
 
 
 def grouped(sets: str, bits: str) -> str:
-    """SQL: the pieces by group, first by half of the bits and then by the others."""
+    """SQL: what each piece adds to cells, by group, first by half of the bits and then by the others."""
     low = f"cast({bits} / 2 as int)"
-    inner = f"transform(sequence(0L, shiftleft(1L, {bits} - {low}) - 1), g -> filter(half, x -> (shiftright(x, {low}) & (shiftleft(1L, {bits} - {low}) - 1)) = g))"
-    return f"""flatten(transform(sequence(0L, shiftleft(1L, {low}) - 1), h -> {_bind(f"filter({sets}, x -> (x & (shiftleft(1L, {low}) - 1)) = h)", 'half', inner)}))"""
+    add = f"(x & {(1 << KEY_BITS) - 1}L) + {ONE}L"
+    inner = f"transform(sequence(0L, shiftleft(1L, {bits} - {low}) - 1), g -> transform(filter(half, x -> (shiftright(x, {KEY_BITS} + {low}) & (shiftleft(1L, {bits} - {low}) - 1)) = g), x -> {add}))"
+    return f"""flatten(transform(sequence(0L, shiftleft(1L, {low}) - 1), h -> {_bind(f"filter({sets}, x -> (shiftright(x, {KEY_BITS}) & (shiftleft(1L, {low}) - 1)) = h)", 'half', inner)}))"""
 
 
 def sketch(pieces_of_group: str, w: str) -> str:
     """SQL: the 3 * w cells of a group."""
-    return f"""flatten(transform(array(16, 28, 40), t -> transform(sequence(0L, {w} - 1L), j -> aggregate({pieces_of_group},
-      named_struct('n', 0, 'k', 0L, 'c', 0L), (a, x) -> if((shiftright(x, t) & ({w} - 1L)) = j,
-      named_struct('n', a.n + 1, 'k', a.k ^ x, 'c', a.c ^ xxhash64(x)), a)))))"""
+    return f"""flatten(transform(array({', '.join(map(str, TABLES))}), t -> transform(sequence(0L, {w} - 1L), j -> aggregate({pieces_of_group}, 0L,
+      (a, x) -> if((shiftright(x, t) & ({w} - 1L)) = j, a + x, a)))))"""
 
 
 def _less(p: str, q: str) -> str:
-    return f"zip_with({p}, {q}, (p, q) -> named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'c', p.c ^ q.c))"
+    return f"zip_with({p}, {q}, (p, q) -> p - q)"
 
 
 def _peeled(cells: str, w: str) -> str:
     """SQL: how many pieces a difference of sketches holds, -1 if it can't be peeled."""
-    pure = "array_distinct(transform(filter(st.cells, c -> abs(c.n) = 1 and c.c = xxhash64(c.k)), c -> named_struct('k', c.k, 'n', c.n)))"
-    at = f"(shiftright(p.k, 16 + 12 * cast(i div {w} as int)) & ({w} - 1L)) = i % {w}"
-    taken = f"""transform(st.cells, (c, i) -> aggregate(pure, c,
-      (a, p) -> if({at}, named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'c', a.c ^ xxhash64(p.k)), a)))"""
-    step = _bind(pure, "pure", f"if(size(pure) = 0, named_struct('cells', st.cells, 'found', st.found, 'go', false), named_struct('cells', {taken}, 'found', st.found + size(pure), 'go', true))")
+    single = f"shiftright(abs(c), {KEY_BITS}) = {ONE >> KEY_BITS} and (xxhash64(shiftright(abs(c), 12) & {(1 << 34) - 1}L) & {CHECK}L) = (abs(c) & {CHECK}L)"
+    first, width = TABLES[0], TABLES[1] - TABLES[0]
+    at = f"(shiftright(abs(p), {first} + {width} * cast(i div {w} as int)) & ({w} - 1L)) = i % {w}"
+    taken = f"transform(st.cells, (c, i) -> aggregate(pure, c, (a, p) -> if({at}, a - p, a)))"
+    step = _bind(f"array_distinct(filter(st.cells, c -> {single}))", "pure", f"if(size(pure) = 0, named_struct('cells', st.cells, 'found', st.found, 'go', false), named_struct('cells', {taken}, 'found', st.found + size(pure), 'go', true))")
     return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'go', true),
       (st, r) -> if(not st.go, st, {step}),
-      st -> if(forall(st.cells, c -> c.n = 0 and c.k = 0), st.found, -1))"""
+      st -> if(forall(st.cells, c -> c = 0L), st.found, -1))"""
 
 
 def sketches(sets: str, bits: str) -> str:
