@@ -159,10 +159,12 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
                         )
 
     grams = training_rows(docs, text, lang, key, per_lang).mapInArrow(count, "lang string, k int, gram bigint, c bigint")
-    got = grams.groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")).toPandas()
-    langs = sorted(set(got["lang"]))
-    number = {x: i for i, x in enumerate(langs)}
-    return LanguageModel.fit(langs, got["lang"].map(number).to_numpy(np.int64), got["k"].to_numpy(np.int64), got["gram"].to_numpy(np.int64).view(U64), got["c"].to_numpy(np.float64), order)
+    got = grams.groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")).toArrow()  # columns, not a Python object a value
+    names = got["lang"].combine_chunks().dictionary_encode()
+    found = names.dictionary.to_pylist()
+    langs = sorted(found)
+    number = np.array([langs.index(x) for x in found], np.int64)
+    return LanguageModel.fit(langs, number[names.indices.to_numpy()], got["k"].to_numpy().astype(np.int64), got["gram"].to_numpy().view(U64), got["c"].to_numpy().astype(np.float64), order)
 
 
 def has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:

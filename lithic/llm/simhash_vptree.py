@@ -12,11 +12,16 @@ links, never all pairs.  Components come from star contraction.
 Work per leaf is bounded by the tree: a set of points that no vantage point can
 split lies within the radius of one point and holds at most 2,081 points.
 
-Fingerprints have 64 bits, or 128 (``wide``) where texts must be met whose
-shingles agree to 80 % only: of five-word shingles such pairs differ in 19 of 128
-bits on average (deviation under 4), so a radius of 28 finds 99 % of them, and
-unrelated texts lie beyond 29 with a probability of 1 - 1e-9.  At so wide a radius
-shells prune little, and the work grows with the square of the distinct texts.
+``keep_representatives`` deletes rows, so there fingerprints only propose.  They have
+128 bits and are made of the *distinct* five-word shingles: texts whose sets have a
+Jaccard similarity of exactly 0.8 differ in about 19 bits (deviation about 4), and a
+radius of 32 misses some 0.1 % of such pairs; unrelated ones lie within it with a
+probability of about 1e-8.  Where the smaller text has at most ``FEW`` shingles bits
+scatter more, and texts that share a shingle among the least hashes of both are
+proposed too (a prefix filter, which misses none).  Inside each component of proposals
+all pairs are compared by their shingle sets, large components by pairs of blocks, and
+only pairs of similarity 0.8 or more are links.  At so wide a radius shells prune
+little, and the work grows with the square of the distinct texts.
 
 Defined results: a null, empty or word-free text has fingerprint zero and is
 linked like any other; fewer than four words give one shingle; repeated rows
@@ -40,19 +45,24 @@ from .scratch import materialize
 #: Points of the driver's sample, points that a leaf should hold, and leaves of a smaller table.
 SAMPLE, LEAF, SHARDS = 8192, 4096, 64
 RADIUS = 4
-#: Radius of wide fingerprints for a shingle similarity of 0.8, and the seed of their second half.
-WIDE_RADIUS, WIDE_SEED = 28, 43
+#: Radius of wide fingerprints, and the similarity of shingle sets (as a fraction) that makes texts near duplicates.
+WIDE_RADIUS, ALIKE = 32, (4, 5)
+#: Texts of up to so many distinct shingles meet by common shingles too; a partner may have a quarter more.
+FEW = 24
+#: Texts, and shingles, of a block; two blocks are compared at a time.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Texts to compare, up to so many, are found by a broadcast of their ids; more by a shuffle.
+BROADCAST_NODES = 1_500_000
 LANES = U64(0x0101010101010101)
 
 
-def simhash_rows(raw: np.ndarray, at: np.ndarray, width: int = 4, seed: int = 42) -> np.ndarray:
-    """Unsigned fingerprints of the documents ``raw[at[i]:at[i+1]]``."""
+def shingle_hashes(raw: np.ndarray, at: np.ndarray, width: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the documents ``raw[at[i]:at[i+1]]``, and each document's offsets among them."""
     low = lower_ascii(raw)
     word = ~((low == 32) | ((low >= 9) & (low <= 13)))
     start, end = runs(word, at)
-    out = np.zeros(len(at) - 1, U64)
     if not len(start):
-        return out
+        return np.zeros(0, U64), np.zeros(len(at), np.int64)
     # words side by side, one space after each
     size = end - start
     new = np.zeros(len(start) + 1, np.int64)
@@ -67,10 +77,18 @@ def simhash_rows(raw: np.ndarray, at: np.ndarray, width: int = 4, seed: int = 42
     np.cumsum(shingles, out=many[1:])
     head = np.arange(many[-1]) - np.repeat(many[:-1] - first[:-1], shingles)
     last = np.minimum(head + width, np.repeat(first[1:], shingles)) - 1
-    h = xxh64(buf, new[head], new[last] + size[last], seed)
+    return xxh64(buf, new[head], new[last] + size[last], seed), many
+
+
+def majority_bits(h: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Of each slice ``h[many[i]:many[i+1]]`` the bits that more than half of its hashes have."""
+    out = np.zeros(len(many) - 1, U64)
+    if not len(h):
+        return out
+    shingles = np.diff(many)
     # bits are counted in eight byte lanes, at most 255 shingles at a time
     parts = -(-shingles // 255)
-    part_end = np.zeros(len(at), np.int64)
+    part_end = np.zeros(len(many), np.int64)
     np.cumsum(parts, out=part_end[1:])
     cut = np.repeat(many[:-1], parts) + 255 * (np.arange(part_end[-1]) - np.repeat(part_end[:-1], parts))
     for bit in range(8):
@@ -81,22 +99,69 @@ def simhash_rows(raw: np.ndarray, at: np.ndarray, width: int = 4, seed: int = 42
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, wide: bool = False) -> DataFrame:
-    """``doc_id, fp, fp2``: a fingerprint's 64 bits as a signed long, and 64 more or 0."""
+def simhash_rows(raw: np.ndarray, at: np.ndarray, width: int = 4, seed: int = 42) -> np.ndarray:
+    """Unsigned fingerprints of the documents ``raw[at[i]:at[i+1]]``."""
+    return majority_bits(*shingle_hashes(raw, at, width, seed))
+
+
+def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document in ascending order, and each document's offsets among them."""
+    h, many = shingle_hashes(raw, at, width)
+    doc = np.repeat(np.arange(len(many) - 1), np.diff(many))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    offs = np.zeros(len(many), np.int64)
+    np.cumsum(np.bincount(doc[new], minlength=len(many) - 1), out=offs[1:])
+    return h[new], offs
+
+
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
+    """``doc_id, fp, fp2``: a fingerprint's 64 bits as a signed long, and 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = column_bytes(batch.column(1))
-            halves = []
-            for seed in (42, WIDE_SEED):
-                fps = [simhash_rows(part, offs, width, seed) for _, _, part, offs in steps(raw, at)] if wide or seed == 42 else []
-                halves.append(np.concatenate(fps) if fps else np.zeros(batch.num_rows, U64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(h.view(np.int64)) for h in halves)], names=["doc_id", "fp", "fp2"])
+            fps = [simhash_rows(part, offs, width) for _, _, part, offs in steps(raw, at)]
+            fp = np.concatenate(fps) if fps else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(np.zeros(len(fp), np.int64))], names=["doc_id", "fp", "fp2"])
 
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
     return rows.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint")
 
 
+def _mixed(h: np.ndarray, by: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> U64(32))) * U64(by)
+        h = (h ^ (h >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> U64(32))
+
+
+def set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, fp, fp2, set, n, keys`` of ``docs(id, text)``: 128 bits of the distinct shingles, their hash and number,
+    and of a text of few the hashes of which a text of similarity ``ALIKE`` has one among its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = column_bytes(batch.column(1))
+            for i, j, part, part_at in steps(raw, at):
+                h, offs = shingle_sets(part, part_at, width)
+                n = np.diff(offs)
+                with np.errstate(over="ignore"):
+                    same = segment_sums(_mixed(h, 0x9FB21C651E98DF25), offs, U64)
+                fp, fp2 = majority_bits(h, offs), majority_bits(_mixed(h, 0xA24BAED4963EE407), offs)
+                # the least n - ceil(0.8 n) + 1; under four shingles only an equal set is as similar
+                prefix = np.where((n >= 4) & (n <= FEW * ALIKE[1] // ALIKE[0]), n + 1 + (-ALIKE[0] * n) // ALIKE[1], 0)
+                ends = np.zeros(len(n) + 1, np.int64)
+                np.cumsum(prefix, out=ends[1:])
+                keys = h[np.arange(ends[-1]) + np.repeat(offs[:-1] - ends[:-1], prefix)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x.view(np.int64)) for x in (fp, fp2, same)), pa.array(n), lists], names=["doc_id", "fp", "fp2", "set", "n", "keys"])
+
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, set bigint, n bigint, keys array<bigint>")
+
+
 def distances(points: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Differing bits of points (rows of one or two words) and one of them."""
     return np.bitwise_count(points ^ v).sum(axis=1, dtype=np.int64)
@@ -211,19 +276,95 @@ def near_duplicate_links(points: DataFrame, radius: int = RADIUS, leaf: int = LE
     return routed.groupBy("shard").applyInPandas(links, "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = RADIUS, wide: bool = False) -> DataFrame:
+def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    fps = materialize(fingerprints(docs, text, key, width, wide), "fingerprints")
+    fps = materialize(fingerprints(docs, text, key, width), "fingerprints")
     points = materialize(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")), "points")
     parts = connected_components(near_duplicate_links(points, radius))
     named = materialize(
         points.join(parts, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "components"
     )
-    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return fps.join(named, ["fp", "fp2"]).select("doc_id", (F.concat(digits("fp"), digits("fp2")) if wide else digits("fp")).alias("fingerprint"), "component_id")
+    return fps.join(named, ["fp", "fp2"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def proposed_links(points: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``points(fp, fp2, node, keys)``, one row per shingle set, to links ``a, b`` whose components hold all pairs to compare."""
+    heads = materialize(points.groupBy("fp", "fp2").agg(F.min("node").alias("node")), "heads")
+    equal = points.join(heads.withColumnRenamed("node", "a"), ["fp", "fp2"]).selectExpr("a", "node as b")
+    keyed = points.select(F.explode("keys").alias("k"), "node")
+    least = keyed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
+    common = keyed.join(least, "k").selectExpr("a", "node as b")
+    return near_duplicate_links(heads, radius).union(equal.where("a <> b")).union(common.where("a <> b"))
+
+
+def similar_links(sets: list[np.ndarray], node: np.ndarray) -> list[tuple[int, int]]:
+    """Rows (smallest node, node) of the groups that pairs of a set similarity of ``ALIKE`` or more link."""
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    offs = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(flat) + 1, bool)
+    left, group = np.arange(len(sets)), np.arange(len(sets))
+    seen, seen_at = flat, offs
+    stack: list[int] = []
+    while len(left):
+        i = stack.pop() if stack else int(left[0])
+        own = flat[offs[i] : offs[i + 1]]
+        mark[own] = True
+        common = segment_sums(mark[seen], seen_at, np.int64)
+        mark[own] = False
+        hit = (ALIKE[1] * common >= ALIKE[0] * (size[left] + size[i] - common)) | (left == i)
+        if hit.any():
+            group[left[hit]] = group[i]
+            stack.extend(j for j in left[hit].tolist() if j != i)
+            seen, left = seen[np.repeat(~hit, size[left])], left[~hit]
+            seen_at = np.concatenate([[0], np.cumsum(size[left])])
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, node)
+    top = least[group]
+    return [(int(a), int(b)) for a, b in zip(top, node) if a != b]
+
+
+def exact_links(docs: DataFrame, proposed: DataFrame, width: int = 5) -> DataFrame:
+    """``proposed(node, component, n)`` to a spanning set ``a, b`` of the similar pairs inside each component."""
+    sizes = proposed.groupBy("component").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("blocks")
+    )
+    total = proposed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    buckets = max(1, total["rows"] // BLOCK_ROWS, total["n"] // BLOCK_SHINGLES)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = column_bytes(batch.column(1))
+            for i, j, part, part_at in steps(raw, at):
+                h, offs = shingle_sets(part, part_at, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])], pa.binary())], names=["node", "shingles"])
+
+    nodes = proposed.select(F.col("node").alias("id"))
+    texts = docs.join(F.broadcast(nodes) if total["rows"] <= BROADCAST_NODES else nodes, "id", "left_semi")
+    # a component of one block shares its task with others; of several, each pair of blocks is a task
+    placed = proposed.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(node, 3), blocks)"))
+    single = placed.where("blocks = 1").selectExpr("node", "component", f"pmod(xxhash64(component), {buckets}L) as g", "-1L as p", "-1L as q")
+    pairs = placed.where("blocks > 1").selectExpr("*", "explode(sequence(0L, blocks - 1)) as x").where("x <> own")
+    several = pairs.selectExpr("node", "component", "component as g", "least(own, x) as p", "greatest(own, x) as q")
+    rows = single.union(several).join(texts.mapInArrow(sets, "node bigint, shingles binary"), "node")
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        for _, part in pdf.groupby("component"):
+            found.extend(similar_links([np.frombuffer(b, U64) for b in part["shingles"]], part["node"].to_numpy()))
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return rows.groupBy("g", "p", "q").applyInPandas(resolve, "a bigint, b bigint")
 
 
-def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, radius: int = WIDE_RADIUS, wide: bool = True) -> DataFrame:
+def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their near-duplicate group."""
-    groups = simhash_groups(docs, text, key, width, radius, wide).where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(groups, F.col(key) == F.col("__keep"), "left_semi")
+    plain = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"cast(`{text}` as string) as text")
+    rows = materialize(set_fingerprints(plain, width), "fingerprints")
+    points = materialize(rows.groupBy("fp", "fp2", "set", "n", "keys").agg(F.min("doc_id").alias("node")), "points")
+    proposed = connected_components(proposed_links(points, radius))
+    sized = points.groupBy("node").agg(F.max("n").alias("n"))
+    proposed = materialize(proposed.join(sized, "node"), "proposed")
+    gone = connected_components(exact_links(plain, proposed, width)).where("node <> component")
+    keep = points.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("__keep"))
+    return docs.join(keep, F.col(key) == F.col("__keep"), "left_semi")

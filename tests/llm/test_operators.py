@@ -133,6 +133,54 @@ def test_near_duplicates(spark, odd, docs):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 6}
 
 
+def test_representatives_by_shingle_similarity(spark):
+    """Kept rows are those of the exact five-word shingle sets, with pairs just above and below 0.8 and short texts."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    rows = []
+
+    def add(t):
+        rows.append((len(rows), " ".join(t)))
+
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 200))]
+        add(base)
+        shingles = len(base) - 4
+        # a new tail of k words leaves (n - k) / (n + k) of the shingles
+        for share in (0.83, 0.805, 0.79, 0.7, 0.65, 0.6):
+            k = round(shingles * (1 - share) / (1 + share))
+            add(base[: len(base) - k] + [rng.choice(words) for _ in range(k)])
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(5, 10))]
+        add(base)
+        add(base[:-1])
+        add(base + [rng.choice(words)])
+    add(["spam"] * 40)
+    add(["spam"] * 90)
+    add(["spam", "ham"] * 30)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                comp[b] = a
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {i for i in range(len(rows)) if find(i) == i}
+    assert {r.doc_id for r in simhash_vptree.keep_representatives(df).collect()} == want
+    simhash_vptree.BLOCK_ROWS, usual = 2, simhash_vptree.BLOCK_ROWS
+    try:  # components of several blocks
+        assert {r.doc_id for r in simhash_vptree.keep_representatives(df).collect()} == want
+    finally:
+        simhash_vptree.BLOCK_ROWS = usual
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]
