@@ -1,11 +1,16 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraph pieces.
 
-A text is a set of pieces: its lines, cut further after about half of the
-sentence ends (those whose last letter is a to m, so the cuts depend on the words
-around them only).  A piece is a number of 62 hashed bits: 16 deal it to a group,
-34 choose cells, 12 check those.  The number of groups grows with the text, so a
-group has up to about 4 pieces and the work for a text grows little faster than
-its length.
+A text is a set of pieces.  The registered query cuts it ``fine``: at line ends,
+at every sentence or clause end (white space after a character that is no letter,
+digit or comma, and after full stops of scripts without spaces), and in the first
+part of a line (all of it, where it has no such end) and in long parts at
+content-defined places: after words whose hash is 0 modulo ``EVERY`` (in words
+of over ``LONG_WORD`` characters after characters whose hash is 0 modulo ``EVERY_CHAR``).  So cuts
+depend on what is near them only, and short or single-line texts have several pieces.
+Without ``fine`` lines are cut only after sentence ends whose last letter is a to m.
+A piece is a number of 62 hashed bits: 16 deal it to a group, 34 choose cells, 12
+check those.  The number of groups grows with the text, so a group has up to about
+4 pieces and the work for a text grows little faster than its length.
 
 A group's sketch has three tables of cells; a piece is added to one cell of each.
 A cell is one long, ``count * 2**52 + sum of pieces``.  Sketches of two versions
@@ -41,10 +46,25 @@ BINS, BUCKET_ROWS = 65_536, 4_000
 #: Characters of bucket borders that may be broadcast.
 BROADCAST_CHARS = 32_000_000
 
+#: One in so many words, or characters, ends a piece in the first part of a line and in parts longer than so many characters.
+EVERY, EVERY_CHAR, LONG = 8, 16, 160
+#: Longer words are runs of a script without spaces.
+LONG_WORD = 48
 
-def pieces(text: str) -> str:
+
+def fine_parts(text: str) -> str:
+    """SQL: a text cut at lines, sentence and clause ends, and by word hashes elsewhere."""
+    ends = "(?<=[^\\\\p{L}\\\\p{N},\\\\s])\\\\s+|(?<=[。！？；।])(?=[^\\\\s])"
+    ended = lambda x, of: f"if(pmod(xxhash64({x}), {of}) = 0, concat({x}, '\\n'), {x})"
+    chars = f"array_join(transform(split(v, ''), c -> {ended('c', EVERY_CHAR)}), '')"
+    by_hash = f"split(array_join(transform(split(u, ' '), v -> if(length(v) > {LONG_WORD}, {chars}, {ended('v', EVERY)})), ' '), '\\n')"
+    line = f"{_bind(f"split(y, '{ends}')", 'us', f'flatten(transform(us, (u, i) -> if(i = 0 or length(u) > {LONG}, {by_hash}, array(u))))')}"
+    return f"array_remove(transform(flatten(transform(split({text}, '\\\\n+'), y -> {line})), u -> trim(u)), '')"
+
+
+def pieces(text: str, fine: bool = False) -> str:
     """SQL: distinct numbers of the pieces of a text."""
-    parts = f"array_remove(split({text}, '(?=\\\\s)(?<=[a-m] ?[^\\\\p{{L}}\\\\p{{N}}\\\\s,]{{1,4}})\\\\s+|\\\\n+'), '')"
+    parts = fine_parts(text) if fine else f"array_remove(split({text}, '(?=\\\\s)(?<=[a-m] ?[^\\\\p{{L}}\\\\p{{N}}\\\\s,]{{1,4}})\\\\s+|\\\\n+'), '')"
     number = f"shiftleft(h & {(1 << GROUP_BITS + 34) - 1}L, 12) | (xxhash64(h & {(1 << 34) - 1}L) & {CHECK}L)"
     return f"array_distinct(transform(transform({parts}, u -> xxhash64(u)), h -> {number}))"
 
@@ -166,7 +186,7 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - q), F.substring(next_text, F.lit(1), q))
 
 
-def fingerprint_versions(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprint_versions(docs: DataFrame, text: str = "text", key: str = "doc_id", fine: bool = False) -> DataFrame:
     """Per row its fingerprint and that of its edited text, and their likeness and that to the next document."""
     plain = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"coalesce(cast(`{text}` as string), '') as text")
     rows = with_next(plain).withColumn("edited", edited(F.col("text"), F.col("next_text")))
@@ -174,9 +194,9 @@ def fingerprint_versions(docs: DataFrame, text: str = "text", key: str = "doc_id
         "id",
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.expr(pieces("text")).alias("a"),
-        F.expr(pieces("edited")).alias("e"),
-        F.expr(pieces("next_text")).alias("b"),
+        F.expr(pieces("text", fine)).alias("a"),
+        F.expr(pieces("edited", fine)).alias("e"),
+        F.expr(pieces("next_text", fine)).alias("b"),
     )
     made = sets.select("*", *(F.expr(sketches(x, groups(x))).alias(f"s{x}") for x in "aeb"))
     return made.selectExpr(

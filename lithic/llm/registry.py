@@ -60,7 +60,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_iblt.fingerprint_versions(table(spark, sf_dir, "documents"))
+    return fingerprint_iblt.fingerprint_versions(table(spark, sf_dir, "documents"), fine=True)
 
 
 def piece_model_path() -> str:

@@ -281,6 +281,19 @@ def test_fingerprints(spark, odd, docs):
     assert fingerprint_iblt.fingerprint_versions(every(spark, odd)[1]).count() == 0
 
 
+def test_fine_fingerprints_of_edited_texts(spark, tmp_path):
+    """The registered query sees what is left of an edited text whatever its letters, script and line lengths."""
+    rng = random.Random(4)
+    word = lambda abc: "".join(rng.choice(abc) for _ in range(6))
+    line = lambda n, abc, end: " ".join(word(abc) + (end if k % 8 == 7 else "") for k in range(n))
+    rows = [line(80, "abcz", "z."), line(80, "абвгд", "д!"), line(80, "abc", "9?"), line(90, "abcdz", ""), line(90, "нопрст", ""), line(120, "ABC", "X;"), "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(400))]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.queries()["op9_document_fingerprints"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i in range(len(rows)):
+        assert got[i].near_edited >= 0.3 and got[i].near_next <= 0.1, (i, got[i])
+
+
 def test_pieces(spark, odd, docs):
     import sentencepiece
 
