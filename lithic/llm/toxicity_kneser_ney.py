@@ -9,8 +9,9 @@ probability in both classes and says nothing; one that a class prefers tells.
 Raw bigram counts, the level above, are left out: copies make chance neighbours
 look typical of their class (held-out AUC fell from 0.94 to 0.83 with them).
 
-Words are hashed to ``WORD_BITS`` bits: every labelled training text counts,
-nothing is cut off, and the model sent to workers has one size for any corpus.
+Words are counted by their whole 64-bit hashes: every labelled training text counts,
+nothing is cut off, and words don't share counts at any size.  The model sent to workers
+holds the words above the discount, so it grows with the vocabulary of the labelled texts.
 
 The score compares length-normalised log-likelihoods: the mean log ratio a word
 over the whole text, and its largest mean over ``WINDOW`` neighbouring words,
@@ -31,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesio import U64, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
+from .bytesio import U64, KeyTable, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
 from .scratch import materialize
 
-WORD_BITS = 22
 #: Taken off every count; what has been seen no more often says nothing about a class.
 DISCOUNT = 3.0
 WINDOW = 2
@@ -54,29 +54,25 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def neighbour_keys(words: np.ndarray, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Word cell, 40 bits of the word before it (a start mark before a document's first) and class, in one number."""
+    """40 bits of the word before each word (a start mark before a document's first) and class, in one number."""
     left = np.zeros(len(words), U64)
     left[1:] = words[:-1]
     left[at[:-1][at[:-1] < len(words)]] = U64(1)
-    return (cells(words) << np.int64(41)) | ((left >> U64(24)).astype(np.int64) << np.int64(1)) | cls
-
-
-def cells(hashes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((hashes * U64(0xD6E8FEB86659FD93)) >> U64(64 - WORD_BITS)).astype(np.int64)
+    return ((left >> U64(24)).astype(np.int64) << np.int64(1)) | cls
 
 
 class ToxicityModel:
-    """Log ratios of the two models by word cell, and the fitted curve."""
+    """Log ratios of the two models by word hash, and the fitted curve."""
 
-    def __init__(self, cell: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, totals: tuple[float, float], freed: float, discount: float = DISCOUNT):
-        """Continuation counts of cells above the discount in a class, the classes' sums of counts, and the share that discounting frees."""
+    def __init__(self, word: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, totals: tuple[float, float], freed: float, discount: float = DISCOUNT):
+        """Continuation counts of words (by hash) above the discount in a class, the classes' sums of counts, and the share that discounting frees."""
         self.ready = min(totals) > 0
-        self.ratio = np.zeros(1 << WORD_BITS, np.float32)
+        self.words = KeyTable(word)
+        self.ratio = np.zeros(len(word) + 1, np.float32)  # the last is that of all other words
         if self.ready:
             base = freed * (ordinary + toxic) / sum(totals)
             p0, p1 = (np.maximum(n - discount, 0) / t + base for n, t in zip((ordinary, toxic), totals, strict=True))
-            self.ratio[cell] = np.log(p1) - np.log(p0)
+            self.ratio[:-1] = np.log(p1) - np.log(p0)
         self.curve = np.array([0.0, 0.0, 0.0])
 
     def features(self, raw: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -85,7 +81,7 @@ class ToxicityModel:
         out = np.zeros((len(at) - 1, 2))
         if not len(words):
             return out
-        r = self.ratio[cells(words)].astype(np.float64)
+        r = self.ratio[self.words.find(words)].astype(np.float64)
         size = np.diff(offs)
         out[:, 0] = segment_sums(r, offs) / np.maximum(size, 1)
         run = np.zeros(len(r) + 1)
@@ -143,11 +139,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
             for i, j, part, offs in steps(raw, at):
                 words, w_at = word_hashes(part, offs)
                 cls = np.repeat(toxic[i:j], np.diff(w_at)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(neighbour_keys(words, w_at, cls)))], names=["k"])
+                k = neighbour_keys(words, w_at, cls)
+                order = np.lexsort((k, words))
+                words, k = words[order], k[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (words[1:] != words[:-1]) | (k[1:] != k[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(k[new])], names=["word", "k"])
 
     rows = labelled(docs, labels, text, key)
-    kinds = rows.where("fold in (0, 1)").select("toxic", "text").mapInArrow(count, "k bigint").distinct()
-    counts = kinds.groupBy(F.expr("shiftright(k, 41)").alias("cell")).agg(
+    kinds = rows.where("fold in (0, 1)").select("toxic", "text").mapInArrow(count, "word bigint, k bigint").distinct()
+    counts = kinds.groupBy("word").agg(
         F.count_if(F.expr("k & 1 = 0")).alias("ordinary"), F.count_if(F.expr("k & 1 = 1")).alias("toxic")
     )
     counts = materialize(counts, "continuations")
@@ -156,10 +157,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"),
         F.coalesce(F.sum(F.least(F.col("ordinary") + F.col("toxic"), F.lit(DISCOUNT))), F.lit(0.0)).alias("freed"),
     ).first()
-    # other cells have ratio 0; at most 2 ** WORD_BITS rows
-    told = counts.where((F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT)).toPandas()
+    # other words have ratio 0
+    told = counts.where((F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT)).toArrow()
     model = ToxicityModel(
-        told["cell"].to_numpy(np.int64), told["ordinary"].to_numpy(float), told["toxic"].to_numpy(float), (sums.o, sums.t), sums.freed / max(1, sums.o + sums.t)
+        told["word"].to_numpy().view(U64), told["ordinary"].to_numpy().astype(float), told["toxic"].to_numpy().astype(float), (sums.o, sums.t), sums.freed / max(1, sums.o + sums.t)
     )
     if model.ready:
         fit = rows.where("fold = 3")

@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,23 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity_kneser_ney.score_toxicity(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_words_share_no_counts(spark):
+    """A word that no training text has is neutral, also one that fell on a toxic word's cell of 22 bits."""
+    cell = lambda h: (h * toxicity_kneser_ney.U64(0xD6E8FEB86659FD93)) >> toxicity_kneser_ney.U64(42)
+    hashes = lambda t: toxicity_kneser_ney.word_hashes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+    many = [f"w{k}" for k in range(2_000_000)]
+    toxic = [f"vile{k}" for k in range(20)]
+    with np.errstate(over="ignore"):
+        met = np.flatnonzero(np.isin(cell(hashes(" ".join(many).encode())), cell(hashes(" ".join(toxic).encode()))))
+    assert len(met)
+    rows = [(i, " ".join(f"n{(i * 7 + k * k) % 50} " + (toxic[(i + k) % 20] if i % 2 else f"m{(i + k) % 20}") for k in range(20))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity_kneser_ney.train_toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    for word in (many[met[0]].encode(), b"vile3"):
+        features = model.features(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        assert features.any() == (word == b"vile3")
+
+
 def test_near_duplicates(spark, odd, docs):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_vptree.simhash_groups(docs).collect()}
     fps = {i: int(f, 16) for i, (f, _) in got.items()}
