@@ -254,6 +254,14 @@ def range_join(spark, sf_dir):
     return joins.range_join(part.select("p_partkey", "p_retailprice"), spans, "p_retailprice", "lo", "hi", 40.0).select("p_partkey", "lo")
 
 
+@built("j11_range_join_whole", "SELECT p_partkey, lo FROM part JOIN (SELECT CAST(p_partkey AS DOUBLE) AS lo, CAST(p_partkey + 40 AS DOUBLE) AS hi FROM part) s ON p_retailprice >= lo AND p_retailprice < hi")
+def range_join_whole(spark, sf_dir):
+    """The join of ``j11_range_join`` over the spans of all parts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    spans = part.selectExpr("cast(p_partkey as double) lo", "cast(p_partkey + 40 as double) hi")
+    return joins.range_join(part.select("p_partkey", "p_retailprice"), spans, "p_retailprice", "lo", "hi", 40.0).select("p_partkey", "lo")
+
+
 @built("j12_asof_join", "SELECT c.event_id, p.event_id AS buy_id FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, MAX(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON c.user_id = p.user_id AND c.ts >= p.ts")
 def asof_join(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

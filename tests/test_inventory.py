@@ -33,3 +33,11 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in res.fetchall())
+
+
+def test_range_join_of_all_spans(spark, tmp_path):
+    prices = {k: 900.0 + 7.25 * k for k in range(1, 200)} | {k: k - 20.5 for k in range(900, 1400, 3)}
+    spark.createDataFrame(list(prices.items()), "p_partkey bigint, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in inventory.queries()["j11_range_join_whole"](spark, str(tmp_path)).collect())
+    want = sorted((p, float(s)) for p, price in prices.items() for s in prices if s <= price < s + 40)
+    assert got == want and len({lo for _, lo in got if lo % 50}) > 100
