@@ -7,18 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _own = ""
+#: Drops a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is empty (single-machine tests) a temporary folder is
-    made and used for the session.
+    Where the setting is empty a temporary folder is made and used for the session;
+    only a local master may do without the setting, as executors elsewhere wouldn't
+    see that folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         global _own
         found = _own = _own or tempfile.mkdtemp(prefix="lithic-")
     return found.rstrip("/")
@@ -28,9 +32,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
     The written table survives lost executors and is computed exactly once,
-    unlike a cached plan.
+    unlike a cached plan.  The shuffle files that made it go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithic/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, when nothing is left to read it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,33 +3,36 @@
 A byte goes if some string of ``LENGTH`` bytes that covers it starts earlier too
 (in a document of smaller id, or before in the same document).
 
-1. Anchors: by winnowing, every string of ``LENGTH`` bytes holds a selected
-   ``GRAM``-byte anchor that depends on the string alone, so equal strings share
-   one at the same offset.  An anchor stands for its context, all strings around
-   it.  Contexts that a batch already has earlier are repeats at once; only the
-   first of a batch travels on, so a passage in a third of all rows costs one row
-   a batch.
-2. Contexts are ordered by anchor and content: of equal ones all but the first
-   are repeats.  Anchors with several different contexts go on, one row a context.
-3. The strings of a context fall into classes by the anchor's offset; all strings
-   of a class share a core of ``LENGTH - CLASS + 1`` bytes.  Only regions (the
-   union of a class's strings) whose core occurs in another context go on, equal
-   ones again once.
-4. Shards of those regions are suffix-sorted and their Burrows-Wheeler
-   transforms merged: the interleave of two sorted shards starts as "first, then
-   second" and is refined by one symbol a round, each round a stable distribution
-   of the merged transform by its symbols; a boundary that appears in round h
-   has a common prefix of h - 1.  No suffix is sorted again.  After ``LENGTH``
-   rounds, what lies between boundaries are the repeated strings, and all
-   but the earliest start of each are covered.
-
-Regions of one core meet in one task: a common passage with different
-surroundings in every document makes the groups at its edges as large as the
-number of documents (exact repeats are taken out before).
-
-Defined results: null is the empty text; texts shorter than ``LENGTH`` keep all
-bytes; strings never cross documents; rows of one id are taken as copies of one
-document; hashes of 128 bits stand for equal contexts and regions.
+1. Dealing.  Of the ``GRAM``-byte pieces in a string the one with the least hash is
+   its anchor, so the string alone decides it, and equal strings share it at the same
+   place.  Neighbouring strings of one anchor form a context.  Contexts are grouped by
+   anchor; only anchors that occur again go on.  Equal contexts (the rolling hash of
+   the anchor and XXH64 of the whole context agree, two unrelated functions) are kept
+   once, at their first place, first in each batch and then in each group; all other
+   places of them are repeats.
+2. Deciding.  The different contexts of an anchor meet in one task.  They are cut into
+   shards; a shard's strings are sorted from their ends backward, ``SYMBOL`` bytes at a
+   time, and what precedes each sorted suffix is the shard's Burrows-Wheeler transform
+   of that depth.  Shards are merged by refining an interleave: it starts as "first
+   shard, then second" and each round deals the merged transform stably by its symbols,
+   so no suffix is sorted again.  A boundary that appears in a round has that depth as
+   its common prefix.  What lies between boundaries after ``LENGTH`` bytes is one
+   repeated string, compared byte for byte; all its places but the earliest go.
+3. Hot anchors.  An anchor with more than ``HOT`` different contexts is dealt anew by
+   longer common bytes: strings whose anchor lies ``CLASS`` offsets apart at most share
+   a core, and cores are groups of their own.  A core that is hot again is dealt by
+   whole strings; there each group is one string, and its least place is a minimum that
+   is aggregated before the shuffle.  Anchors that a sample shows to be very frequent
+   are spread over tasks from the start.  So no task holds an unbounded group.
+
+Texts travel compressed.  Intermediate tables are written to shared storage.
+
+Defined results: null is the empty text; texts shorter than ``LENGTH`` keep all bytes;
+strings never cross documents; a null id comes before all others; rows of one id (null
+included) with equal texts are copies of one document and get equal results; different
+texts of one id are documents of their own, in the order of a hash of the text; an empty
+table gives an empty table; other columns are left out, whatever their names; very long
+texts are one step of their own and processed whole.
 """
 
 from __future__ import annotations
@@ -43,20 +46,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesio import U64, column_bytes, steps
-from .scratch import materialize
+from .bytesio import U64, column_bytes, steps, xxh64
+from .scratch import discard, materialize
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Offsets of an anchor in one class.
-CLASS = 17
-#: Contexts of a shard; two shards are merged at a time.
-SHARD = 512
-STEP = 1 << 20
+#: Offsets of an anchor in one class of a hot anchor.
+CLASS = 23
+#: Bytes of a symbol; the first symbol of a string's end has what is left of ``LENGTH``.
+SYMBOL = 8
+#: Contexts of a shard, about; different contexts of a group that one task merges, at most.
+SHARD, HOT = 256, 8192
+#: Contexts of a task, about.
+TASK = 8192
+#: One document in so many is looked at for very frequent anchors, and tasks that such an anchor is spread over.
+SAMPLE, SALTS = 64, 64
+STEP = 1 << 18
 _RNG = np.random.default_rng(20)
-CODES = _RNG.integers(0, 1 << 63, size=(2, 256), dtype=np.int64).view(U64) * U64(2) + U64(1)
-BASES = (U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95))
-TOP = U64(0xFFFFFFFFFFFFFFFF)
+CODES = _RNG.integers(0, 1 << 63, size=256, dtype=np.int64).view(U64) * U64(2) + U64(1)
+BASE = U64(0x9E3779B97F4A7C15)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,66 +75,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(33))
 
 
-class Rolling:
-    """Hashes of any slices of a byte array, by sums of codes times powers."""
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, raw: np.ndarray, which: int):
-        n = 1 << max(10, int(len(raw) + 1).bit_length())
-        if (got := self._powers.get(which)) is None or len(got[0]) < n:
-            with np.errstate(over="ignore"):
-                base = BASES[which]
-                inverse = U64(pow(int(base), -1, 1 << 64))
-                up, down = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, b, U64)])) for b in (base, inverse))
-            got = self._powers[which] = (up, down)
-        self.down = got[1]
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(raw) + 1, U64)
-            np.cumsum(CODES[which][raw] * got[0][: len(raw)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of every ``GRAM`` bytes: sums of codes times powers of an odd number."""
+    n = len(raw)
+    if not _powers or len(_powers[0][0]) < n:
+        size = 1 << max(18, n.bit_length())
         with np.errstate(over="ignore"):
-            return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
-
-
-def _sliding(x: np.ndarray, width: int, take, fill) -> np.ndarray:
-    """``take`` (minimum or maximum) over x[i:i+width] for every i; ``fill`` stands beyond the end."""
-    n = len(x)
-    blocks = -(-(n + width) // width)
-    padded = np.full(blocks * width, fill, x.dtype)
-    padded[:n] = x
-    rows = padded.reshape(blocks, width)
-    ahead = take.accumulate(rows, axis=1).ravel()
-    back = take.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return take(back[:n], ahead[width - 1 : n + width - 1])
-
-
-def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position, start, end, anchor hash, context hash) of all anchors, positions from the document's start."""
+            up, down = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(size - 1, b, U64)])) for b in (BASE, U64(pow(int(BASE), -1, 1 << 64))))
+        _powers[:] = [(up, down)]
+    up, down = _powers[0]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(CODES[raw] * up[:n], out=sums[1:])
+        h = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
+        h ^= h >> U64(32)
+        h *= U64(0xD6E8FEB86659FD93)
+    return h
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``x[i:i+width]`` for every whole window."""
+    reach = 1
+    while 2 * reach <= width:
+        x = np.minimum(x[:-reach], x[reach:])
+        reach *= 2
+    rest = width - reach
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, first start in it, number of strings, bytes from there to the anchor, anchor hash, context hash) of all contexts."""
     n = len(raw)
-    empty = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return empty, empty, empty, empty, empty.view(U64), empty.view(U64)
+        return none, none, none, none, none.view(U64), none.view(U64)
+    gram = gram_hashes(raw)
+    bits = U64(n.bit_length())
+    # the position in the low bits: of equal grams the leftmost is the anchor
+    low = _least((gram >> bits << bits) | np.arange(len(gram), dtype=U64), SPAN)
+    whole = np.zeros(n - LENGTH + 2, np.int32)
     size = np.diff(at)
-    end = np.repeat(at[1:], size)
-    here = np.arange(n)
-    gram = np.full(n, TOP, U64)
-    one, two = Rolling(raw, 0), Rolling(raw, 1)
-    whole = np.flatnonzero(here + GRAM <= end)
-    gram[whole] = np.minimum(one.of(whole, whole + GRAM), TOP - U64(1))
-    low = _sliding(gram, SPAN, np.minimum, TOP)
-    low[here + LENGTH > end] = 0  # no string starts here
-    # a gram is selected if it is the least of some string that holds it
-    top = _sliding(low[::-1], SPAN, np.maximum, U64(0))[::-1]
-    found = np.flatnonzero((top == gram) & (gram < TOP))
-    doc = np.searchsorted(at, found, side="right") - 1
-    s = np.maximum(found - (SPAN - 1), at[doc])
-    e = np.minimum(found + LENGTH, at[doc + 1])
+    long = size >= LENGTH
+    whole[at[:-1][long]] += 1
+    whole[at[1:][long] - LENGTH + 1] -= 1
+    start = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+    if not len(start):
+        return none, none, none, none, none.view(U64), none.view(U64)
+    owner = (low[start] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    p, a = start[first], owner[first]
+    many = np.diff(np.append(first, len(start)))
+    doc = np.searchsorted(at, p, side="right") - 1
     with np.errstate(over="ignore"):
-        ctx = _mix(two.of(s, e) + (found - s).astype(U64) * U64(0x9E6C63D0876A9A47))
-    base = at[doc]
-    return doc, found - base, s - base, e - base, gram[found], ctx
+        ctx = xxh64(raw, p, p + many - 1 + LENGTH) + (a - p).astype(U64) * U64(0x9E6C63D0876A9A47)
+    return doc, p - at[doc], many, a - p, _mix(gram[a]), _mix(ctx)
 
 
 def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +137,7 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
         return doc, s, e
     order = np.lexsort((s, doc))
     doc, s, e = doc[order], s[order], e[order]
-    _, number = np.unique(doc, return_inverse=True)
+    number = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
     wide = np.int64(e.max() + 1)
     reach = np.maximum.accumulate(e + number * wide) - number * wide
     new = np.ones(len(doc), bool)
@@ -143,176 +146,304 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return doc[first], s[first], np.append(reach[first[1:] - 1], reach[-1])
 
 
-def first_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of anchors that are the first of their context in a batch (kind 0), and intervals of the others (kind 1)."""
-    names = ["kind", "anchor", "ctx", "id", "a", "e"]
+def first_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts that are the first of their kind in a batch (``kind`` 0; ``x``: place), and intervals of the others (1; ``anchor, ctx``: start, end)."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         raw, at = column_bytes(batch.column(1))
         parts = []
         for i, _, part, offs in steps(raw, at, STEP):
-            doc, a, _, e, anchor, ctx = anchors(part, offs)
-            parts.append((ids[doc + i], a, e, anchor, ctx))
+            doc, p, many, lead, anchor, ctx = contexts(part, offs)
+            parts.append((ids[doc + i], p, many, lead, anchor, ctx))
         if not parts:
             continue
-        doc, a, e, anchor, ctx = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        order = np.lexsort((a, doc, ctx))
-        doc, a, e, anchor, ctx = doc[order], a[order], e[order], anchor[order], ctx[order]
+        doc, p, many, lead, anchor, ctx = (np.concatenate([x[k] for x in parts]) for k in range(6))
+        order = np.argsort(ctx, kind="stable") if (doc[1:] >= doc[:-1]).all() else np.lexsort((p, doc, ctx))
         again = np.zeros(len(ctx), bool)
-        again[1:] = (ctx[1:] == ctx[:-1]) & (anchor[1:] == anchor[:-1])
+        same = (ctx[order[1:]] == ctx[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+        again[order[1:][same]] = True
         keep = ~again
-        m = int(keep.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(anchor[keep].view(np.int64)), pa.array(ctx[keep].view(np.int64)), pa.array(doc[keep]), pa.array(a[keep].astype(np.int32)), pa.array(e[keep].astype(np.int32))], names=names)
-        d, a, b = _merged(doc[again], np.maximum(a[again] - SPAN + 1, 0), e[again])
-        zero = pa.array(np.zeros(len(d), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), np.int32)), zero, zero, pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=names)
+        place = p << 14 | many << 7 | lead
+        d, s, e = _merged(doc[again], p[again], p[again] + many[again] - 1 + LENGTH)
+        cols = [np.concatenate(x) for x in ((np.zeros(int(keep.sum()), np.int32), np.ones(len(d), np.int32)), (anchor[keep].view(np.int64), s), (ctx[keep].view(np.int64), e), (doc[keep], d), (place[keep], np.zeros(len(d), np.int64)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "anchor", "ctx", "id", "x"])
+
+
+FIRST = "kind int, anchor bigint, ctx bigint, id bigint, x bigint"
+
+
+def _stable(rank: np.ndarray) -> np.ndarray:
+    """Stable order by small numbers, by distribution on 16 bits at a time."""
+    order = np.argsort(rank.astype(np.uint16), kind="stable")
+    if len(rank) and rank.max() >> 16:
+        order = order[np.argsort((rank >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+class Alphabet:
+    """The bytes of some contexts one after the other, and the symbol (``SYMBOL`` bytes, numbered in their order) at each place."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"".join(texts) + bytes(SYMBOL), np.uint8)
+        self.base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        n = len(raw) - SYMBOL
+        code = np.ndarray((n + 1,), ">u8", raw, strides=(1,))[:n].astype(U64) if n else np.zeros(0, U64)
+        order = np.argsort(code)
+        code = code[order]
+        new = np.zeros(n, bool)
+        new[1:] = code[1:] != code[:-1]
+        head = np.zeros(n, bool)  # of the first bytes of a symbol only
+        head[1:] = (code[1:] >> TAIL) != (code[:-1] >> TAIL)
+        self.whole, self.head = np.empty(n, np.int32), np.empty(n, np.int32)
+        self.whole[order] = np.cumsum(new, dtype=np.int32)
+        self.head[order] = np.cumsum(head, dtype=np.int32)
+
+
+#: Bits of a symbol beyond what ``LENGTH`` leaves for the last one of a string.
+TAIL = U64(8 * (SYMBOL - LENGTH % SYMBOL)) if LENGTH % SYMBOL else U64(0)
+ROUNDS = -(-LENGTH // SYMBOL)
 
 
 class Shard:
-    """Contexts as one text of symbols (byte + 1, 0 after each), its suffix order and Burrows-Wheeler transform."""
-
-    def __init__(self, contexts: list[bytes], first: int):
-        size = np.array([len(c) for c in contexts])
-        joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
-        stops = np.cumsum(size + 1) - 1
-        joined[stops] = 0
-        n = len(joined)
-        rank, width = joined.copy(), 1
-        while width < LENGTH:  # sorted to the first 128 symbols
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - width] = rank[width:]
-            order = np.argsort(rank * (n + 300) + nxt, kind="stable")
-            key = (rank * (n + 300) + nxt)[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-            width *= 2
-        sa = np.argsort(rank, kind="stable")
-        self.bwt = joined[sa - 1].astype(np.uint16)  # 257 symbols
-        self.owner = np.repeat(np.arange(first, first + len(contexts)), size + 1)[sa]
-        self.offset = (np.arange(n) - np.repeat(stops - size, size + 1))[sa]
-
-
-def merge_shards(a: Shard, b: Shard | None, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, offset, block) of all suffixes in merged order; equal blocks share their first ``depth`` symbols."""
-    if b is None:
-        b = Shard.__new__(Shard)
-        b.bwt, b.owner, b.offset = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n0, n1 = len(a.bwt), len(b.bwt)
-    z = np.concatenate([np.zeros(n0, np.uint8), np.ones(n1, np.uint8)])
-    block = np.zeros(n0 + n1, np.int32)
-    merged = np.empty(n0 + n1, np.uint16)
-    for _ in range(depth):
-        second = z.astype(bool)
-        merged[~second], merged[second] = a.bwt, b.bwt
-        order = np.argsort(merged, kind="stable")
+    """Strings of ``LENGTH`` bytes in order, with the transform of each depth."""
+
+    def __init__(self, alphabet: Alphabet, start: np.ndarray):
+        """``start``: places of the strings in the alphabet's bytes."""
+        order = np.arange(len(start))
+        self.transforms: list[np.ndarray] = []
+        for k in range(ROUNDS):
+            # the symbol before each suffix, in the suffixes' order
+            symbol = (alphabet.whole if k else alphabet.head)[start + SYMBOL * (ROUNDS - 1 - k)] if len(start) else np.zeros(0, np.int32)
+            bwt = symbol[order]
+            self.transforms.append(bwt)
+            order = order[_stable(bwt)]
+        self.order = order
+
+
+def merge_shards(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
+    """(string, block) of all strings in merged order, numbered shard after shard; those of equal blocks are equal."""
+    sizes = [len(s.order) for s in shards]
+    z = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
+    block = np.zeros(len(z), np.int32)
+    merged = np.empty(len(z), np.int32)
+    for k in range(ROUNDS):
+        for n, s in enumerate(shards):
+            merged[z == n] = s.transforms[k]
+        order = _stable(merged)
         symbol, before = merged[order], block[order]
         z = z[order]
         new = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        block = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])
-    second = z.astype(bool)
-    owner, offset = np.empty(n0 + n1, np.int64), np.empty(n0 + n1, np.int64)
-    owner[~second], owner[second] = a.owner, b.owner
-    offset[~second], offset[second] = a.offset, b.offset
-    return owner, offset, block
-
-
-def repeated_in(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of strings of different contexts that start earlier in another one."""
-    half = max(1, min(len(contexts), max(SHARD, -(-len(contexts) // 2))))
-    owner, offset, block = merge_shards(Shard(contexts[:half], 0), Shard(contexts[half:], half) if len(contexts) > half else None)
-    size = np.array([len(c) for c in contexts])
-    full = size[owner] - offset >= LENGTH
-    owner, offset, block = owner[full], offset[full], block[full]
-    d, p = doc[owner], start[owner] + offset
-    order = np.lexsort((p, d, block))
-    block, d, p = block[order], d[order], p[order]
-    later = np.zeros(len(block), bool)
-    later[1:] = block[1:] == block[:-1]
-    same = np.zeros(len(block), bool)  # the same place seen through two anchors
-    same[1:] = later[1:] & (d[1:] == d[:-1]) & (p[1:] == p[:-1])
-    # a place that is its block's earliest stays, however often it is listed
-    head = np.maximum.accumulate(np.where(later, -1, np.arange(len(block)))) if len(block) else np.zeros(0, np.int64)
-    gone = later & ~((d == d[head]) & (p == p[head]))
-    return _merged(d[gone], p[gone], p[gone] + LENGTH)
-
-
-#: Ids with contexts to fetch, up to this many rows, are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_CONTEXTS = 1_500_000
-
-
-def _first_of_equal(rows: DataFrame, group: str, same: str, *order: str) -> DataFrame:
-    """``rows`` of groups with several or repeated values of ``same``; ``again`` marks all but the first of equal ones."""
-    part = Window.partitionBy(group)
-    seen = rows.select(
-        "*", F.lag(same).over(part.orderBy(same, *order)).alias("before"), F.min(same).over(part).alias("lo"), F.max(same).over(part).alias("hi")
-    ).where(f"before = {same} or lo <> hi")
-    return seen.withColumn("again", F.col(same).eqNullSafe(F.col("before"))).drop("before", "lo", "hi")
-
-
-def _with_text(docs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
-    """``id, raw, c``: each row of ``rows(id, …)`` as a struct beside its document's bytes."""
-    wanted = rows.groupBy("id").agg(F.collect_list(F.struct(*cols)).alias("all"))
-    few = rows.count() <= BROADCAST_CONTEXTS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "id")
-    return texts.select("id", F.encode("text", "UTF-8").alias("raw"), F.explode("all").alias("c"))
+        block = np.concatenate([np.zeros(min(1, len(z)), np.int32), np.cumsum(new, dtype=np.int32)])
+    string = np.empty(len(z), np.int64)
+    for n, (s, lo) in enumerate(zip(shards, np.cumsum([0, *sizes]))):
+        string[z == n] = s.order + lo
+    return string, block
+
+
+def repeated_in(texts: list[bytes], doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of strings in different contexts (their bytes, documents and first starts) that another place has earlier."""
+    alphabet = Alphabet(texts)
+    many = np.array([len(t) for t in texts]) - LENGTH + 1
+    first = np.concatenate([[0], np.cumsum(many)])
+    inside = np.arange(first[-1]) - np.repeat(first[:-1], many)
+    start = inside + np.repeat(alphabet.base[:-1], many)
+    half = len(texts) // 2
+    parts = [(0, half), (half, len(texts))] if len(texts) <= 4 * SHARD else [(lo, min(len(texts), lo + len(texts) // 4 + 1)) for lo in range(0, len(texts), len(texts) // 4 + 1)]
+    string, block = merge_shards([Shard(alphabet, start[first[lo] : first[hi]]) for lo, hi in parts])
+    # only blocks of several strings matter
+    same = block[1:] == block[:-1]
+    several = np.zeros(len(block), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    string, block = string[several], block[several]
+    d, s = np.repeat(doc, many)[string], (np.repeat(p, many) + inside)[string]
+    order = np.lexsort((s, d, block))
+    d, s, block = d[order], s[order], block[order]
+    gone = np.zeros(len(block), bool)
+    gone[1:] = block[1:] == block[:-1]
+    return _merged(d[gone], s[gone], s[gone] + LENGTH)
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """``rows(key, id, p, bytes)``, groups of bounded size, to intervals ``id, s, e``."""
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        key, found = pdf["key"].to_numpy(np.int64), []
+        texts, doc, p = list(pdf["bytes"]), pdf["id"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64)
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where groups end
+        lo = 0
+        while lo < len(key):  # whole groups, about two shards of them at a time
+            hi = int(ends[min(np.searchsorted(ends, lo + 2 * SHARD), len(ends) - 1)])
+            if hi - lo > 1:
+                found.append(repeated_in(texts[lo:hi], doc[lo:hi], p[lo:hi]))
+            lo = hi
+        d, s, e = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in range(3))
+        return pd.DataFrame({"id": d, "s": s, "e": e})
+
+    buckets = max(1, rows.count() // TASK)
+    return rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("b").applyInPandas(resolve, "id bigint, s bigint, e bigint")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``id, z``: texts compressed for their way through a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = [pack(t.as_buffer()) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["id", "z"])
 
+    return docs.select("id", "text").mapInArrow(run, "id bigint, z binary")
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``id, s, e``: intervals of ``docs(id, text)`` whose strings start earlier too."""
-    rows = materialize(docs.mapInArrow(first_anchors, "kind int, anchor bigint, ctx bigint, id bigint, a int, e int"), "anchors")
-    found = materialize(_first_of_equal(rows.where("kind = 0").drop("kind"), "anchor", "ctx", "id", "a").drop("ctx"), "contexts")
-    # classes: offsets lo to hi; the core is in all of their strings, the region is their union
-    hi = f"least(k * {CLASS} + {CLASS - 1}, {SPAN - 1})"
-    classes = _with_text(docs, found.where("not again"), "anchor", "a", "e").select("id", "raw", "c", F.explode(F.sequence(F.lit(0), F.lit((SPAN - 1) // CLASS))).alias("k"))
-    classes = classes.selectExpr("id", "raw", "c.anchor as anchor", f"c.a - k * {CLASS} as core_s", f"c.a - {hi} + {LENGTH} as core_e", f"greatest(c.a - {hi}, 0) as s", f"least(c.a - k * {CLASS} + {LENGTH}, c.e) as e", "c.e as stop", "k")
-    classes = classes.where(f"core_s >= 0 and core_e <= stop and e - s >= {LENGTH}")
-    core, region = "substring(raw, core_s + 1, core_e - core_s)", "substring(raw, s + 1, e - s)"
-    keyed = classes.selectExpr("id", "s", "e", f"xxhash64(anchor, k, {core}) as core", f"xxhash64({region}, core_s - s) as region")
-    shared = materialize(_first_of_equal(keyed, "core", "region", "id", "s").drop("region"), "regions")
-    several = shared.where("not again")
-    buckets = max(1, several.count() // (2 * SHARD))
-    cut = _with_text(docs, several, "core", "s", "e").selectExpr("id", "c.s as s", "substring(raw, c.s + 1, c.e - c.s) as bytes", f"pmod(c.core, {buckets}) as b")
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, s, e = repeated_in([bytes(b) for b in pdf["bytes"]], pdf["id"].to_numpy(np.int64), pdf["s"].to_numpy(np.int64))
-        return pd.DataFrame({"id": d, "s": s.astype(np.int32), "e": e.astype(np.int32)})
+def _unpack(z) -> bytes:
+    import zstandard
 
-    other = cut.groupBy("b").applyInPandas(resolve, "id bigint, s int, e int")
-    batch = rows.where("kind = 1").selectExpr("id", "a as s", "e")
-    equal = found.where("again").selectExpr("id", f"greatest(a - {SPAN - 1}, 0) as s", "e")
-    return batch.union(equal).union(shared.where("again").select("id", "s", "e")).union(other)
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
+def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, id, p, lead, hot, bytes`` of contexts ``wanted(id, key, x, hot)``; those of hot anchors by classes of offsets, keyed by their cores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, z, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = _unpack(z.as_buffer())
+                found = found.values
+                x, hot = found.field("x").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False).astype(bool)
+                key, p, many, lead = found.field("key").to_numpy(), x >> 14, x >> 7 & 127, x & 127
+                if hot.any():
+                    rows = [(key[~hot], p[~hot], many[~hot], lead[~hot], hot[~hot])]
+                    key, p, many, lead = key[hot], p[hot], many[hot], lead[hot]
+                    for k in range(-(-SPAN // CLASS)):
+                        # strings that lie k * CLASS up to less than (k + 1) * CLASS before their anchor
+                        lo, hi = np.maximum(0, lead - (k + 1) * CLASS + 1), np.minimum(many - 1, lead - k * CLASS)
+                        ok = lo <= hi
+                        core = (p + lead - k * CLASS)[ok]
+                        raw = np.frombuffer(text, np.uint8)
+                        with np.errstate(over="ignore"):
+                            h = xxh64(raw, core, core + LENGTH - CLASS + 1) + key[ok].view(U64) * U64(0x9E3779B97F4A7C15) + U64(k)
+                        rows.append((_mix(h).view(np.int64), (p + lo)[ok], (hi - lo + 1)[ok], (lead - lo)[ok], np.ones(int(ok.sum()), bool)))
+                    key, p, many, lead, hot = (np.concatenate([r[k] for r in rows]) for k in range(5))
+                cut = [text[a:b] for a, b in zip(p.tolist(), (p + many - 1 + LENGTH).tolist())]
+                for at in range(0, len(cut), 10_000):
+                    part = slice(at, at + 10_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[part]), pa.array(np.full(len(key[part]), i, np.int64)), pa.array(p[part]), pa.array(hot[part]), pa.array(cut[part], pa.binary())], names=["key", "id", "p", "hot", "bytes"]
+                    )
+
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "x", "hot")).alias("all"))
+    return _packed(docs).join(lists, "id").mapInArrow(run, "key bigint, id bigint, p bigint, hot boolean, bytes binary")
+
+
+def _by_strings(rows: DataFrame) -> DataFrame:
+    """Intervals of the strings in ``rows(id, p, bytes)`` that are repeats, by a hash of each string and pre-aggregated minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = column_bytes(batch.column(2))
+            raw, at = raw[at[0] : at[-1]], at - at[0]
+            many = np.diff(at) - LENGTH + 1
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            s = inside + np.repeat(at[:-1], many)
+            one, two = xxh64(raw, s, s + LENGTH, 1), xxh64(raw, s, s + LENGTH, 2)
+            place = np.repeat(batch.column(1).to_numpy(), many) + inside
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(place)], names=["one", "two", "id", "p"])
+
+    strings = materialize(rows.select("id", "p", "bytes").mapInArrow(run, "one bigint, two bigint, id bigint, p bigint"), "strings")
+    least = strings.groupBy("one", "two").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = strings.join(least, ["one", "two"]).where("id <> first.id or p <> first.p")
+    return later.selectExpr("id", "p as s", f"p + {LENGTH} as e")
+
+
+def _frequent(docs: DataFrame) -> DataFrame:
+    """``anchor``: those that a sample of the documents shows so often that one task shouldn't hold all their rows."""
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLE)) == 0).mapInArrow(first_contexts, FIRST).where("kind = 0")
+    counts = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # at most 5000 anchors can reach this share
+    return counts.where(F.col("n") > max(HOT // SAMPLE, total // 5000)).select("anchor")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """``id, s, e``: intervals of ``docs(id, text)``, one row an id, whose strings start earlier too."""
+    frequent = materialize(_frequent(docs).withColumn("often", F.lit(True)), "frequent")
+    rows = docs.mapInArrow(first_contexts, FIRST).join(F.broadcast(frequent), "anchor", "left")  # a few thousand anchors at most
+    rows = rows.withColumn("often", F.coalesce("often", F.lit(False)) & (F.col("kind") == 0))
+    # intervals of a batch travel in groups of their own
+    rows = rows.withColumn("salt", F.expr(f"case when kind = 1 then 1 + pmod(id, 1000003) when often then -1 - pmod(ctx, {SALTS}) else 0 end"))
+    group = Window.partitionBy("anchor", "salt")
+    rows = rows.withColumn("again", (F.col("kind") == 0) & F.col("ctx").eqNullSafe(F.lag("ctx").over(group.orderBy("ctx", "id", "x"))))
+    rows = rows.withColumn("different", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(group))
+    rows = rows.where("kind = 1 or again or often or different > 1")
+    found = materialize(rows.selectExpr("kind = 1 as whole", "anchor", "if(kind = 1, ctx, x) as x", "id", "again", f"often or different > {HOT} as hot"), "contexts")
+    batch = found.where("whole").selectExpr("id", "anchor as s", "x as e")
+    places = found.where("again").selectExpr("id", "shiftright(x, 14) as p", "shiftright(x, 7) & 127 as many")
+    equal = places.selectExpr("id", "p as s", f"p + many + {LENGTH - 1} as e")
+    wanted = found.where("not whole and not again").selectExpr("id", "anchor as key", "x", "hot")
+    cut = materialize(cut_contexts(docs, wanted), "cut")
+    parts = [batch, equal, _resolved(cut.where("not hot"))]
+    hot, made = cut.where("hot"), [found, cut]
+    if hot.limit(1).count():
+        firsts = materialize(hot.groupBy("key", "bytes").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+        later = hot.join(firsts.where("n > 1").drop("n"), ["key", "bytes"]).where("id <> first.id or p <> first.p")
+        sizes = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        cores = materialize(firsts.join(sizes, "key").selectExpr("key", "first.id as id", "first.p as p", "bytes", "size"), "cores")
+        parts += [later.selectExpr("id", "p as s", "p + length(bytes) as e"), _resolved(cores.where(f"size <= {HOT}"))]
+        made += [firsts, cores]
+        if cores.where(f"size > {HOT}").limit(1).count():
+            parts.append(_by_strings(cores.where(f"size > {HOT}")))
+    spans = parts[0]
+    for part in parts[1:]:
+        spans = spans.union(part)
+    spans = materialize(spans, "spans")
+    for df in made:
+        discard(df)
+    return spans
+
+
+def _numbered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
+    """``id, doc_id, text``, and whether ids are unique and not null and number the documents themselves."""
+    plain = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"coalesce(cast(`{text}` as string), '') as text")
+    if not plain.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return plain.selectExpr("doc_id as id", "doc_id", "text"), True
+    plain = plain.withColumn("h", F.xxhash64("text"))
+    order = plain.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h").withColumn("id", F.monotonically_increasing_id())
+    numbers = materialize(order.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "dh"), "numbers")
+    return plain.join(numbers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("id", "doc_id", "text"), False
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """Per document its length, removed bytes and runs, and the digest of what is left (with ``keep_text`` also that)."""
-    plain = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"coalesce(cast(`{text}` as string), '') as text")
+    every, unique = _numbered(docs, text, key)
+    plain = every.select("id", "text") if unique else every.select("id", "text").dropDuplicates(["id"])
     spans = repeats(plain).groupBy("id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    fields = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+    fields = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = column_bytes(batch.column(1))
             size, gone, count, digest, left = [], [], [], [], []
-            for i, (s, e) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                part = raw[at[i] : at[i + 1]]
-                kept = part
-                runs = 0
-                if s:
-                    s, e = np.asarray(s, np.int64), np.asarray(e, np.int64)
+            for z, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                data = _unpack(z.as_buffer())
+                n, runs = len(data), 0
+                if starts.values is not None:
+                    s, e = starts.values.to_numpy(), ends.values.to_numpy()
                     _, s, e = _merged(np.zeros(len(s), np.int64), s, e)
-                    edge = np.zeros(len(part) + 1, np.int32)
-                    edge[s] += 1
-                    edge[e] -= 1
-                    kept = part[np.cumsum(edge[:-1]) == 0]
+                    data = b"".join(data[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), n]))
                     runs = len(s)
-                data = kept.tobytes()
-                size.append(len(part))
-                gone.append(len(part) - len(kept))
+                size.append(n)
+                gone.append(n - len(data))
                 count.append(runs)
                 digest.append(hashlib.sha256(data).hexdigest())
                 left.append(data)
             cols = [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(left, pa.binary())] if keep_text else []), names=fields)
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return plain.join(spans, "id", "left").select("id", "text", "s", "e").mapInArrow(cut, schema)
+    schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_text else "")
+    done = _packed(plain).join(spans, "id", "left").select("id", "z", "s", "e").mapInArrow(cut, schema)
+    if unique:
+        return done.withColumnRenamed("id", "doc_id")
+    return every.select("id", "doc_id").join(done, "id").drop("id")

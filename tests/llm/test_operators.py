@@ -93,6 +93,27 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.remove_repeats(every(spark, odd)[1]).count() == 0
 
 
+def test_suffix_dedup_hot_passages(spark, monkeypatch):
+    """A passage in many different surroundings, by classes of offsets and by whole strings, and very frequent anchors."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, long = noise(105), noise(260)
+    rows = [(i, noise(rng.randrange(150)) + rng.choice([line, line[:99], line[3:104], long, long[40:200]]) + noise(rng.randrange(150))) for i in range(90)]
+    rows += [(90 + i, noise(40) + "ab" * rng.randrange(90) + line[:-1] + rng.choice("xyz")) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for hot in (2, 12):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(df).collect()} == brute_repeats(rows)
+
+
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    """A null id comes first, equal rows are copies of one document, and different texts of an id are documents of their own."""
+    a, b = ("".join(random.Random(k).choices("abcdef", k=300)) for k in (1, 2))
+    rows = [(7, a), (None, a), (3, b), (3, b), (9, a[:150]), (9, b[:150]), (None, a)]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(False, 0, 300, 0)] * 2 + [(True, 3, 300, 0)] * 2 + [(True, 7, 300, 300), (True, 9, 150, 150), (True, 9, 150, 150)]
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]

@@ -140,11 +140,13 @@ def test_pieces_as_the_library():
         assert m.decode(some) == sp.decode(some)
 
 
-def test_merged_transforms_sort_as_suffixes():
+def test_merged_transforms_sort_strings():
     rng = random.Random(7)
-    contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 150))) for _ in range(30)] + [b"a" * 140, b"a" * 120]
-    owner, offset, block = suffix_dedup.merge_shards(suffix_dedup.Shard(contexts[:13], 0), suffix_dedup.Shard(contexts[13:], 13))
-    keys = [contexts[o][f : f + 100] for o, f in zip(owner, offset)]
-    full = [(k, b) for k, b in zip(keys, block) if len(k) == 100]
-    assert [k for k, _ in full] == sorted(k for k, _ in full)
-    assert len({k for k, _ in full}) == len({b for _, b in full}) and len(set(full)) == len({k for k, _ in full})
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(100, 190))) for _ in range(30)] + [b"a" * 140, b"a" * 120, b"\xff" * 101]
+    alphabet = suffix_dedup.Alphabet(texts)
+    place = np.concatenate([np.arange(b, b + len(t) - 99) for t, b in zip(texts, alphabet.base)])
+    where = [(t, p) for t in range(len(texts)) for p in range(len(texts[t]) - 99)]
+    string, block = suffix_dedup.merge_shards([suffix_dedup.Shard(alphabet, place[a:b]) for a, b in ((0, 700), (700, 700), (700, 1500), (1500, None))])
+    keys = [texts[t][p : p + 100] for t, p in (where[i] for i in string)]
+    assert sorted(string) == list(range(len(where))) and keys == sorted(keys)
+    assert all((a == b) == (x == y) for a, b, x, y in zip(keys, keys[1:], block, block[1:]))
