@@ -1,51 +1,114 @@
 """Row-level DELETE, UPDATE and MERGE that never rewrite a fragment.
 
-A mutation finds its rows in the live view, writes their positions to a delete
-set and, for updates, their new images to patch fragments that keep row ids.
-One manifest makes all of it visible.  The positions are written once and read
-back, so every later step sees the same rows.
+A mutation finds its rows once in the live view and writes their positions to a delete
+set before anything else; new images, lost partials and counts are all made from that
+set, so a condition on the clock or on another changing source can't mark other rows
+than it patches.  New images go to patch fragments that keep row ids.  One manifest
+makes all of it visible.
+
+Up to ``SMALL`` matched rows are read with their columns in the same job, and what
+follows works on those rows instead of scanning again.
 """
 
 from __future__ import annotations
 
+import decimal
+import math
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 from ..errors import MergeConflict, SchemaMismatch, Unsupported
 from ..plans.pruning import prune
-from ..sources.table import FLOATS, ROW_ID, Table, decode, encode, stat_columns, unpack
-from .unique import check_inserted
+from ..sources.table import FLOATS, INTEGERS, ORDERED, ROW_ID, Table, decode, encode, stat_columns, unpack
+from .unique import check_inserted, extended
 
 #: Share of deleted rows from which a fragment's statistics are computed anew instead of taken back.
 RECOMPUTE_DENSITY = 0.10
+#: Matched rows that are held on the driver, at most.
+SMALL = 2_000
+
+
+class Matched:
+    """The rows of a mutation: marked in a delete set, and read back from there or, if few, held."""
+
+    def __init__(self, table: Table, base: dict, rows: DataFrame, fragments: list[dict]):
+        """``rows``: the columns of the table, ``_rowid``, ``_rowaddr``, ``__file`` and ``__pos`` of the matched ones."""
+        self.table, self.base, self.fragments = table, base, fragments
+        names = [*table.schema(base).names, "_rowid", "__file", "__pos"]
+        rows = rows.select(*[f"`{n}`" for n in names])
+        self.held = None
+        few = rows.limit(SMALL + 1).collect()
+        if len(few) <= SMALL:
+            self.held = few
+            schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
+            self.rows = table.spark.createDataFrame(few, schema).coalesce(1)
+        else:
+            self.rows = rows
+        self.path = f"deletes/{uuid.uuid4().hex}"
+        marks = self.rows.select(F.col("__file").alias("file_name"), F.col("__pos").alias("row_index"))
+        if self.held is None or few:
+            marks.write.parquet(table.files.uri(self.path))
+        if self.held is None:
+            marks = table.spark.read.schema("file_name string, row_index bigint").parquet(table.files.uri(self.path))
+            hit = {r[0] for r in marks.select("file_name").distinct().collect()}  # at most as many as there are fragments
+            self.touched = [f for f in base["fragments"] if f["path"].rsplit("/", 1)[-1] in hit]
+            self.marks = marks.select(F.col("file_name").alias("__file"), F.col("row_index").alias("__pos"))
+            if self.touched:
+                self.rows = table.scan(base, self.touched, physical=True).join(self.marks, ["__file", "__pos"], "left_semi").select(*[f"`{n}`" for n in names])
+        else:
+            hit = {r["__file"] for r in few}
+            self.touched = [f for f in base["fragments"] if f["path"].rsplit("/", 1)[-1] in hit]
+            self.marks = self.rows.select("__file", "__pos")
+
+    def lost(self) -> dict[str, dict]:
+        """File name to row count and partials of the matched rows."""
+        schema = self.table.schema(self.base)
+        if self.held is None:
+            got = self.rows.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), *stat_columns(schema)).collect()
+            return {r["__file"]: {"rows": r["rows"], "stats": unpack(r.asDict())} for r in got}
+        out = {}
+        for f in self.touched:
+            name = f["path"].rsplit("/", 1)[-1]
+            rows = [r for r in self.held if r["__file"] == name]
+            out[name] = {"rows": len(rows), "stats": {c.name: _partials(c, [r[c.name] for r in rows]) for c in schema}}
+        return out
 
 
-def _mark(table: Table, matched: DataFrame) -> tuple[str, DataFrame]:
-    path = f"deletes/{uuid.uuid4().hex}"
-    matched.select(F.col("__file").alias("file_name"), F.col("__pos").alias("row_index")).write.parquet(table.files.uri(path))
-    return path, table.spark.read.schema("file_name string, row_index bigint").parquet(table.files.uri(path))
+def _partials(f: T.StructField, values: list) -> dict:
+    """What ``stat_columns`` gives, of a few values."""
+    values = [v for v in values if v is not None]
+    out: dict = {"n": len(values)}
+    if not isinstance(f.dataType, ORDERED):
+        return out
+    if isinstance(f.dataType, FLOATS):
+        plain = [v for v in values if math.isfinite(v)]
+        out["odd"], values = len(values) - len(plain), plain
+        out |= {"s": None, "q": None}  # never taken back
+    elif isinstance(f.dataType, INTEGERS):
+        square = sum(v * v for v in values)
+        out |= {"s": encode(decimal.Decimal(sum(values))) if values else None, "q": encode(decimal.Decimal(square)) if values and square < 10**38 else None}
+    return out | {"lo": encode(min(values, default=None)), "hi": encode(max(values, default=None))}
 
 
-def _retracted(table: Table, base: dict, path: str, gone: DataFrame) -> tuple[list[dict], int]:
-    """The fragments without the marked rows: counts and integer sums taken back, extremes kept if no marked row holds them."""
+def _retracted(table: Table, base: dict, matched: Matched) -> tuple[list[dict], int]:
+    """The fragments without the matched rows.
+
+    Counts and integer sums are taken back.  Float sums, which rounding keeps from being
+    taken back, are left out, and extremes that a matched row holds become loose bounds;
+    answers scan such a fragment.  A fragment with many dead rows gets all of them anew.
+    """
     schema = table.schema(base)
-    hit = {r[0] for r in gone.select("file_name").distinct().collect()}
-    touched = [f for f in base["fragments"] if f["path"].rsplit("/", 1)[-1] in hit]
-    if not touched:
-        return base["fragments"], 0
-    marks = gone.select(F.col("file_name").alias("__file"), F.col("row_index").alias("__pos"))
-    rows = table.scan(base, [f | {"deleted": 0} for f in touched], physical=True).join(marks, ["__file", "__pos"], "left_semi")
-    lost = {r["__file"]: r.asDict() for r in rows.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), *stat_columns(schema)).collect()}
+    lost = matched.lost()
     again, out, total = [], {}, 0
-    for f in touched:
+    for f in matched.touched:
         name = f["path"].rsplit("/", 1)[-1]
-        n = lost[name]["rows"]
+        n, dead = lost[name]["rows"], lost[name]["stats"]
         total += n
-        stats, dead = {}, unpack(lost[name])
-        stale = (f["deleted"] + n) / f["rows"] >= RECOMPUTE_DENSITY and f["deleted"] + n < f["rows"]
+        stats = {}
         for c, s in f["stats"].items():
             d = dead.get(c, {"n": 0})
             new = {"n": s["n"] - d["n"]}
@@ -53,48 +116,52 @@ def _retracted(table: Table, base: dict, path: str, gone: DataFrame) -> tuple[li
                 new["odd"] = s["odd"] - d["odd"]
             if "lo" in s:
                 new |= {"lo": s["lo"], "hi": s["hi"]}
-                stale = stale or d.get("lo") is not None and (d["lo"] == s["lo"] or d["hi"] == s["hi"])
+                if s.get("loose") or d.get("lo") is not None and (d["lo"] == s["lo"] or d["hi"] == s["hi"]):
+                    new["loose"] = True
             if "s" in s:
-                if isinstance(schema[c].dataType, FLOATS):  # rounding can't be taken back
-                    stale = stale or d["n"] > 0
-                    new |= {"s": s["s"], "q": s["q"]}
+                if isinstance(schema[c].dataType, FLOATS):
+                    new |= {"s": s["s"], "q": s["q"]} if not d["n"] else {"s": None, "q": None}
                 else:
                     new |= {k: encode((decode(s[k]) or 0) - (decode(d.get(k)) or 0)) if new["n"] and s[k] is not None and (d["n"] == 0 or d.get(k) is not None) else None for k in ("s", "q")}
             stats[c] = new
         out[f["id"]] = f | {"deleted": f["deleted"] + n, "stats": stats, "groups": None}
         if f["deleted"] + n == f["rows"]:
             out[f["id"]]["gone"] = True
-        elif stale:
+        elif (f["deleted"] + n) / f["rows"] >= RECOMPUTE_DENSITY:
             again.append(f["id"])
     fragments = [out.get(f["id"], f) for f in base["fragments"]]
     fragments = [f for f in fragments if not f.get("gone")]
     if again:
-        trial = base | {"fragments": fragments, "deletes": [*base["deletes"], path]}
+        trial = base | {"fragments": fragments, "deletes": [*base["deletes"], matched.path]}
         live = table.scan(trial, [f for f in fragments if f["id"] in set(again)], physical=True)
         fresh = {r["__file"]: unpack(r.asDict()) for r in live.groupBy("__file").agg(*stat_columns(schema)).collect()}
         fragments = [f | {"stats": fresh.get(f["path"].rsplit("/", 1)[-1], f["stats"])} if f["id"] in set(again) else f for f in fragments]
     return fragments, total
 
 
-def _commit(table: Table, base: dict, matched: DataFrame | None, patches: list[dict] = (), inserts: list[dict] = ()) -> int:
+def _commit(table: Table, base: dict, matched: Matched | None, patches: list[dict] = (), inserts: list[dict] = (), stream: dict | None = None) -> int:
     fragments, deletes, total = base["fragments"], base["deletes"], 0
-    if matched is not None:
-        path, gone = _mark(table, matched)
-        check_inserted(table, base, [*patches, *inserts], gone.select(F.col("file_name").alias("__file"), F.col("row_index").alias("__pos")))
-        fragments, total = _retracted(table, base, path, gone)
-        deletes = [*deletes, path]
+    if matched is not None and matched.touched:
+        check_inserted(table, base, [*patches, *inserts], matched.marks)
+        fragments, total = _retracted(table, base, matched)
+        deletes = [*deletes, matched.path]
+    elif inserts:
+        check_inserted(table, base, [*inserts])
     new = [*patches, *inserts]
-    if not total and not new:
+    if not total and not new and not stream:
         return 0
     added = sum(f["rows"] for f in inserts)
     top = max([base["next_fragment"] - 1, *(f["id"] for f in new)]) + 1
-    table.commit(base, fragments=[*fragments, *new], deletes=deletes, next_fragment=top, next_row_id=base["next_row_id"] + added)
+    dirty = any(f["deleted"] for f in fragments)
+    extra = {"streams": base.get("streams", {}) | stream} if stream else {}
+    table.commit(base, fragments=[*fragments, *new], deletes=deletes if dirty else [], next_fragment=top, next_row_id=base["next_row_id"] + added, indexes=extended(table, base, new), **extra)
     return total
 
 
-def _candidates(table: Table, base: dict, condition: str | None, alias: str | None, name: str) -> DataFrame:
-    live = table.scan(base, prune(base["fragments"], condition), physical=True).alias(alias or name)
-    return live.where(F.expr(condition)) if condition else live
+def _matched(table: Table, base: dict, condition: str | None, alias: str | None, name: str) -> Matched:
+    fragments = prune(table, base, condition, alias or name)
+    live = table.scan(base, fragments, physical=True).alias(alias or name)
+    return Matched(table, base, live.where(F.expr(condition)) if condition else live, fragments)
 
 
 def delete(table: Table, condition: str | None = None, name: str = "t", alias: str | None = None) -> int:
@@ -105,7 +172,7 @@ def delete(table: Table, condition: str | None = None, name: str = "t", alias: s
         if n:
             table.commit(base, fragments=[], deletes=[])
         return n
-    return _commit(table, base, _candidates(table, base, condition, alias, name))
+    return _commit(table, base, _matched(table, base, condition, alias, name))
 
 
 def update(table: Table, assignments: list[tuple[str, str]], condition: str | None = None, name: str = "t", alias: str | None = None) -> int:
@@ -117,10 +184,22 @@ def update(table: Table, assignments: list[tuple[str, str]], condition: str | No
         if c.lower() not in folded:
             raise SchemaMismatch(f"no column {c}")
     new = {folded[c.lower()]: e for c, e in assignments}
-    matched = _candidates(table, base, condition, alias, name)
-    images = matched.select(*[(F.expr(new[f.name]).cast(f.dataType) if f.name in new else F.col(f"`{f.name}`")).alias(f.name) for f in schema], F.col("_rowid").alias(ROW_ID))
-    patches = table.stage(images, base, (ROW_ID,))
-    return _commit(table, base, matched, patches) if patches else 0
+    matched = _matched(table, base, condition, alias, name)
+    if not matched.touched:
+        return 0
+    rows = matched.rows.alias(alias or name)
+    images = rows.select(*[(F.expr(new[f.name]).cast(f.dataType) if f.name in new else F.col(f"`{f.name}`")).alias(f.name) for f in schema], F.col("_rowid").alias(ROW_ID))
+    patches = table.stage(images, base, (ROW_ID,), few=matched.held is not None)
+    return _commit(table, base, matched, patches)
+
+
+@dataclass
+class Action:
+    """An arm of MERGE: ``update`` (values by column; None takes the source's), ``delete`` or ``insert``, where a condition holds."""
+
+    what: str
+    values: dict[str, str] | None = None
+    condition: str | None = None
 
 
 def merge(
@@ -128,47 +207,84 @@ def merge(
     source: DataFrame,
     key: str,
     source_key: str | None = None,
-    assignments: list[tuple[str, str]] | None = None,
-    insert: list[tuple[str, str]] | None = None,
-    update_matched: bool = True,
+    matched: list[Action] | None = None,
+    missing: list[Action] | None = None,
     target_alias: str = "t",
     source_alias: str = "s",
-) -> tuple[int, int]:
-    """Upsert: rows of ``source`` whose key is live update, others are inserted; (updated, inserted).
+    stream: dict | None = None,
+) -> tuple[int, int, int]:
+    """MERGE on a unique key; (updated, inserted, deleted).
 
-    ``assignments`` and ``insert`` give expressions over both aliases; without them columns are taken by name.
+    Rows of ``source`` whose key is live take the first arm of ``matched`` whose condition
+    holds, others the first of ``missing``; without arms matched rows are updated and others
+    inserted, columns taken by name.  The source is evaluated once and kept in the table's
+    staging folder until the commit.
     """
     base = table.manifest()
     if not any(i["unique"] and i["column"] == key for i in base["indexes"]):
         raise Unsupported(f"MERGE needs a unique index on {key}")
     schema, source_key = table.schema(base), source_key or key
-    k = F.col(f"`{source_key}`")
-    if source.where(k.isNull()).limit(1).count():
-        raise MergeConflict("the source has a null key")
-    if twice := source.groupBy(k.alias("k")).count().where("count > 1").limit(1).collect():
-        raise MergeConflict(f"the source has key {twice[0][0]!r} twice")
-    live, src = table.scan(base, physical=True).alias(target_alias), source.alias(source_alias)
-    on = F.col(f"{target_alias}.`{key}`") == F.col(f"{source_alias}.`{source_key}`")
-    patches: list[dict] = []
-    matched = None
-    if update_matched:
-        both = live.join(src, on)
-        fallback = {n: f"{source_alias}.`{n}`" for n in source.columns if n in schema.names}
-        new = dict(assignments) if assignments is not None else fallback
-        if unknown := set(new) - set(schema.names):
+    matched = [Action("update")] if matched is None else matched
+    missing = [Action("insert")] if missing is None else missing
+    by_name = {n: f"{source_alias}.`{n}`" for n in source.columns if n in schema.names}
+    for a in (*matched, *missing):
+        if unknown := set(a.values or ()) - set(schema.names):
             raise SchemaMismatch(f"no column {sorted(unknown)}")
-        images = both.select(*[(F.expr(new[f.name]).cast(f.dataType) if f.name in new else F.col(f"{target_alias}.`{f.name}`")).alias(f.name) for f in schema], F.col(f"{target_alias}._rowid").alias(ROW_ID))
-        patches = table.stage(images, base, (ROW_ID,))
-        matched = both.select("__file", "__pos") if patches else None
-    fresh = src.join(live.select(F.col(f"{target_alias}.`{key}`").alias("__k")), F.col(f"{source_alias}.`{source_key}`") == F.col("__k"), "left_anti")
-    values = dict(insert) if insert is not None else {n: f"{source_alias}.`{n}`" for n in source.columns if n in schema.names}
-    rows = fresh.select(*[(F.expr(values[f.name]) if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-    inserts = table.stage(rows, base | {"next_fragment": base["next_fragment"] + len(patches)})
-    updated = sum(f["rows"] for f in patches)
-    if patches or inserts:
-        if matched is None:
-            check_inserted(table, base, inserts)
-        _commit(table, base, matched, patches, inserts)
-    return updated, sum(f["rows"] for f in inserts)
+    held = f"staging/{uuid.uuid4().hex}"
+    source.write.parquet(table.files.uri(held))
+    try:
+        source = table.spark.read.schema(source.schema).parquet(table.files.uri(held))
+        k = F.col(f"`{source_key}`")
+        counts = source.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k is null or n > 1").limit(1).collect()
+        if counts:
+            raise MergeConflict("the source has a null key" if counts[0]["k"] is None else f"the source has key {counts[0]['k']!r} twice")
+        live, src = table.scan(base, physical=True).alias(target_alias), source.alias(source_alias)
+        on = F.col(f"{target_alias}.`{key}`") == F.col(f"{source_alias}.`{source_key}`")
 
+        def chosen(arms: list[Action]):
+            """Number of the first arm whose condition holds."""
+            out = F.lit(None).cast("int")
+            for n, a in reversed(list(enumerate(arms))):
+                out = F.when(F.expr(a.condition) if a.condition else F.lit(True), F.lit(n)).otherwise(out)
+            return out
 
+        hit, patches, gone = None, [], 0
+        if matched:
+            # the arm is chosen once, with the row that it is chosen for
+            both = live.join(src, on).withColumn("__arm", chosen(matched)).where("__arm is not null")
+            images = []
+            for f in schema:
+                e = F.col(f"{target_alias}.`{f.name}`")
+                for n, a in enumerate(matched):
+                    new = by_name if a.values is None else a.values
+                    if a.what == "update" and f.name in new:
+                        e = F.when(F.col("__arm") == n, F.expr(new[f.name]).cast(f.dataType)).otherwise(e)
+                images.append(e.alias(f.name))
+            doomed = [n for n, a in enumerate(matched) if a.what == "delete"]
+            picked = both.select(*images, F.col(f"{target_alias}._rowid").alias(ROW_ID), F.col("__file").alias("__f"), F.col("__pos").alias("__p"), F.col("__arm").isin(doomed).alias("__gone"))
+            side = f"staging/{uuid.uuid4().hex}"
+            picked.write.parquet(table.files.uri(side))
+            picked = table.spark.read.schema(picked.schema).parquet(table.files.uri(side))
+            gone = picked.where("__gone").count() if doomed else 0
+            patches = table.stage(picked.where("not __gone").drop("__f", "__p", "__gone"), base, (ROW_ID,))
+            if patches or gone:
+                marked = table.scan(base, physical=True).join(picked.select(F.col("__f").alias("__file"), F.col("__p").alias("__pos")), ["__file", "__pos"], "left_semi")
+                hit = Matched(table, base, marked, base["fragments"])
+            table.files.delete(side)
+        inserts: list[dict] = []
+        if missing:
+            fresh = src.join(live.select(F.col(f"{target_alias}.`{key}`").alias("__k")), F.col(f"{source_alias}.`{source_key}`") == F.col("__k"), "left_anti")
+            fresh = fresh.withColumn("__arm", chosen(missing)).where("__arm is not null")
+            rows = []
+            for f in schema:
+                e = F.lit(None).cast(f.dataType)
+                for n, a in enumerate(missing):
+                    new = by_name if a.values is None else a.values
+                    if f.name in new:
+                        e = F.when(F.col("__arm") == n, F.expr(new[f.name]).cast(f.dataType)).otherwise(e)
+                rows.append(e.alias(f.name))
+            inserts = table.stage(fresh.select(*rows), base | {"next_fragment": base["next_fragment"] + len(patches)})
+        _commit(table, base, hit, patches, inserts, stream)
+        return sum(f["rows"] for f in patches), sum(f["rows"] for f in inserts), gone
+    finally:
+        table.files.delete(held)

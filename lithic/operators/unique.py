@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Unsupported, UniqueViolation
-from ..plans.pruning import prune
-from ..sources.table import Table
+from ..plans.pruning import indexed, surviving
+from ..sources.table import Table, decode
 
 
 def check_duplicates(keys: DataFrame, column: str) -> None:
@@ -26,8 +26,12 @@ def check_inserted(table: Table, base: dict, fragments: list[dict], gone: DataFr
         c = index["column"]
         new = table.scan(base, [f | {"deleted": 0} for f in fragments]).select(c)
         check_duplicates(new, c)
-        if base["fragments"]:
-            live = table.scan(base, physical=True)
+        bounds = [(decode(f["stats"][c]["lo"]), decode(f["stats"][c]["hi"])) for f in fragments if f["stats"].get(c, {}).get("lo") is not None]
+        near = base["fragments"]
+        if bounds:  # only fragments whose keys reach into the new ones' range can hold one of them
+            near = surviving(near, [(c, ">=", min(b[0] for b in bounds)), (c, "<=", max(b[1] for b in bounds))])
+        if near:
+            live = table.scan(base, near, physical=True)
             if gone is not None:
                 live = live.join(gone, ["__file", "__pos"], "left_anti")
             met = live.join(new.withColumnRenamed(c, "__k"), F.col(c) == F.col("__k"), "left_semi").limit(1).collect()
@@ -53,15 +57,20 @@ def drop_index(table: Table, name: str) -> None:
     table.commit(base, indexes=[i for i in base["indexes"] if i["name"] != name])
 
 
-def _extended(table: Table, base: dict, index: dict) -> dict:
+def _extended(table: Table, base: dict, index: dict, fresh: list[dict] | None = None) -> dict:
     """The index with key files for the fragments it doesn't cover yet; fragments never change, so old files stay right."""
-    fresh = [f for f in base["fragments"] if f["id"] not in set(index["covers"])]
+    fresh = [f for f in (base["fragments"] if fresh is None else fresh) if f["id"] not in set(index["covers"])]
     if not fresh:
         return index
     path = f"index/{index['name']}/{uuid.uuid4().hex}"
     keys = table.scan(base, [f | {"deleted": 0} for f in fresh], physical=True).where(F.col(index["column"]).isNotNull())
     keys.select(F.col(index["column"]).alias("key"), F.col("__file").alias("file_name")).distinct().sort("key").write.parquet(table.files.uri(path))
-    return index | {"files": [*index["files"], path], "covers": [f["id"] for f in base["fragments"]]}
+    return index | {"files": [*index["files"], path], "covers": [*index["covers"], *(f["id"] for f in fresh)]}
+
+
+def extended(table: Table, base: dict, fragments: list[dict]) -> list[dict]:
+    """The table's indexes with the keys of new fragments, for the commit that adds those."""
+    return [_extended(table, base, i, fragments) for i in base["indexes"]]
 
 
 def refresh_indexes(table: Table) -> None:
@@ -72,11 +81,6 @@ def refresh_indexes(table: Table) -> None:
 def lookup(table: Table, column: str, values: list, sequence: int | None = None) -> DataFrame:
     """Live rows whose column is one of the values, reading only fragments that can hold them."""
     base = table.manifest(sequence)
-    fragments = prune(base["fragments"], f"{column} IN ({', '.join(repr(v) for v in values)})")
-    index = next((i for i in base["indexes"] if i["column"] == column and i["files"]), None)
-    if index and len(fragments) > 1:
-        keys = table.spark.read.parquet(*[table.files.uri(p) for p in index["files"]])
-        named = {r[0] for r in keys.where(F.col("key").isin(values)).select("file_name").distinct().collect()}
-        covered = set(index["covers"])
-        fragments = [f for f in fragments if f["id"] not in covered or f["path"].rsplit("/", 1)[-1] in named]
+    found = [(column, "IN", [v for v in values if v is not None])]
+    fragments = indexed(table, base, surviving(base["fragments"], found), found)
     return table.scan(base, fragments).where(F.col(column).isin(values))

@@ -1,7 +1,6 @@
 """SQL statements read with Spark's own parser.
 
-The parser is reached through the session's JVM gateway; this is the one module
-that does so.
+The parser is reached through the session's JVM gateway.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from ..errors import Unsupported
+from .catalyst import items, kind
 
 
 @dataclass
@@ -23,26 +23,22 @@ class Statement:
     assignments: list[tuple[str, str]] = field(default_factory=list)
     source: str = ""
     source_alias: str | None = None
-    insert: list[tuple[str, str]] | None = None  # None: all columns by name
-    update_all: bool = False
+    matched: list[tuple[str, list[tuple[str, str]] | None, str | None]] = field(default_factory=list)  # (what, values; None: by name, condition)
+    missing: list[tuple[str, list[tuple[str, str]] | None, str | None]] = field(default_factory=list)
 
 
 def parse_plan(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
-def _items(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
-
-
 def _relation(plan) -> tuple[str, str | None]:
     """Name and alias of a plain table."""
-    kind = plan.getClass().getSimpleName()
-    if kind == "SubqueryAlias":
+    what = kind(plan)
+    if what == "SubqueryAlias":
         name, _ = _relation(plan.child())
         return name, plan.alias()
-    if kind == "UnresolvedRelation":
-        parts = _items(plan.multipartIdentifier())
+    if what == "UnresolvedRelation":
+        parts = items(plan.multipartIdentifier())
         if len(parts) != 1:
             raise Unsupported(f"qualified table name {'.'.join(parts)}")
         return parts[0].lower(), None
@@ -51,11 +47,11 @@ def _relation(plan) -> tuple[str, str | None]:
 
 def _assignments(seq) -> list[tuple[str, str]]:
     out = []
-    for a in _items(seq):
+    for a in items(seq):
         key = a.key()
-        if key.getClass().getSimpleName() != "UnresolvedAttribute":
+        if kind(key) != "UnresolvedAttribute":
             raise Unsupported("only plain columns can be set")
-        out.append((_items(key.nameParts())[-1], a.value().sql()))
+        out.append((items(key.nameParts())[-1], a.value().sql()))
     return out
 
 
@@ -69,33 +65,28 @@ def referenced_tables(spark: SparkSession, sql: str) -> list[str]:
 
 def parse_statement(spark: SparkSession, sql: str) -> Statement:
     plan = parse_plan(spark, sql)
-    kind = plan.getClass().getSimpleName()
-    if kind == "DeleteFromTable":
+    what = kind(plan)
+    if what == "DeleteFromTable":
         name, alias = _relation(plan.table())
         cond = plan.condition().sql()
         return Statement("delete", name, alias, None if cond.lower() == "true" else cond)
-    if kind == "UpdateTable":
+    if what == "UpdateTable":
         name, alias = _relation(plan.table())
         return Statement("update", name, alias, plan.condition().get().sql() if plan.condition().isDefined() else None, _assignments(plan.assignments()))
-    if kind == "MergeIntoTable":
+    if what == "MergeIntoTable":
         name, alias = _relation(plan.targetTable())
-        matched, missing, gone = (_items(x) for x in (plan.matchedActions(), plan.notMatchedActions(), plan.notMatchedBySourceActions()))
-        if gone or len(matched) > 1 or len(missing) != 1 or any(a.condition().isDefined() for a in (*matched, *missing)):
-            raise Unsupported("MERGE takes one WHEN MATCHED THEN UPDATE and one WHEN NOT MATCHED THEN INSERT, without conditions")
+        if not plan.notMatchedBySourceActions().isEmpty():
+            raise Unsupported("MERGE has no WHEN NOT MATCHED BY SOURCE")
         out = Statement("merge", name, alias, plan.mergeCondition().sql())
         m = re.search(r"(?is)\busing\s+(.*?)\s+(?:as\s+)?(\w+)\s+on\b", sql) or re.search(r"(?is)\busing\s+(\w+)()\s+on\b", sql)
         if not m:
             raise Unsupported("MERGE needs USING source [AS alias] ON")
         out.source, out.source_alias = m[1].strip(), m[2] or m[1].strip()
-        for a in matched:
-            action = a.getClass().getSimpleName()
-            if action == "UpdateStarAction":
-                out.update_all = True
-            elif action == "UpdateAction":
-                out.assignments = _assignments(a.assignments())
-            else:
-                raise Unsupported("WHEN MATCHED takes UPDATE only")
-        action = missing[0].getClass().getSimpleName()
-        out.insert = None if action == "InsertStarAction" else _assignments(missing[0].assignments())
+        arms = {"UpdateAction": "update", "UpdateStarAction": "update", "DeleteAction": "delete", "InsertAction": "insert", "InsertStarAction": "insert"}
+        for actions, into in ((plan.matchedActions(), out.matched), (plan.notMatchedActions(), out.missing)):
+            for a in items(actions):
+                name = kind(a)
+                values = _assignments(a.assignments()) if name in ("UpdateAction", "InsertAction") else None
+                into.append((arms[name], values, a.condition().get().sql() if a.condition().isDefined() else None))
         return out
     return Statement("other")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -32,25 +34,59 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str, overwrite: bool = False) -> None:
-        """Write a whole file; without ``overwrite`` an existing one is an error."""
+        """Make a whole file visible at once; without ``overwrite`` an existing one is an error.
+
+        On local disks the text goes to a file beside, which is then linked (exclusive) or moved
+        (atomic) to its name; on HDFS it is renamed by one call to the name node.  Object stores
+        make a file visible when its upload ends; exclusive ones are conditional uploads.
+        """
         target = self._path(name)
-        if overwrite:  # readers see the old or the new file, whole
-            side = self._path(f"{name}.tmp")
-            stream = self._fs.create(side, True)
-        else:
-            stream = self._fs.create(target, False)
+        scheme = self._fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs", "webhdfs"):
+            made = self._fs.createFile(target).recursive().overwrite(overwrite)
+            if not overwrite:
+                made = made.opt("fs.option.create.conditional.overwrite", True)
+            self._fill(made.build(), text)
+            return
+        side = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        self._fill(self._fs.create(side, True), text)
+        try:
+            if scheme == "file":
+                files, plain = self._jvm.java.nio.file.Files, lambda p: self._jvm.java.nio.file.Path.of(p.toUri().getPath(), self._spark_strings())
+                if overwrite:
+                    option = self._jvm.java.nio.file.StandardCopyOption
+                    options = self.spark.sparkContext._gateway.new_array(self._jvm.java.nio.file.CopyOption, 2)
+                    options[0], options[1] = option.ATOMIC_MOVE, option.REPLACE_EXISTING
+                    files.move(plain(side), plain(target), options)
+                else:
+                    files.createLink(plain(target), plain(side))
+            else:
+                rename = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename")
+                options = self.spark.sparkContext._gateway.new_array(rename, 1)
+                options[0] = rename.OVERWRITE if overwrite else rename.NONE
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(side, target, options)
+        except Exception as e:
+            if not overwrite and "exist" in str(e).lower():
+                raise FileExistsError(f"{name} exists") from e
+            raise
+        finally:
+            self._fs.delete(side, False)
+
+    def _spark_strings(self):
+        return self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
+
+    @staticmethod
+    def _fill(stream, text: str) -> None:
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if overwrite:
-            self._fs.delete(target, False)
-            if not self._fs.rename(side, target):
-                raise OSError(f"can't write {name}")
 
     def names(self, folder: str) -> list[str]:
         p = self._path(folder)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+        found = [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        return sorted(n for n in found if not n.endswith((".tmp", ".crc")))
 
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(name)).getLength()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CommitConflict, Corrupt, NullViolation, SchemaMismatch, SnapshotNotFound
+from ..errors import CommitConflict, NullViolation, SchemaMismatch, SnapshotNotFound
 from .files import Files
 from .types import schema_from_json, schema_to_json
 
@@ -99,6 +99,7 @@ class Table:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.files, self.path = spark, Files(spark, path), path.rstrip("/")
         self._manifests: dict[int, dict] = {}
+        self._metas: dict[int, dict] = {}
 
     # -- snapshots -------------------------------------------------------------
 
@@ -122,10 +123,8 @@ class Table:
             raise CommitConflict(f"snapshot {manifest['sequence']} exists")
         try:
             self.files.create(name, json.dumps(manifest, sort_keys=True))
-        except Exception as e:  # the file system says that it exists
-            if "exist" in str(e).lower():
-                raise CommitConflict(f"snapshot {manifest['sequence']} exists") from e
-            raise
+        except FileExistsError as e:
+            raise CommitConflict(f"snapshot {manifest['sequence']} exists") from e
         self._manifests[manifest["sequence"]] = manifest
         return manifest
 
@@ -156,7 +155,10 @@ class Table:
         return self._write(base | changes | {"sequence": base["sequence"] + 1, "parent_hash": self.hash_of(base["sequence"])})
 
     def meta(self, manifest: dict | None = None) -> dict:
-        return json.loads(self.files.read(f"schemas/{(manifest or self.manifest())['schema']:04d}.json"))
+        version = (manifest or self.manifest())["schema"]
+        if version not in self._metas:  # schema files never change
+            self._metas[version] = json.loads(self.files.read(f"schemas/{version:04d}.json"))
+        return self._metas[version]
 
     def schema(self, manifest: dict | None = None) -> T.StructType:
         return schema_from_json(self.meta(manifest)["fields"])
@@ -183,8 +185,10 @@ class Table:
         df = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
         if dirty:
             gone = self.spark.read.schema("file_name string, row_index bigint").parquet(*[self.files.uri(d) for d in manifest["deletes"]])
-            if sum(f["deleted"] for f in manifest["fragments"]) <= BROADCAST_DELETES:
-                gone = F.broadcast(gone)
+            marked = [f["path"].rsplit("/", 1)[-1] for f in fragments if f["deleted"]]
+            if sum(f["deleted"] for f in fragments) <= BROADCAST_DELETES and len(marked) <= 10_000:
+                # delete sets also hold rows of fragments that are gone or not read here
+                gone = F.broadcast(gone.where(F.col("file_name").isin(marked)))
             df = df.join(gone, (F.col("__file") == F.col("file_name")) & (F.col("__pos") == F.col("row_index")), "left_anti")
         if held:
             known = [(f["path"].rsplit("/", 1)[-1], f["id"], f["base"]) for f in fragments]
@@ -214,8 +218,8 @@ class Table:
             out.append(c.alias(f.name))
         return df.select(*out, *extra)
 
-    def stage(self, df: DataFrame, manifest: dict, extra: tuple[str, ...] = (), sort_by: list[str] | None = None) -> list[dict]:
-        """Write ``df`` as fragments and describe them; nothing is committed."""
+    def stage(self, df: DataFrame, manifest: dict, extra: tuple[str, ...] = (), sort_by: list[str] | None = None, few: bool = False) -> list[dict]:
+        """Write ``df`` as fragments and describe them; nothing is committed.  ``few`` rows go to one file without a shuffle."""
         meta = self.meta(manifest)
         sort_by = meta["sort_by"] if sort_by is None else sort_by
         df = self.conform(df, manifest, extra)
@@ -223,12 +227,15 @@ class Table:
         if meta["partition_by"]:  # a fragment holds one tuple of partition values
             keys = [f"`{c}`" for c in meta["partition_by"]]
             shadow = [F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)]
-            df = df.select("*", *shadow).repartition(*[F.col(k) for k in keys])
+            df = df.select("*", *shadow)
+            df = df.coalesce(1) if few else df.repartition(*[F.col(k) for k in keys])
             df = df.sortWithinPartitions(*[f"__p{i}" for i in range(len(keys))], *sort_by)
             writer = df.write.option("maxRecordsPerFile", TARGET_ROWS).partitionBy(*[f"__p{i}" for i in range(len(keys))])
         else:
+            if few:
+                df = df.coalesce(1)
             if sort_by:
-                df = df.repartitionByRange(*[F.col(f"`{c}`") for c in sort_by]).sortWithinPartitions(*[F.col(f"`{c}`") for c in sort_by])
+                df = (df if few else df.repartitionByRange(*[F.col(f"`{c}`") for c in sort_by])).sortWithinPartitions(*[F.col(f"`{c}`") for c in sort_by])
             writer = df.write.option("maxRecordsPerFile", TARGET_ROWS)
         try:
             writer.parquet(self.files.uri(folder))
@@ -243,7 +250,7 @@ class Table:
             self.files.move(f"{folder}/{name}", path)
             found.append(path)
         self.files.delete(folder)
-        return self.describe(found, manifest, bool(extra)) if found else []
+        return self.describe(found, manifest, bool(extra), few) if found else []
 
     def _parts(self, folder: str, inside: str = "") -> list[str]:
         out = []
@@ -255,13 +262,14 @@ class Table:
                 out.append(full)
         return out
 
-    def describe(self, paths: list[str], manifest: dict, with_ids: bool) -> list[dict]:
-        """Statistics and partials of new files, in one job over all of them."""
+    def describe(self, paths: list[str], manifest: dict, with_ids: bool, few: bool = False) -> list[dict]:
+        """Statistics and partials of new files, in one job over all of them; those of ``few`` rows have no groups, answers scan them."""
         schema, meta = self.schema(manifest), self.meta(manifest)
         open_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
         df = self.spark.read.schema(open_schema).parquet(*[self.files.uri(p) for p in paths]).select("*", F.col("_metadata.file_name").alias("__file"))
+        df = df.coalesce(1) if few else df
         rows = {r["__file"]: r.asDict() for r in df.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), *stat_columns(schema)).collect()}
-        groups = self._group_partials(df, schema, meta)
+        groups = None if few else self._group_partials(df, schema, meta)
         out, fid, rid = [], manifest["next_fragment"], manifest["next_row_id"]
         for path in paths:
             r = rows.get(path.rsplit("/", 1)[-1])
@@ -289,17 +297,21 @@ class Table:
 
     # -- commits ---------------------------------------------------------------
 
-    def insert(self, df: DataFrame) -> int:
-        """Append rows; returns how many."""
+    def insert(self, df: DataFrame, stream: dict | None = None) -> int:
+        """Append rows; returns how many.  ``stream`` names the last batch of a checkpoint, in the same manifest."""
         base = self.manifest()
+        streams = {"streams": base.get("streams", {}) | stream} if stream else {}
         fragments = self.stage(df, base)
         if not fragments:
+            if streams:
+                self.commit(base, **streams)
             return 0
-        from ..operators.unique import check_inserted
+        from ..operators.unique import check_inserted, extended
 
         check_inserted(self, base, fragments)
         n = sum(f["rows"] for f in fragments)
-        self.commit(base, fragments=[*base["fragments"], *fragments], next_fragment=fragments[-1]["id"] + 1, next_row_id=base["next_row_id"] + n)
+        indexes = extended(self, base, fragments)
+        self.commit(base, fragments=[*base["fragments"], *fragments], next_fragment=fragments[-1]["id"] + 1, next_row_id=base["next_row_id"] + n, indexes=indexes, **streams)
         return n
 
     def insert_parquet(self, path: str) -> int:
@@ -384,7 +396,3 @@ def group_sums(f: T.StructField) -> list:
     wide = c.cast("double")
     return [F.count(c).alias(f"{n}|n"), F.sum(wide).alias(f"{n}|s"), F.sum(wide * wide).alias(f"{n}|q")]
 
-
-def require(found: bool, what: str) -> None:
-    if not found:
-        raise Corrupt(what)

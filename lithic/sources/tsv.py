@@ -57,7 +57,9 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     header = first[0].split("\t")
     if len(set(header)) != len(header):
         raise SchemaMismatch("duplicate header")
-    body = lines.where(F.col("value") != first[0])
+    # each file has the header once; further lines that equal it are rows
+    like = lines.where(F.col("value") == first[0]).groupBy(F.col("_metadata.file_path").alias("f"), "value").agg(F.count(F.lit(1)).alias("n"))
+    body = lines.where(F.col("value") != first[0]).union(like.where("n > 1").select("f", F.explode(F.sequence(F.lit(2), F.col("n"))), "value").select("value"))
     if schema is None:
         sample = [r[0].split("\t") for r in body.limit(100).collect()]
         schema = T.StructType([T.StructField(n, T._parse_datatype_string(k) if hasattr(T, "_parse_datatype_string") else spark.createDataFrame([], f"c {k}").schema[0].dataType, True) for n, k in zip(header, infer(sample, len(header)))])

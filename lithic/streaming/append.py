@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CommitConflict
 from ..operators.mutations import merge
 from ..sources.table import Table
 
@@ -13,23 +12,19 @@ from ..sources.table import Table
 def append_stream(stream: DataFrame, table: Table, checkpoint: str, upsert_key: str | None = None, **trigger):
     """Start a query that appends each micro-batch, or upserts it by a unique key.
 
-    The manifest names the last batch of each checkpoint, so a batch that is
-    replayed after a failure isn't stored twice.  Returns the streaming query.
+    The manifest that holds a batch's rows also names the batch, so rows and number become
+    visible together and a batch that is replayed after a failure isn't stored twice.  If
+    another writer commits in between, the batch fails and is tried again by the stream's
+    restart.  Returns the streaming query.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        done = table.manifest().get("streams", {}).get(checkpoint, -1)
-        if number <= done:
+        if number <= table.manifest().get("streams", {}).get(checkpoint, -1):
             return
-        before = table.sequence
         if upsert_key:
-            merge(table, batch, upsert_key)
+            merge(table, batch, upsert_key, stream={checkpoint: number})
         else:
-            table.insert(batch)
-        m = table.manifest()
-        if m["sequence"] > before + 1:
-            raise CommitConflict("another writer committed during the batch")
-        table.commit(m, streams=m.get("streams", {}) | {checkpoint: number})
+            table.insert(batch, {checkpoint: number})
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
