@@ -6,24 +6,23 @@ A byte goes if some string of ``LENGTH`` bytes that covers it starts earlier too
 1. Dealing.  Of the ``GRAM``-byte pieces in a string the one with the least hash is
    its anchor, so the string alone decides it, and equal strings share it at the same
    place.  Neighbouring strings of one anchor form a context.  Contexts are grouped by
-   anchor; only anchors that occur again go on.  Equal contexts (the rolling hash of
-   the anchor and XXH64 of the whole context agree, two unrelated functions) are kept
-   once, at their first place, first in each batch and then in each group; all other
-   places of them are repeats.
-2. Deciding.  The different contexts of an anchor meet in one task.  They are cut into
-   shards; a shard's strings are sorted from their ends backward, ``SYMBOL`` bytes at a
+   anchor; only anchors that occur again go on.  Equal contexts of a batch (compared
+   byte for byte) travel once.
+2. Deciding.  The contexts of an anchor meet in one task.  Each different one (by its
+   bytes) is held once, with its places; the different ones are cut into shards; a shard's strings are sorted from their ends backward, ``SYMBOL`` bytes at a
    time, and what precedes each sorted suffix is the shard's Burrows-Wheeler transform
    of that depth.  Shards are merged by refining an interleave: it starts as "first
    shard, then second" and each round deals the merged transform stably by its symbols,
    so no suffix is sorted again.  A boundary that appears in a round has that depth as
    its common prefix.  What lies between boundaries after ``LENGTH`` bytes is one
    repeated string, compared byte for byte; all its places but the earliest go.
-3. Hot anchors.  An anchor with more than ``HOT`` different contexts is dealt anew by
+3. Hot anchors.  An anchor with more than ``HOT`` contexts is dealt anew by
    longer common bytes: strings whose anchor lies ``CLASS`` offsets apart at most share
    a core, and cores are groups of their own.  A core that is hot again is dealt by
    whole strings; there each group is one string, and its least place is a minimum that
    is aggregated before the shuffle.  Anchors that a sample shows to be very frequent
-   are spread over tasks from the start.  So no task holds an unbounded group.
+   are spread over tasks from the start.  So no task holds an unbounded group.  Only at
+   that last step, whole strings of a hot core, two XXH64 of a string stand for it.
 
 Texts travel compressed.  Intermediate tables are written to shared storage.
 
@@ -104,11 +103,11 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first start in it, number of strings, bytes from there to the anchor, anchor hash, context hash) of all contexts."""
+    """(document, first start in it, number of strings, bytes from there to the anchor, anchor hash) of all contexts."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none, none.view(U64)
     gram = gram_hashes(raw)
     bits = U64(n.bit_length())
     # the position in the low bits: of equal grams the leftmost is the anchor
@@ -120,15 +119,13 @@ def contexts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     whole[at[1:][long] - LENGTH + 1] -= 1
     start = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
     if not len(start):
-        return none, none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none, none.view(U64)
     owner = (low[start] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     p, a = start[first], owner[first]
     many = np.diff(np.append(first, len(start)))
     doc = np.searchsorted(at, p, side="right") - 1
-    with np.errstate(over="ignore"):
-        ctx = xxh64(raw, p, p + many - 1 + LENGTH) + (a - p).astype(U64) * U64(0x9E6C63D0876A9A47)
-    return doc, p - at[doc], many, a - p, _mix(gram[a]), _mix(ctx)
+    return doc, p - at[doc], many, a - p, _mix(gram[a])
 
 
 def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,30 +143,75 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return doc[first], s[first], np.append(reach[first[1:] - 1], reach[-1])
 
 
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``raw[a:a+size]`` and ``raw[b:b+size]`` are the same bytes."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 4096):
+        n = size[lo : lo + 4096]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = raw[np.repeat(a[lo : lo + 4096], n) + inside] != raw[np.repeat(b[lo : lo + 4096], n) + inside]
+        out[lo : lo + 4096] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
+
+
+def _segments(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, bytes before it that are left out, bytes, offsets) of runs of documents; a long one in parts that share ``LENGTH - 1`` bytes."""
+    for i, j, part, offs in steps(raw, at, STEP):
+        if len(part) <= 2 * STEP:
+            yield i, 0, part, offs
+            continue
+        for lo in range(0, len(part), STEP):  # one document; each string starts in one part
+            some = part[lo : lo + STEP + LENGTH - 1]
+            yield i, lo, some, np.array([0, len(some)])
+
+
 def first_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts that are the first of their kind in a batch (``kind`` 0; ``x``: place), and intervals of the others (1; ``anchor, ctx``: start, end)."""
+    """Contexts that are the first of their bytes in a batch (``kind`` 0; ``x``: place), and intervals of the others (1; ``anchor, x``: start, end)."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         raw, at = column_bytes(batch.column(1))
-        parts = []
-        for i, _, part, offs in steps(raw, at, STEP):
-            doc, p, many, lead, anchor, ctx = contexts(part, offs)
-            parts.append((ids[doc + i], p, many, lead, anchor, ctx))
-        if not parts:
+        rows, places, hashes = [], [], []
+        for i, lo, part, offs in _segments(raw, at):
+            doc, p, many, lead, h = contexts(part, offs)
+            rows.append((doc + i).astype(np.int32))
+            places.append((p + lo) << 14 | many << 7 | lead)
+            hashes.append(h)
+        if not rows:
             continue
-        doc, p, many, lead, anchor, ctx = (np.concatenate([x[k] for x in parts]) for k in range(6))
-        order = np.argsort(ctx, kind="stable") if (doc[1:] >= doc[:-1]).all() else np.lexsort((p, doc, ctx))
-        again = np.zeros(len(ctx), bool)
-        same = (ctx[order[1:]] == ctx[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
-        again[order[1:][same]] = True
-        keep = ~again
-        place = p << 14 | many << 7 | lead
-        d, s, e = _merged(doc[again], p[again], p[again] + many[again] - 1 + LENGTH)
-        cols = [np.concatenate(x) for x in ((np.zeros(int(keep.sum()), np.int32), np.ones(len(d), np.int32)), (anchor[keep].view(np.int64), s), (ctx[keep].view(np.int64), e), (doc[keep], d), (place[keep], np.zeros(len(d), np.int64)))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "anchor", "ctx", "id", "x"])
-
-
-FIRST = "kind int, anchor bigint, ctx bigint, id bigint, x bigint"
+        row, place, anchor = (np.concatenate(x) for x in (rows, places, hashes))
+        del rows, places, hashes
+        ordered = (ids[1:] >= ids[:-1]).all()
+        order = np.argsort(anchor, kind="stable") if ordered else np.lexsort((place, ids[row], anchor))
+        twice = np.zeros(len(order), bool)  # contexts whose anchor the batch has again
+        twice[1:] = anchor[order[1:]] == anchor[order[:-1]]
+        twice[:-1] |= twice[1:]
+        near = order[twice]
+        del order, twice
+        again = np.zeros(len(anchor), bool)
+        if len(near):
+            here, size = at[row[near]] + (place[near] >> 14), (place[near] >> 7 & 127) - 1 + LENGTH
+            shape = place[near] & ((1 << 14) - 1)  # number of strings and bytes to the anchor
+            ctx = np.empty(len(near), U64)
+            for lo in range(0, len(near), 100_000):
+                part = slice(lo, lo + 100_000)
+                low = int(here[part].min())
+                ctx[part] = xxh64(raw[low : int((here[part] + size[part]).max())], here[part] - low, here[part] + size[part] - low)
+            with np.errstate(over="ignore"):
+                ctx += shape.astype(U64) * U64(0x9E6C63D0876A9A47)
+            by = np.argsort(ctx, kind="stable")
+            one, two = by[:-1], by[1:]
+            met = np.flatnonzero((ctx[one] == ctx[two]) & (shape[one] == shape[two]))
+            again[near[two[met]]] = _equal(raw, here[one[met]], here[two[met]], size[one[met]])
+        p, many = place[again] >> 14, place[again] >> 7 & 127
+        d, s, e = _merged(ids[row[again]], p, p + many - 1 + LENGTH)
+        keep = np.flatnonzero(~again)
+        for lo in range(0, len(keep), 100_000):
+            k = keep[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.zeros(len(k), np.int32), anchor[k].view(np.int64), ids[row[k]], place[k])], names=["kind", "anchor", "id", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.ones(len(d), np.int32), s, d, e)], names=["kind", "anchor", "id", "x"])
+
+
+FIRST = "kind int, anchor bigint, id bigint, x bigint"
 
 
 def _stable(rank: np.ndarray) -> np.ndarray:
@@ -268,15 +310,24 @@ def _resolved(rows: DataFrame) -> DataFrame:
     """``rows(key, id, p, bytes)``, groups of bounded size, to intervals ``id, s, e``."""
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        key, found = pdf["key"].to_numpy(np.int64), []
-        texts, doc, p = list(pdf["bytes"]), pdf["id"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64)
+        pdf = pdf.sort_values(["key", "id", "p"])
+        key, texts, doc, p = pdf["key"].to_numpy(np.int64), list(pdf["bytes"]), pdf["id"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64)
+        held: dict[bytes, int] = {}
+        later = np.array([held.setdefault(b, n) != n for n, b in enumerate(texts)], bool)  # equal bytes have equal keys
+        size = np.array([len(b) for b in texts], np.int64)
+        found = [_merged(doc[later], p[later], (p + size)[later])]
+        first = np.flatnonzero(~later)
+        key, texts, doc, p = key[first], [texts[n] for n in first], doc[first], p[first]
+        alone = np.ones(len(key), bool)  # nothing to merge with
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[1:] != key[:-1]
+        rest = np.flatnonzero(~alone)
+        key, texts, doc, p = key[rest], [texts[n] for n in rest], doc[rest], p[rest]
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where groups end
         lo = 0
         while lo < len(key):  # whole groups, about two shards of them at a time
             hi = int(ends[min(np.searchsorted(ends, lo + 2 * SHARD), len(ends) - 1)])
-            if hi - lo > 1:
-                found.append(repeated_in(texts[lo:hi], doc[lo:hi], p[lo:hi]))
+            found.append(repeated_in(texts[lo:hi], doc[lo:hi], p[lo:hi]))
             lo = hi
         d, s, e = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in range(3))
         return pd.DataFrame({"id": d, "s": s, "e": e})
@@ -374,18 +425,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(first_contexts, FIRST).join(F.broadcast(frequent), "anchor", "left")  # a few thousand anchors at most
     rows = rows.withColumn("often", F.coalesce("often", F.lit(False)) & (F.col("kind") == 0))
     # intervals of a batch travel in groups of their own
-    rows = rows.withColumn("salt", F.expr(f"case when kind = 1 then 1 + pmod(id, 1000003) when often then -1 - pmod(ctx, {SALTS}) else 0 end"))
-    group = Window.partitionBy("anchor", "salt")
-    rows = rows.withColumn("again", (F.col("kind") == 0) & F.col("ctx").eqNullSafe(F.lag("ctx").over(group.orderBy("ctx", "id", "x"))))
-    rows = rows.withColumn("different", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(group))
-    rows = rows.where("kind = 1 or again or often or different > 1")
-    found = materialize(rows.selectExpr("kind = 1 as whole", "anchor", "if(kind = 1, ctx, x) as x", "id", "again", f"often or different > {HOT} as hot"), "contexts")
+    rows = rows.withColumn("salt", F.expr(f"case when kind = 1 then 1 + pmod(id, 1000003) when often then -1 - pmod(xxhash64(id, x), {SALTS}) else 0 end"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor", "salt")))
+    rows = rows.where("kind = 1 or often or n > 1")
+    found = materialize(rows.selectExpr("kind = 1 as whole", "anchor", "x", "id", f"often or n > {HOT} as hot"), "contexts")
     batch = found.where("whole").selectExpr("id", "anchor as s", "x as e")
-    places = found.where("again").selectExpr("id", "shiftright(x, 14) as p", "shiftright(x, 7) & 127 as many")
-    equal = places.selectExpr("id", "p as s", f"p + many + {LENGTH - 1} as e")
-    wanted = found.where("not whole and not again").selectExpr("id", "anchor as key", "x", "hot")
+    wanted = found.where("not whole").selectExpr("id", "anchor as key", "x", "hot")
     cut = materialize(cut_contexts(docs, wanted), "cut")
-    parts = [batch, equal, _resolved(cut.where("not hot"))]
+    parts = [batch, _resolved(cut.where("not hot"))]
     hot, made = cut.where("hot"), [found, cut]
     if hot.limit(1).count():
         firsts = materialize(hot.groupBy("key", "bytes").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
