@@ -13,8 +13,11 @@ broadcast up to ``MAX_BROADCAST_SOURCES`` sources and joined with salt beyond.
 
 Defined results: null counts as a source of its own; with ``weights`` a source
 that isn't listed keeps rate 1; a source of total size 0 has rate 1; null ids
-draw like the empty id; repeated rows draw the same count; an empty table stays
-empty.  Added columns come after those of the input.
+draw like the empty id; repeated rows draw the same count; null and empty texts have
+size 0 and are replicated like others; texts of any length are only measured, never
+cut; an empty table stays empty.  Added columns come after those of the input; where
+the input has a column of that name, in any case, it is kept and the added one gets
+underscores in front.
 """
 
 from __future__ import annotations
@@ -80,18 +83,25 @@ def mix_sources(
     ``measure`` is the SQL expression that sizes a document.
     """
     rates = source_rates(docs, weights, power, source, measure).select("src", poisson_cdf(F.col("rate")).alias("cdf"))
-    ident = F.coalesce(F.col(f"d.`{key}`").cast("string"), F.lit(""))
-    left, mine = docs.alias("d"), F.col(f"d.`{source}`").cast("string")
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("copy", "mix_key"):
+        while name in taken:
+            name = f"_{name}"
+        names.append(name)
+    # the input's columns travel in one struct, so no name of theirs can meet one used here
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{source}`").cast("string").alias("of"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("ident"))
     if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        joined = left.join(F.broadcast(rates.alias("r")), mine.eqNullSafe(F.col("r.src")))
+        joined = rows.join(F.broadcast(rates), F.col("of").eqNullSafe(F.col("src")))
     else:
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("r")
-        joined = left.join(salted, mine.eqNullSafe(F.col("r.src")) & (F.pmod(F.xxhash64(ident), F.lit(SALTS)) == F.col("r.salt")))
-    u = hashed_unit(seed, F.lit("n"), ident)
-    drawn = joined.select("d.*", F.size(F.filter("r.cdf", lambda c: c <= u)).alias("__n"), ident.alias("__id")).where("__n > 0")
-    copies = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
-    mixed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("s"), "__id", F.col("copy").cast("string"))))
-    return mixed.drop("__n", "__id").repartition("mix_key").sortWithinPartitions("mix_key")
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, F.col("of").eqNullSafe(F.col("src")) & (F.pmod(F.xxhash64("ident"), F.lit(SALTS)) == F.col("salt")))
+    u = hashed_unit(seed, F.lit("n"), F.col("ident"))
+    drawn = joined.select("row", "ident", F.size(F.filter("cdf", lambda c: c <= u)).alias("n")).where("n > 0")
+    copies = drawn.select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    mixed = copies.select("row", "k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("s"), "ident", F.col("k").cast("string"))).alias("at"))
+    mixed = mixed.repartition("at").sortWithinPartitions("at")
+    return mixed.select("row.*", F.col("k").alias(names[0]), F.col("at").alias(names[1]))
 
 
 MIX_SQL = """
