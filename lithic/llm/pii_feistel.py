@@ -2,23 +2,33 @@
 
 One pattern finds the candidates in a whole text; each is validated (card numbers
 by the Luhn test, account numbers by mod 97, addresses by octets, social security
-numbers by their ranges, dates by the calendar) and its payload is permuted
-inside its own format:
+numbers by their ranges, dates by the calendar; telephone numbers have no check
+digits, so any number of that shape is one) and its payload is permuted inside its
+own format:
 
-* character payloads (digits; letters and digits of mail names and keys) by an
+* character payloads (digits; letters and digits of mail names, accounts and keys) by an
   alternating Feistel network over the two halves of the string, each character
   shifted in its own class (0-9, a-z, A-Z) by keyed hash digits;
 * four-part network addresses as 8 hex digits, in the same way;
 * dates as day numbers by a Feistel network over a 271 x 270 grid, repeated
-  while outside 1900..2099 (cycle walking).
+  while outside 1900..2099 (cycle walking); social security numbers are walked too,
+  until they lie in the issued ranges.
+
+A date with separators is read day first, and month first where that is no date; the
+latter are walked to days above 12, so that they are read in the same way again.
 
 Check digits are computed anew, separators stay, and the network depends only on
 key, kind and payload: equal values stay linked across documents, whatever their
 separators.  With the key ``reveal`` restores the text.
 
+The key is never a constant of the query, whose text is shown and logged: it comes in by
+a scalar subquery over a table of one row.
+
 Only DataFrame and SQL functions.  Defined results: null stays null; texts
 without a valid value are unchanged, byte for byte; candidates that fail their
-test stay; texts of any length are processed whole; other columns are kept.
+test stay; texts of any length are processed whole; equal texts, and so repeated rows,
+get equal results; ids aren't looked at; an empty table stays empty; other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +39,12 @@ from pyspark.sql import functions as F
 #: Fixed patterns of the kinds, most specific first.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,4})?(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9./])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{6}\2[0-9]{5}))(?![0-9])"
 CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<=(?:password|token|secret|api_key) ?[=:] ?\x22?)[A-Za-z0-9]{12,128}(?![A-Za-z0-9])"
 KINDS = {"email": EMAIL, "ipv4": IPV4, "iban": IBAN, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "cloud_key": CLOUD_KEY, "secret": SECRET}
@@ -43,7 +53,7 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31, and the sides of the grid that holds them.
 FIRST_DAY, DAYS, GRID_A, GRID_B = -25567, 73049, 271, 270
-WALKS = 16
+WALKS, LONG_WALKS = 16, 64
 
 
 def _quoted(text: str) -> str:
@@ -56,7 +66,7 @@ def _digits(s: str) -> str:
 
 def _shift(target: str, other: str, i: str, key: str, kind: str, sign: int, alphabet: str | None = None) -> str:
     """SQL: each character of ``target`` moved within its class by hash digits of key, kind, round and ``other``."""
-    digest = f"sha2(concat_ws('|', {_quoted(key)}, {_quoted(kind)}, {i}, length({target}), {other}), 256)"
+    digest = f"sha2(concat_ws('|', {key}, {_quoted(kind)}, {i}, length({target}), {other}), 256)"
     step = f"{sign} * cast(conv(substr(h, 1 + 3 * ((p - 1) % 21), 3), 16, 10) as int)"
     c = f"substr({target}, p, 1)"
     if alphabet:
@@ -81,16 +91,21 @@ def permuted(payload: str, key: str, kind: str, forward: bool = True, alphabet:
     return f"aggregate({order}, {start}, (s, i) -> {step}, s -> concat(s.l, s.r))"
 
 
-def _day_permuted(day: str, key: str, kind: str, forward: bool) -> str:
-    """SQL: day number since 1900-01-01 to another one, inside the 200 years."""
+def _day_permuted(day: str, key: str, kind: str, forward: bool, late: bool = False) -> str:
+    """SQL: day number since 1900-01-01 to another one, inside the 200 years (with ``late`` also after the 12th of a month)."""
     sign = 1 if forward else -1
     order = f"sequence(0, {ROUNDS - 1})" if forward else f"sequence({ROUNDS - 1}, 0, -1)"
-    f = lambda side: f"{sign} * cast(conv(substr(sha2(concat_ws('|', {_quoted(key)}, {_quoted(kind)}, i, {side}), 256), 1, 12), 16, 10) as bigint)"
+    f = lambda side: f"{sign} * cast(conv(substr(sha2(concat_ws('|', {key}, {_quoted(kind)}, i, {side}), 256), 1, 12), 16, 10) as bigint)"
     step = f"""if(i % 2 = 0, named_struct('a', pmod(s.a + {f('s.b')}, {GRID_A}L), 'b', s.b),
                named_struct('a', s.a, 'b', pmod(s.b + {f('s.a')}, {GRID_B}L)))"""
     once = f"aggregate({order}, named_struct('a', cast(x div {GRID_B} as bigint), 'b', cast(x % {GRID_B} as bigint)), (s, i) -> {step}, s -> s.a * {GRID_B} + s.b)"
-    walk = f"aggregate(sequence(1, {WALKS}), cast({day} as bigint), (x, w) -> if(w > 1 and x < {DAYS}, x, {once}))"
-    return walk
+    there = f"x < {DAYS}" + (f" and day(date_from_unix_date(cast(x as int) + {FIRST_DAY})) > 12" if late else "")
+    return f"aggregate(sequence(1, {LONG_WALKS if late else WALKS}), cast({day} as bigint), (x, w) -> if(w > 1 and {there}, x, {once}))"
+
+
+def issued(ssn: str) -> str:
+    """SQL: whether nine digits can be a social security number."""
+    return f"(substr({ssn}, 1, 3) not in ('000', '666') and {ssn} < '9' and substr({ssn}, 4, 2) <> '00' and substr({ssn}, 6, 4) <> '0000')"
 
 
 def _refilled(token: str, digits: str, pattern: str = "0-9") -> str:
@@ -105,13 +120,9 @@ def _luhn_digit(body: str) -> str:
       2 * cast(substr({body}, q, 1) as int) - if(substr({body}, q, 1) >= '5', 9, 0), cast(substr({body}, q, 1) as int))) % 10, 10) as string)"""
 
 
-def _mod97(digits: str) -> str:
-    return f"cast(cast({digits} as decimal(38, 0)) % 97 as int)"
-
-
-def _iban_number(country: str, check: str, body: str) -> str:
-    letter = lambda k: f"cast(ascii(substr({country}, {k}, 1)) - 55 as string)"
-    return f"concat({body}, {letter(1)}, {letter(2)}, {check})"
+def _mod97(text: str) -> str:
+    """SQL: the remainder by 97 of digits and letters, a letter being two digits from 10 on."""
+    return f"""aggregate(split({text}, ''), 0, (m, c) -> case when c between '0' and '9' then (m * 10 + ascii(c) - 48) % 97 when c between 'A' and 'Z' then (m * 100 + ascii(c) - 55) % 97 else m end)"""
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -130,10 +141,11 @@ def pseudonym(token: str, key: str, forward: bool = True) -> str:
     ipv4 = _bind(p("x0", "ipv4", "0123456789abcdef"), "y", from_hex)
     ipv4 = _bind(as_hex, "x0", ipv4)
     canonical_octets = f"array_join(transform({octets}, o -> cast(o as string)), '.') = {token}"
-    body = f"substr({_digits(token)}, 3)"
-    check = f"lpad(cast(98 - {_mod97(_iban_number(token, _quoted('00'), 'y'))} as string), 2, '0')"
-    iban = _bind(body, "x0", _bind(p("x0", "iban"), "y", _refilled(token, f"concat({check}, y)")))
-    iban_ok = f"length({_digits(token)}) between 10 and 32 and {_mod97(_iban_number(token, f'substr({token}, 3, 2)', body))} = 1"
+    country = f"substr({token}, 1, 2)"
+    plain = f"regexp_replace({token}, '[^0-9A-Z]', '')"
+    check = f"lpad(cast(98 - {_mod97(f'concat(y, {country}, {_quoted(chr(48) * 2)})')} as string), 2, '0')"
+    iban = _bind(f"substr({plain}, 5)", "x0", _bind(p("x0", "iban"), "y", _refilled(token, f"concat({country}, {check}, y)", "0-9A-Z")))
+    iban_ok = f"length({plain}) between 15 and 34 and {_mod97(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1"
     day = lambda d: f"(unix_date({d}) - {FIRST_DAY})"
     iso = f"try_to_date({token}, 'yyyy-MM-dd')"
     iso_new = f"cast(date_from_unix_date(cast({_day_permuted(day(iso), key, 'date', forward)} as int) + {FIRST_DAY}) as string)"
@@ -143,9 +155,15 @@ def pseudonym(token: str, key: str, forward: bool = True) -> str:
         "d",
         f"concat(lpad(day(d), 2, '0'), substr({token}, 3, 1), lpad(month(d), 2, '0'), substr({token}, 3, 1), lpad(year(d), 4, '0'))",
     )
+    mdy = f"try_to_date(concat(substr({token}, 7, 4), '-', substr({token}, 1, 2), '-', substr({token}, 4, 2)), 'yyyy-MM-dd')"
+    mdy_new = _bind(
+        f"date_from_unix_date(cast({_day_permuted(day(mdy), key, 'late date', forward, late=True)} as int) + {FIRST_DAY})",
+        "d",
+        f"concat(lpad(month(d), 2, '0'), substr({token}, 3, 1), lpad(day(d), 2, '0'), substr({token}, 3, 1), lpad(year(d), 4, '0'))",
+    )
     in_years = lambda d: f"{d} between date'1900-01-01' and date'2099-12-31'"
-    ssn = _refilled(token, "y")
-    ssn_new = _bind(_digits(token), "x0", _bind(p("x0", "ssn"), "y", ssn))
+    walked = f"aggregate(sequence(1, {WALKS}), x0, (x, w) -> if(w > 1 and {issued('x')}, x, {p('x', 'ssn')}))"
+    ssn_new = _bind(_digits(token), "x0", f"if({issued('x0')}, {_bind(walked, 'y', _refilled(token, 'y'))}, {token})")
     tail = f"right({_digits(token)}, 10)"
     phone = _bind(tail, "x0", _bind(p("x0", "phone"), "y", _refilled(token, f"concat(substr({_digits(token)}, 1, length({_digits(token)}) - 10), y)")))
     head = f"left({_digits(token)}, length({_digits(token)}) - 1)"
@@ -155,7 +173,7 @@ def pseudonym(token: str, key: str, forward: bool = True) -> str:
       when {token} rlike {whole('ipv4')} then if(forall({octets}, o -> o <= 255) and {canonical_octets}, {ipv4}, {token})
       when {token} rlike {whole('iban')} then if({iban_ok}, {iban}, {token})
       when {token} rlike {whole('iso_date')} then if({in_years(iso)}, {iso_new}, {token})
-      when {token} rlike {whole('day_date')} then if({in_years(dmy)}, {dmy_new}, {token})
+      when {token} rlike {whole('day_date')} then case when {in_years(dmy)} then {dmy_new} when {dmy} is null and {in_years(mdy)} then {mdy_new} else {token} end
       when {token} rlike {whole('ssn')} then {ssn_new}
       when {token} rlike {whole('phone')} then {phone}
       when {token} rlike '^[0-9](?:[ -]?[0-9]){{12,18}}$' then if(luhn_check({_digits(token)}), {card}, {token})
@@ -173,9 +191,14 @@ def _rewritten(text: str, key: str, forward: bool) -> Column:
 
 def _changed(docs: DataFrame, text: str, key: str, forward: bool) -> DataFrame:
     """A text without a digit or an at sign can't hold a candidate, and one without a candidate is passed through."""
-    new = _rewritten(f"`{text}`", key, forward)
+    name = "pii_key"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    held = docs.sparkSession.createDataFrame([(key,)], "k string").scalar()
+    new = _rewritten(f"`{text}`", f"`{name}`", forward)
     col = F.col(f"`{text}`")
-    return docs.withColumn(text, F.when(col.rlike("[0-9@]|(?:password|token|secret|api_key) ?[=:]") & col.rlike(ANY), new).otherwise(col))
+    keyed = docs.select("*", held.alias(name))
+    return keyed.withColumn(text, F.when(col.rlike("[0-9@]|(?:password|token|secret|api_key) ?[=:]") & col.rlike(ANY), new).otherwise(col)).drop(name)
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
