@@ -8,24 +8,30 @@ result is the score of all rows of the block, again as slices.  From the most
 significant slice downward the rows that can be among the best k are kept, and
 rows tied at the boundary are settled by their ids.  Bitmaps are Python integers.
 
-Rows and queries are dealt to block pairs, so a task holds one block of each;
-its k best a query go to a final ranking of a few rows a query.
-
-Defined results: vectors that are null or hold null or non-finite components take
-no part; vectors that are shorter than others count as padded with zeros; a
-query never meets rows of its own id; fewer than k other rows give fewer results;
-ties go to the smaller id; an empty table gives an empty table.
+Rows are dealt to blocks once and queries to every block.  A task reads a block's rows,
+builds the index once, and then lets the queries stream through it, so it holds one
+block and one batch of queries however many there are; a block's k best a query go to a
+final ranking of a few rows a query.
+
+Defined results: vectors that are null or hold null or non-finite components, and rows
+of a null id, take no part; vectors that are shorter than others count as padded with
+zeros; a query never meets rows of its own id; rows that repeat an id are candidates
+each, and queries of one id share one ranking over all their pairs; fewer than k other
+rows give fewer results; ties go to the smaller id; an empty table gives an empty table;
+other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of an index block, and queries of a query block.
-BLOCK, QUERIES = 16_384, 2_048
+#: Rows of an index block.
+BLOCK = 16_384
 SCALE = 256
 
 
@@ -114,10 +120,15 @@ class BitSlicedIndex:
         return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _matrix(lists: list[pa.ListArray], dims: int = 0) -> np.ndarray:
+    """Vectors as rows, padded with zeros to the longest (or to ``dims``, and beyond it cut, where others have nothing)."""
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists)])
+    flat = np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in lists)])
+    width = dims or int(size.max(initial=0))
+    out = np.zeros((len(size), width), np.int64)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    inside = at < width
+    out[np.repeat(np.arange(len(size)), size)[inside], at[inside]] = flat[inside]
     return out
 
 
@@ -133,24 +144,31 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     """``query_id, rank, vec_id, score`` of the k best of all rows for each row whose id divides by ``every``."""
     rows = quantised(vectors, key, vector)
     total = rows.count()
-    row_blocks = max(1, -(-total // BLOCK), min(8, total // 1024))
-    query_blocks = max(1, -(-(total // every) // QUERIES))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # rows are dealt by number, so blocks stay even whatever the ids are
-    base = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks)).cast("int").alias("rb"), spread(query_blocks).alias("qb"), "id", "v")
-    asked = rows.where(F.col("id") % every == 0).select(spread(row_blocks).alias("rb"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("qb"), "id", "v")
-
-    def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(block) and len(queries):
-            dims = max(block["v"].map(len).max(), queries["v"].map(len).max())
-            index = BitSlicedIndex(block["id"].to_numpy(), _matrix(block["v"], dims))
-            seen = queries.drop_duplicates("id") if queries["id"].duplicated().any() else queries
-            for i, q in zip(seen["id"].tolist(), _matrix(seen["v"], dims).tolist(), strict=True):
-                found.extend((i, other, score) for other, score in index.top(q, i, k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    best = base.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    blocks = max(1, -(-total // BLOCK), min(8, total // 1024))
+    base = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
+    asked = rows.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index = None, [], None
+        for batch in batches:  # by block, rows before queries
+            numbers, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(numbers)]):
+                if numbers[lo] != block:
+                    block, held, index = numbers[lo], [], None
+                ids, v = batch.column(2).slice(lo, hi - lo).to_numpy(), batch.column(3).slice(lo, hi - lo)
+                if not asks[lo]:
+                    held.append((ids, v))
+                    continue
+                if index is None:
+                    index = BitSlicedIndex(np.concatenate([np.zeros(0, np.int64), *(i for i, _ in held)]), _matrix([x for _, x in held])) if held else False
+                if not index:
+                    continue
+                found = [(q, other, score) for q, row in zip(ids.tolist(), _matrix([v], index.dims).tolist(), strict=True) for other, score in index.top(row, q, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[c] for r in found], np.int64)) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    dealt = base.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    best = dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
