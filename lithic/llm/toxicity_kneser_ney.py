@@ -1,26 +1,36 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-One model of toxic and one of ordinary texts, over words.  A word's probability
-in a class is its absolutely discounted continuation count there (the number of
-distinct words it follows, which copies of a text don't raise), backed off to
-the continuation counts of both classes together; the back-off weight is shared
-too.  A rare expression, seen no more often than ``DISCOUNT``, so has the same
-probability in both classes and says nothing; one that a class prefers tells.
-Raw bigram counts, the level above, are left out: copies make chance neighbours
-look typical of their class (held-out AUC fell from 0.94 to 0.83 with them).
+One interpolated bigram model of toxic and one of ordinary texts, over words, with
+modified Kneser-Ney discounts that are estimated from counts of counts.
+
+* Bigrams: a bigram counts as often as there are distinct words before it, so copies and
+  near copies of a text don't raise it.  In a class its discounted count over the
+  history's count is interpolated, by the weight that discounting frees for that history,
+  with the word's probability.
+* Words: discounted continuation counts (the number of distinct words a word follows),
+  interpolated with the discounted continuation counts of both classes together, and
+  those with one probability for all words.  That back-off and its weight are shared, so
+  an expression of which a class has no more than the discount has the same probability
+  in both classes and says nothing.  The whole count of a word with one left neighbour,
+  and of a bigram with fewer than ``CUT``, goes to the back-off.
 
 Words are counted by their whole 64-bit hashes: every labelled training text counts,
 nothing is cut off, and words don't share counts at any size.  The model sent to workers
-holds the words above the discount, so it grows with the vocabulary of the labelled texts.
+holds the words of two and the bigrams of ``CUT`` contexts or more in a class, so it grows
+with the labelled texts.
 
-The score compares length-normalised log-likelihoods: the mean log ratio a word
-over the whole text, and its largest mean over ``WINDOW`` neighbouring words,
-so that a short insult isn't thinned out by a long text.  A logistic curve maps
-both to 0..1.  Folds are ``crc32(id) % 4``: 0 and 1 give the counts, 3 fits the
-curve (a sample of about ``FIT_DOCS`` labelled rows), 2 is held out.
+The score compares length-normalised log-likelihoods: the mean log ratio a word under the
+bigram models over the whole text, and under their word level the largest means over
+1, 2 and 4 neighbouring words, so that a short insult isn't thinned out by a long text.
+A logistic curve maps them to 0..1.  Folds are ``crc32(id) % 4``: 0 and 1 give the counts,
+3 fits the curve (a sample of about ``FIT_DOCS`` labelled rows), 2 is held out.
 
 Defined results: null, empty and word-free texts have ratio 0 and the score the
-curve gives it; without labels of both classes every score is 0.
+curve gives it; texts of any length are read whole; repeated rows count once in training
+(their contexts are the same) and get a score each; a null id is never a labelled one and
+gets a score like others; rows of an id with two labels count for both; without labels of
+both classes every score is 0; an empty table gives an empty table; other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,20 +39,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .bytesio import U64, KeyTable, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
 from .scratch import materialize
 
-#: Taken off every count; what has been seen no more often says nothing about a class.
-DISCOUNT = 3.0
-WINDOW = 2
+#: Distinct left neighbours from which a bigram has a probability of its own.
+CUT = 4
+#: Neighbouring words over which the largest mean is taken.
+WINDOWS = (1, 2, 4)
 #: Labelled rows of the fitting fold that the curve is fitted on, about.
 FIT_DOCS = 20_000
 #: Labels up to this many rows are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.3
+#: Features of a text.
+NAMES = ["mean", *(f"peak{w}" for w in WINDOWS)]
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,44 +66,73 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return xxh64(low, start, end, 0), np.searchsorted(start, at)
 
 
-def neighbour_keys(words: np.ndarray, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """40 bits of the word before each word (a start mark before a document's first) and class, in one number."""
-    left = np.zeros(len(words), U64)
-    left[1:] = words[:-1]
-    left[at[:-1][at[:-1] < len(words)]] = U64(1)
-    return ((left >> U64(24)).astype(np.int64) << np.int64(1)) | cls
+def shifted(words: np.ndarray, at: np.ndarray, by: int) -> np.ndarray:
+    """The word ``by`` places before each word, 1 before a document's first."""
+    out = np.ones(len(words), U64)
+    out[by:] = words[:-by]
+    for k in range(by):
+        head = at[:-1] + k
+        out[head[head < at[1:]]] = U64(1)
+    return out
+
+
+#: Bits of a history's hash.
+HISTORY = 39
+
+
+def pair_keys(words: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """One number for a word and its history."""
+    with np.errstate(over="ignore"):
+        x = (words ^ (history * U64(0x9E3779B97F4A7C15))) * U64(0xD6E8FEB86659FD93)
+        return x ^ (x >> U64(32))
+
+
+def discounts(many: list[int]) -> np.ndarray:
+    """What counts of 0, 1, 2 and 3 or more lose, from how many counts there are of 1, 2, 3 and 4 (modified Kneser-Ney)."""
+    n = [max(1, x) for x in many]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.clip([0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.0, [0, 1, 2, 3])
+
+
+def taken(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.minimum(d[np.minimum(count, 3).astype(np.int64)], count)
 
 
 class ToxicityModel:
-    """Log ratios of the two models by word hash, and the fitted curve."""
-
-    def __init__(self, word: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, totals: tuple[float, float], freed: float, discount: float = DISCOUNT):
-        """Continuation counts of words (by hash) above the discount in a class, the classes' sums of counts, and the share that discounting frees."""
-        self.ready = min(totals) > 0
-        self.words = KeyTable(word)
-        self.ratio = np.zeros(len(word) + 1, np.float32)  # the last is that of all other words
-        if self.ready:
-            base = freed * (ordinary + toxic) / sum(totals)
-            p0, p1 = (np.maximum(n - discount, 0) / t + base for n, t in zip((ordinary, toxic), totals, strict=True))
-            self.ratio[:-1] = np.log(p1) - np.log(p0)
-        self.curve = np.array([0.0, 0.0, 0.0])
-
-    def features(self, raw: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
-        """Mean log ratio of each document, and its largest mean over a window."""
+    """Log ratios of the two models by word, history and bigram, and the fitted curve."""
+
+    def __init__(self, words: np.ndarray, ratio: np.ndarray, histories: np.ndarray, weight: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray, ready: bool = True):
+        """Ratios of words by hash (0 for all others), of back-off weights by history (0), and of bigrams by ``pair_keys``."""
+        self.ready = ready
+        self.words, self.histories, self.pairs = KeyTable(words), KeyTable(histories), KeyTable(pairs)
+        self.ratio, self.weight = np.append(ratio, 0).astype(np.float32), np.append(weight, 0).astype(np.float32)
+        self.pair_ratio = np.append(pair_ratio, 0).astype(np.float32)
+        self.curve = np.zeros(2 + len(WINDOWS))
+
+    def ratios(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log ratio of each word under the bigram models and under their word level."""
+        word = self.ratio[self.words.find(words)].astype(np.float64)
+        history = shifted(words, at, 1) >> U64(64 - HISTORY)
+        pair = self.pairs.find(pair_keys(words, history))
+        return np.where(pair >= 0, self.pair_ratio[pair], word + self.weight[self.histories.find(history)]), word
+
+    def features(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Mean log ratio of each document, and the word level's largest means over windows."""
         words, offs = word_hashes(raw, at)
-        out = np.zeros((len(at) - 1, 2))
+        out = np.zeros((len(at) - 1, 1 + len(WINDOWS)))
         if not len(words):
             return out
-        r = self.ratio[self.words.find(words)].astype(np.float64)
+        both, r = self.ratios(words, offs)
         size = np.diff(offs)
-        out[:, 0] = segment_sums(r, offs) / np.maximum(size, 1)
+        out[:, 0] = segment_sums(both, offs) / np.maximum(size, 1)
         run = np.zeros(len(r) + 1)
         np.cumsum(r, out=run[1:])
         first = np.repeat(offs[:-1], size)
         here = np.arange(1, len(r) + 1)
-        mean = (run[here] - run[np.maximum(here - window, first)]) / window
         full = size > 0
-        out[full, 1] = np.maximum.reduceat(mean, offs[:-1][full])
+        for k, window in enumerate(WINDOWS, 1):
+            mean = (run[here] - run[np.maximum(here - window, first)]) / window
+            out[full, k] = np.maximum.reduceat(mean, offs[:-1][full])
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -102,15 +144,15 @@ class ToxicityModel:
     def fit_curve(self, features: np.ndarray, label: np.ndarray) -> None:
         """Ridge logistic regression by Newton's method."""
         if not len(features):
-            self.curve = np.array([0.0, 1.0, 1.0])
+            self.curve = np.append(0.0, np.ones(1 + len(WINDOWS)))
             return
         mid, width = features.mean(axis=0), features.std(axis=0) + 1e-9
         x = np.column_stack([np.ones(len(features)), (features - mid) / width])
-        w = np.zeros(3)
-        ridge = np.diag([1e-6, 0.05, 0.05])
-        for _ in range(50):
+        w = np.zeros(x.shape[1])
+        ridge = np.diag([1e-6, *[0.05] * (len(w) - 1)])
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3), x.T @ (label - p) - ridge @ w)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (label - p) - ridge @ w)
             w += np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-8:
                 break
@@ -131,37 +173,93 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFra
     return rows.join(F.broadcast(marks) if small else marks, "id")
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> ToxicityModel:
+def contexts(rows: DataFrame, order: int) -> DataFrame:
+    """``word, k`` of ``rows(toxic, text)``: distinct words with their left neighbour (``order`` 1) or two neighbours (2) and class, in one number."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(0).to_numpy()
             raw, at = column_bytes(batch.column(1))
             for i, j, part, offs in steps(raw, at):
                 words, w_at = word_hashes(part, offs)
-                cls = np.repeat(toxic[i:j], np.diff(w_at)).astype(np.int64)
-                k = neighbour_keys(words, w_at, cls)
-                order = np.lexsort((k, words))
-                words, k = words[order], k[order]
+                if not len(words):
+                    continue
+                k = np.repeat(toxic[i:j], np.diff(w_at)).astype(U64)
+                if order == 1:
+                    k |= shifted(words, w_at, 1) >> U64(24) << U64(1)
+                else:
+                    k |= (shifted(words, w_at, 1) >> U64(64 - HISTORY) << U64(25)) | (shifted(words, w_at, 2) >> U64(40) << U64(1))
+                order_ = np.lexsort((k, words))
+                words, k = words[order_], k[order_]
                 new = np.ones(len(k), bool)
                 new[1:] = (words[1:] != words[:-1]) | (k[1:] != k[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(k[new])], names=["word", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(k[new].view(np.int64))], names=["word", "k"])
+
+    return rows.select("toxic", "text").mapInArrow(count, "word bigint, k bigint").distinct()
+
+
+def fitted(words: dict, sizes: dict, pairs: dict, histories: dict, pair_sizes: dict) -> ToxicityModel:
+    """The model from counts.
 
+    ``words``: arrays ``word, n0, n1`` of continuation counts, of the words that have two in a
+    class or a bigram in ``pairs``; ``sizes``: ``v, s0, s1`` and ``c0, c1, cs``, numbers of
+    words with counts 1 to 4 in a class and in both; ``pairs``: arrays ``prev, word, n0, n1``
+    of the bigrams of ``CUT`` or more in a class; ``histories``: arrays ``prev, n0, n1`` of
+    their sums over all bigrams; ``pair_sizes``: ``c0, c1`` for bigrams.
+    """
+    none = np.zeros(0)
+    if not min(sizes["s0"], sizes["s1"]):
+        return ToxicityModel(none, none, none, none, none, none, ready=False)
+    total = sizes["s0"] + sizes["s1"]
+    shared = words["n0"] + words["n1"]
+    ds = discounts(sizes["cs"])
+    freed = (ds[1] * sizes["cs"][0] + ds[2] * sizes["cs"][1] + ds[3] * (sizes["v"] - sizes["cs"][0] - sizes["cs"][1])) / total
+    both = (shared - taken(shared, ds)) / total + freed / (sizes["v"] + 1)
+    level = []
+    for c in "01":
+        d = discounts(sizes[f"c{c}"])
+        d[1] = 1.0
+        n = words[f"n{c}"]
+        level.append((n - taken(n, d)) / sizes[f"s{c}"] + freed * both)
+    at = np.argsort(words["word"])
+    of = at[np.searchsorted(words["word"][at], pairs["word"])] if len(pairs["word"]) else np.zeros(0, np.int64)
+    known, h = np.unique(histories["prev"], return_inverse=True)
+    sums = {c: np.bincount(h, histories[f"n{c}"], len(known)) if len(known) else none for c in "01"}
+    mine = np.searchsorted(known, pairs["prev"])
+    probability, weight = [], []
+    for c, p in zip("01", level):
+        n = pairs[f"n{c}"]
+        kept = np.where(n >= CUT, n - taken(n, discounts(pair_sizes[f"c{c}"])), 0.0)
+        share = kept / np.maximum(sums[c][mine], 1) if len(n) else none
+        left = np.clip(1 - np.bincount(mine, share, len(known)), 1e-6, 1.0) if len(n) else none
+        weight.append(left)
+        probability.append(share + left[mine] * p[of] if len(n) else none)
+    ratio = lambda x: np.log(x[1]) - np.log(x[0])
+    return ToxicityModel(words["word"], ratio(level), known.astype(U64), ratio(weight), pair_keys(pairs["word"], pairs["prev"].astype(U64)) if len(of) else none, ratio(probability))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> ToxicityModel:
     rows = labelled(docs, labels, text, key)
-    kinds = rows.where("fold in (0, 1)").select("toxic", "text").mapInArrow(count, "word bigint, k bigint").distinct()
-    counts = kinds.groupBy("word").agg(
-        F.count_if(F.expr("k & 1 = 0")).alias("ordinary"), F.count_if(F.expr("k & 1 = 1")).alias("toxic")
-    )
-    counts = materialize(counts, "continuations")
-    sums = counts.agg(
-        F.coalesce(F.sum("ordinary"), F.lit(0)).alias("o"),
-        F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"),
-        F.coalesce(F.sum(F.least(F.col("ordinary") + F.col("toxic"), F.lit(DISCOUNT))), F.lit(0.0)).alias("freed"),
-    ).first()
-    # other words have ratio 0
-    told = counts.where((F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT)).toArrow()
-    model = ToxicityModel(
-        told["word"].to_numpy().view(U64), told["ordinary"].to_numpy().astype(float), told["toxic"].to_numpy().astype(float), (sums.o, sums.t), sums.freed / max(1, sums.o + sums.t)
-    )
+    train = rows.where("fold in (0, 1)")
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    of_counts = lambda c, name: F.array(*(F.count_if(F.col(c) == k) for k in (1, 2, 3, 4))).alias(name)
+    classes = [F.count_if(F.expr(f"k & 1 = {c}")).alias(f"n{c}") for c in (0, 1)]
+    counts = materialize(contexts(train, 1).groupBy("word").agg(*classes).withColumn("ns", F.col("n0") + F.col("n1")), "continuations")
+    sizes = counts.agg(F.count(F.lit(1)).alias("v"), sums("n0").alias("s0"), sums("n1").alias("s1"), of_counts("n0", "c0"), of_counts("n1", "c1"), of_counts("ns", "cs")).first().asDict()
+    # bigrams, and histories (where word is null) with the sums of theirs
+    grams = contexts(train, 2).selectExpr("shiftrightunsigned(k, 25) as prev", "word", "k")
+    seen = Observation("bigrams")
+    grams = grams.groupingSets([["prev", "word"], ["prev"]], "prev", "word").agg(*classes, F.grouping("word").alias("sum"))
+    grams = grams.observe(seen, *(F.count_if((F.col("sum") == 0) & (F.col(f"n{c}") == k)).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2, 3, 4)))
+    grams = materialize(grams.where(f"sum = 1 or n0 >= {CUT} or n1 >= {CUT}"), "bigrams")
+    pair_sizes = {f"c{c}": [seen.get[f"n{c}_{k}"] for k in (1, 2, 3, 4)] for c in (0, 1)}
+    kept = grams.where("sum = 0")
+    told = counts.join(kept.select("word").distinct().withColumn("paired", F.lit(True)), "word", "left").where("n0 > 1 or n1 > 1 or paired")
+    history = grams.where("sum = 1").join(kept.select("prev").distinct(), "prev", "left_semi")
+    arrays = lambda df, *names: {n: v.to_numpy() for n, v in zip(names, df.select(*names).toArrow().columns)}
+    words, pairs, histories = arrays(told, "word", "n0", "n1"), arrays(kept, "prev", "word", "n0", "n1"), arrays(history, "prev", "n0", "n1")
+    words["word"], pairs["word"] = words["word"].view(U64), pairs["word"].view(U64)
+    model = fitted(words, sizes, pairs, histories, pair_sizes)
     if model.ready:
         fit = rows.where("fold = 3")
         size = fit.count()
@@ -169,9 +267,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         sample = fit.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
         got = _features(sample, model, "id").join(sample.select(F.col("id"), "toxic"), "id").toPandas() if size else None
         if got is not None and got["toxic"].nunique() == 2:
-            model.fit_curve(got[["mean", "peak"]].to_numpy(), got["toxic"].to_numpy(float))
+            model.fit_curve(got[NAMES].to_numpy(), got["toxic"].to_numpy(float))
         else:
-            model.fit_curve(np.zeros((0, 2)), np.zeros(0))
+            model.fit_curve(np.zeros((0, len(NAMES))), np.zeros(0))
     return model
 
 
@@ -183,13 +281,13 @@ def _features(rows: DataFrame, model: ToxicityModel, key: str) -> DataFrame:
         for batch in batches:
             raw, at = column_bytes(batch.column(1))
             found = [m.features(part, offs) for _, _, part, offs in steps(raw, at)]
-            x = np.concatenate(found) if found else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for k in (0, 1)), pa.array(m.score(x))], names=["id", "mean", "peak", "score"])
+            x = np.concatenate(found) if found else np.zeros((0, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(NAMES))), pa.array(m.score(x))], names=["id", *NAMES, "score"])
 
-    return rows.select(F.col(key).alias("id"), "text").mapInArrow(run, "id bigint, mean double, peak double, score double")
+    return rows.select(F.col(key).alias("id"), "text").mapInArrow(run, f"id bigint, {', '.join(f'{n} double' for n in NAMES)}, score double")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, mean, peak, score`` for every row."""
+    """``doc_id, mean, peak1, peak2, peak4, score`` for every row."""
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
     return _features(rows, model, "doc_id").withColumnRenamed("id", "doc_id")
