@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 
+#: Tasks that the neighbours of one node are dealt over.
+SALTS = 16
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)``, component being the smallest node reachable.
 
     Alternating star contraction: each node points its larger neighbours, then
     its smaller ones, at the smallest neighbour.  Each round is a pre-aggregated
-    minimum and a join, so a node with very many neighbours is never gathered in
-    one task; each round is written to shared storage.  Nodes without an edge,
+    minimum and a join that is salted, so a node with very many neighbours is dealt over
+    ``SALTS`` tasks; each round is written to shared storage.  Nodes without an edge,
     and self-loops, don't appear.  An empty table gives an empty table.
     """
     cur = materialize(_tidy(edges), "edges")
@@ -41,7 +45,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(back) if larger else back
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     kept = both.where("v > u") if larger else both
-    out = kept.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    spread = low.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = kept.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"]).select(F.col("m").alias("a"), F.col("v").alias("b"))
     if not larger:
         out = out.union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

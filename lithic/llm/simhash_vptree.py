@@ -1,31 +1,40 @@
 """SimHash near-duplicates by a vantage-point tree over fingerprints.
 
 Fingerprints are grouped first, so a text that occurs a thousand times is one
-point.  A tree is built on the driver from a bounded sample of the points (the
-``SAMPLE`` smallest by hash): each node has a vantage fingerprint and a median
-Hamming distance.  Every point goes to one home leaf, and by the triangle
-inequality to each other leaf that may hold a point within the radius on the
-outer side of a shell; a pair is therefore met in the home leaf of one of its
-points.  Leaves are compared exactly, and each gives a spanning forest of its
-links, never all pairs.  Components come from star contraction.
-
-Work per leaf is bounded by the tree: a set of points that no vantage point can
-split lies within the radius of one point and holds at most 2,081 points.
+point.  A tree is built on the driver from a sample of the points, some for each leaf and
+at most ``MAX_SAMPLE``: each node has a vantage fingerprint and a shell around it, chosen
+for little overlap.  Every point goes to one home leaf, and by the triangle inequality to
+each other leaf that may hold a point within the radius on the outer side of a shell; a
+pair is therefore met in the home leaf of one of its points.
+
+A leaf's task holds its home points only; the points that visit stream past them in
+batches.  Two fingerprints within the radius agree in one of ``radius + 1`` parts, so a
+leaf looks its visitors up by parts of its home points and compares what it finds: the
+work is that of the routed points and not of all pairs of a leaf.  A leaf gives a spanning
+forest of its links, never all pairs.  Components come from star contraction.
 
 ``keep_representatives`` deletes rows, so there fingerprints only propose.  They have
 128 bits and are made of the *distinct* five-word shingles: texts whose sets have a
 Jaccard similarity of exactly 0.8 differ in about 19 bits (deviation about 4), and a
-radius of 32 misses some 0.1 % of such pairs; unrelated ones lie within it with a
-probability of about 1e-8.  Where the smaller text has at most ``FEW`` shingles bits
-scatter more, and texts that share a shingle among the least hashes of both are
-proposed too (a prefix filter, which misses none).  Inside each component of proposals
+radius of 32 misses some 0.1 % of such pairs.  At so wide a radius no tree prunes, so
+texts are dealt to shards first: by ``BANDS`` bands of ``ROWS`` least hashes of their
+shingles under different multipliers.  A pair of similarity 0.8 meets in some shard with a
+probability of 0.9994 (each band agrees with 0.8 ** 4); texts that only share a passage of
+half their shingles meet in one with 6 % a band.  Inside a shard fingerprints are compared
+in blocks, large shards by pairs of blocks.  Where the smaller text has at most ``FEW``
+shingles bits scatter more, and texts that share a shingle among the least hashes of both
+are proposed too (a prefix filter, which misses none).  Inside each component of proposals
 all pairs are compared by their shingle sets, large components by pairs of blocks, and
-only pairs of similarity 0.8 or more are links.  At so wide a radius shells prune
-little, and the work grows with the square of the distinct texts.
+only pairs of similarity 0.8 or more are links.
 
 Defined results: a null, empty or word-free text has fingerprint zero and is
 linked like any other; fewer than four words give one shingle; repeated rows
-share a fingerprint; an empty table gives an empty table.
+share a fingerprint and get a row each; a component whose ids are all null has a null
+``component_id``, else null ids don't count for it; texts of any length are read whole; an
+empty table gives an empty table; other columns are left out by ``simhash_groups`` and
+kept by ``keep_representatives``, whatever their names.  The latter keeps one row of each
+group: that of the smallest id, a null id after all others, and of rows of one id that of
+the least hash of the text.
 """
 
 from __future__ import annotations
@@ -38,15 +47,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesio import U64, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
+from .bytesio import P1, U64, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
 from .components import connected_components
 from .scratch import materialize
 
-#: Points of the driver's sample, points that a leaf should hold, and leaves of a smaller table.
-SAMPLE, LEAF, SHARDS = 8192, 4096, 64
+#: Points of the driver's sample at least and at most, sampled points of a leaf, and home points that a leaf should hold.
+SAMPLE, MAX_SAMPLE, PER_LEAF, LEAF = 8192, 2_000_000, 8, 4096
 RADIUS = 4
+#: Shares of the points that a node may have inside its shell.
+SHELLS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+#: Points that visit one task, about; a leaf that more visit is dealt over several tasks that all hold its home points.
+VISITORS = 32_768
+#: Pairs that are compared at a time.
+PAIRS = 2_000_000
 #: Radius of wide fingerprints, and the similarity of shingle sets (as a fraction) that makes texts near duplicates.
 WIDE_RADIUS, ALIKE = 32, (4, 5)
+#: Bands of a text and least hashes of a band, that deal texts to shards; points of a shard's block.
+BANDS, ROWS, SHARD_BLOCK = 14, 4, 4096
 #: Texts of up to so many distinct shingles meet by common shingles too; a partner may have a quarter more.
 FEW = 24
 #: Texts, and shingles, of a block; two blocks are compared at a time.
@@ -118,17 +135,17 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.nd
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
-    """``doc_id, fp, fp2``: a fingerprint's 64 bits as a signed long, and 0."""
+    """``doc_id, fp``: a fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = column_bytes(batch.column(1))
             fps = [simhash_rows(part, offs, width) for _, _, part, offs in steps(raw, at)]
             fp = np.concatenate(fps) if fps else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(np.zeros(len(fp), np.int64))], names=["doc_id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint")
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _mixed(h: np.ndarray, by: int) -> np.ndarray:
@@ -138,9 +155,23 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
         return h ^ (h >> U64(32))
 
 
+MULTIPLIERS = np.random.default_rng(31).integers(0, 1 << 62, BANDS * ROWS, dtype=np.int64).view(U64) * U64(2) + U64(1)
+
+
+def least_hash_bands(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` keys for each slice of hashes that isn't empty: ``ROWS`` least products with an odd number each."""
+    full = np.flatnonzero(offs[:-1] < offs[1:])
+    out = np.zeros((len(full), BANDS), U64)
+    with np.errstate(over="ignore"):
+        for k in range(BANDS * ROWS):
+            least = np.minimum.reduceat(h * MULTIPLIERS[k], offs[:-1][full])
+            out[:, k // ROWS] = (out[:, k // ROWS] ^ least) * P1 + U64(k // ROWS + 1)
+    return _mixed(out, 0xC2B2AE3D27D4EB4F)
+
+
 def set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, fp, fp2, set, n, keys`` of ``docs(id, text)``: 128 bits of the distinct shingles, their hash and number,
-    and of a text of few the hashes of which a text of similarity ``ALIKE`` has one among its own."""
+    """``doc_id, fp, fp2, set, n, keys, bands`` of ``docs(id, text)``: 128 bits of the distinct shingles, their hash and number,
+    of a text of few the hashes of which a text of similarity ``ALIKE`` has one among its own, and keys of shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,14 +188,17 @@ def set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 np.cumsum(prefix, out=ends[1:])
                 keys = h[np.arange(ends[-1]) + np.repeat(offs[:-1] - ends[:-1], prefix)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x.view(np.int64)) for x in (fp, fp2, same)), pa.array(n), lists], names=["doc_id", "fp", "fp2", "set", "n", "keys"])
+                bands = least_hash_bands(_mixed(h, 0x9E6C63D0876A9A47), offs)
+                cuts = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
+                bands = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x.view(np.int64)) for x in (fp, fp2, same)), pa.array(n), lists, bands], names=["doc_id", "fp", "fp2", "set", "n", "keys", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, set bigint, n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, set bigint, n bigint, keys array<bigint>, bands array<bigint>")
 
 
 def distances(points: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Differing bits of points (rows of one or two words) and one of them."""
-    return np.bitwise_count(points ^ v).sum(axis=1, dtype=np.int64)
+    """Differing bits of points and one of them."""
+    return np.bitwise_count(points ^ v).astype(np.int64)
 
 
 class VantageTree:
@@ -173,24 +207,25 @@ class VantageTree:
     def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, radius: int = RADIUS):
         self.radius, self.leaves = radius, 0
         self.rng = np.random.default_rng(7)
-        self.root = self._grow(np.unique(_rows(sample), axis=0), max(1.0, total / max(1, len(sample))), leaf, 0)
+        sample = np.unique(np.asarray(sample, U64))
+        self.root = self._grow(sample, max(1.0, total / max(1, len(sample))), leaf, 0)
 
     def _grow(self, pts: np.ndarray, scale: float, leaf: int, depth: int):
-        if len(pts) * scale > leaf and len(pts) >= 8 and depth < 48:
+        if len(pts) * scale > leaf and len(pts) >= PER_LEAF and depth < 200:
             best = None
             for v in pts[self.rng.choice(len(pts), size=min(8, len(pts)), replace=False)]:
                 d = distances(pts, v)
-                shell = int(np.median(d))
-                inner = d <= shell
-                if inner.all():
-                    shell -= 1
-                    inner = d <= shell
-                if not inner.any():
-                    continue
-                # least overlap: points of the inner side within the radius of the shell
-                over = np.count_nonzero(inner & (d > shell - self.radius)) / len(pts) + abs(inner.mean() - 0.5)
-                if best is None or over < best[0]:
-                    best = (over, v, shell, inner)
+                within = np.cumsum(np.bincount(d, minlength=65)) / len(pts)
+                for share in SHELLS:
+                    shell = int(np.searchsorted(within, share))
+                    inside = within[shell]
+                    if not 0 < inside < 1:
+                        continue
+                    # copies made for what is learnt of a point's place: inner points within the radius of the shell visit its outside
+                    over = inside - (within[shell - self.radius] if shell >= self.radius else 0.0)
+                    bits = -(inside * np.log2(inside) + (1 - inside) * np.log2(1 - inside))
+                    if best is None or np.log2(1 + over) / bits < best[0]:
+                        best = (np.log2(1 + over) / bits, v, shell, d <= shell)
             if best is not None:
                 _, v, shell, inner = best
                 return (v, shell, self._grow(pts[inner], scale, leaf, depth + 1), self._grow(pts[~inner], scale, leaf, depth + 1))
@@ -200,7 +235,6 @@ class VantageTree:
     def route(self, pts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, whether it's at home) of every leaf that a point must be in."""
         out: list[tuple[np.ndarray, int, np.ndarray]] = []
-        pts = _rows(pts)
         stack = [(self.root, np.arange(len(pts)), np.ones(len(pts), bool))]
         while stack:
             node, rows, home = stack.pop()
@@ -222,79 +256,203 @@ class VantageTree:
         return (np.concatenate([r for r, _, _ in out]), np.concatenate([np.full(len(r), k) for r, k, _ in out]), np.concatenate([h for _, _, h in out]))
 
 
-def _rows(points: np.ndarray) -> np.ndarray:
-    points = np.asarray(points, U64)
-    return points.reshape(-1, 1) if points.ndim == 1 else points
-
-
-def leaf_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """A spanning forest, as rows (smallest node, node), of the links that touch a home point."""
-    order = np.argsort(~home, kind="stable")
-    fp, node, home = _rows(fp)[order], node[order], home[order]
-    n, h = len(fp), int(home.sum())
-    halves = [np.ascontiguousarray(fp[:, k]) for k in range(fp.shape[1]) if k == 0 or fp[:, k].any()]
-    group = np.arange(n)
-    for lo in range(0, n, 512):
-        close = sum(np.bitwise_count(x[None, :h] ^ x[lo : lo + 512, None]) for x in halves) <= radius
-        if lo < h:
-            k = np.arange(min(512, h - lo))
-            close[k, k + lo] = False
-        for i in np.flatnonzero(close.any(axis=1)):
-            met = np.unique(np.append(group[np.flatnonzero(close[i])], group[i + lo]))
-            if len(met) > 1:
-                group[np.isin(group, met)] = met[0]
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, node)
-    top = least[group]
-    linked = np.flatnonzero(top != node)
-    return np.stack([top[linked], node[linked]], axis=1)
+class Forest:
+    """Groups of things by number, and the edges that made them: a spanning forest, whatever the number of links."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Link pairs; returns those that joined two groups."""
+        out: list[tuple[int, int]] = []
+        while True:
+            apart = np.flatnonzero(self.label[a] != self.label[b])
+            if not len(apart):
+                break
+            a, b = a[apart], b[apart]
+            # as many unions at once as don't meet in a group
+            x, y = np.minimum(self.label[a], self.label[b]), np.maximum(self.label[a], self.label[b])
+            _, once = np.unique(y, return_index=True)
+            moved = np.arange(len(self.label))
+            moved[y[once]] = x[once]
+            while (moved[moved] != moved).any():
+                moved = moved[moved]
+            out.extend(zip(a[once].tolist(), b[once].tolist()))
+            self.label = moved[self.label]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+
+class HomePoints:
+    """A leaf's home points, looked up by parts of their fingerprints."""
+
+    def __init__(self, fp: np.ndarray, radius: int = RADIUS):
+        self.fp, self.radius, self.forest = fp, radius, Forest(len(fp))
+        edges = np.linspace(0, 64, radius + 2).astype(int)
+        self.parts = []
+        for lo, hi in zip(edges, edges[1:]):
+            shift, mask = U64(lo), U64((1 << int(hi - lo)) - 1)
+            part = (fp >> shift) & mask
+            order = np.argsort(part, kind="stable")
+            self.parts.append((shift, mask, part[order], order))
+
+    def links(self, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(home point, visitor) of all pairs within the radius, some at a time, a pair perhaps more than once."""
+        for shift, mask, known, order in self.parts:
+            part = (fp >> shift) & mask
+            lo, hi = np.searchsorted(known, part), np.searchsorted(known, part, side="right")
+            run = np.cumsum(hi - lo)
+            at = 0
+            while at < len(fp):
+                end = max(at + 1, int(np.searchsorted(run, (run[at - 1] if at else 0) + PAIRS, side="right")))
+                many = (hi - lo)[at:end]
+                visitor = np.repeat(np.arange(at, end), many)
+                home = order[np.arange(len(visitor)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[at:end], many)]
+                near = np.bitwise_count(self.fp[home] ^ fp[visitor]) <= self.radius
+                yield home[near], visitor[near]
+                at = end
+
+    def joined(self, fp: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+        """Edges (home point, other home point, empty) and (home point, None, visitor) that link visitors, or the home points among themselves."""
+        if fp is None:
+            for a, b in self.links(self.fp):
+                x, y = self.forest.join(a, b)
+                yield x, y, np.zeros(0, np.int64)
+            return
+        first = np.full(len(fp), -1)
+        for home, visitor in self.links(fp):
+            fresh = first[visitor] < 0
+            seen, at = np.unique(visitor[fresh], return_index=True)
+            first[seen] = home[fresh][at]
+            # further home points of a visitor belong to the group of its first
+            x, y = self.forest.join(first[visitor], home)
+            yield x, y, np.zeros(0, np.int64)
+        linked = np.flatnonzero(first >= 0)
+        yield first[linked], None, linked
 
 
 def near_duplicate_links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """``points(fp, fp2, node)``, one row per fingerprint, to a spanning set ``a, b`` of the links within ``radius``."""
+    """``points(fp, node)``, one row per fingerprint, to a spanning set ``a, b`` of the links within ``radius``."""
     total = points.count()
-    taken = points.select("fp", "fp2").orderBy(F.xxhash64("fp", "fp2"), "fp", "fp2").limit(SAMPLE).collect()
-    sample = np.array([tuple(r) for r in taken], np.int64).reshape(-1, 2).view(U64)
-    tree = VantageTree(sample, total, max(64, min(leaf, total // SHARDS)), radius)
+    size = min(MAX_SAMPLE, max(SAMPLE, PER_LEAF * total // leaf))
+    taken = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, size / max(1, total)) * (1 << 30)))
+    sample = taken.toArrow()["fp"].to_numpy().view(U64)
+    tree = VantageTree(sample, total, leaf, radius)
+    expected = np.zeros(max(1, tree.leaves))
+    for lo in range(0, len(sample), 1024):
+        _, shard, home = tree.route(sample[lo : lo + 1024])
+        expected += np.bincount(shard[~home], minlength=len(expected)) * (total / max(1, len(sample)))
+    tasks = np.maximum(1, np.ceil(expected / VISITORS)).astype(np.int64)
+    first_task = np.concatenate([[0], np.cumsum(tasks)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, fp2, node = (batch.column(k).to_numpy() for k in range(3))
-            both = np.stack([fp, fp2], axis=1).view(U64)
+            fp, node = (batch.column(k).to_numpy() for k in range(2))
             for lo in range(0, len(fp), 1024):
-                row, shard, home = tree.route(both[lo : lo + 1024])
+                row, shard, home = tree.route(fp[lo : lo + 1024].view(U64))
                 row = row + lo
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), pa.array(fp[row]), pa.array(fp2[row]), pa.array(node[row]), pa.array(home)], names=["shard", "fp", "fp2", "node", "home"]
-                )
+                # visitors go to one of a leaf's tasks, home points to all of them
+                many = np.where(home, tasks[shard], 1)
+                copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                row, shard, home = np.repeat(row, many), np.repeat(shard, many), np.repeat(home, many)
+                own = np.where(home, copy, (_mixed(fp[row].view(U64), 0x9FB21C651E98DF25) % tasks[shard].astype(U64)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((first_task[shard] + own).astype(np.int32)), pa.array(~home), pa.array(fp[row]), pa.array(node[row])], names=["shard", "visits", "fp", "node"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, home, nodes = None, [], None, None
+        for batch in batches:  # by shard, home points first
+            numbers, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (visits[1:] != visits[:-1])) + 1
+            fps, of = batch.column(2).to_numpy().view(U64), batch.column(3).to_numpy()
+            for lo, hi in zip([0, *cuts], [*cuts, len(numbers)]):
+                if numbers[lo] != shard or not visits[lo]:
+                    if numbers[lo] != shard and parts:
+                        yield from closed(parts)
+                        parts = []
+                    if numbers[lo] != shard:
+                        shard, home = numbers[lo], None
+                    if not visits[lo]:
+                        parts.append((fps[lo:hi], of[lo:hi]))
+                        continue
+                if home is None:
+                    nodes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+                    home = HomePoints(np.concatenate([np.zeros(0, U64), *(f for f, _ in parts)]), radius)
+                    yield from edges(home.joined(None), nodes, None)
+                    parts = []
+                if len(nodes):
+                    yield from edges(home.joined(fps[lo:hi]), nodes, of[lo:hi])
+        if parts:
+            yield from closed(parts)
+
+    def closed(parts) -> Iterator[pa.RecordBatch]:
+        nodes = np.concatenate([n for _, n in parts])
+        yield from edges(HomePoints(np.concatenate([f for f, _ in parts]), radius).joined(None), nodes, None)
+
+    def edges(found, nodes, visitors) -> Iterator[pa.RecordBatch]:
+        for x, y, v in found:
+            a, b = nodes[x], nodes[y] if y is not None else visitors[v]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    routed = points.select("fp", "node").mapInArrow(route, "shard int, visits boolean, fp bigint, node bigint")
+    parts = int(first_task[-1])
+    return routed.repartition(min(parts, 20_000), "shard").sortWithinPartitions("shard", "visits").mapInArrow(links, "a bigint, b bigint")
+
+
+def wide_links(fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
+    """A spanning forest, as rows (node, node), of the links of fingerprints of two words."""
+    forest, out = Forest(len(fp)), []
+    step = max(1, PAIRS // max(1, len(fp)))
+    for lo in range(0, len(fp), step):
+        d = np.bitwise_count(fp[lo : lo + step, None, 0] ^ fp[None, :, 0])
+        d += np.bitwise_count(fp[lo : lo + step, None, 1] ^ fp[None, :, 1])
+        x, y = np.nonzero(d <= radius)
+        out.append(np.stack(forest.join(x + lo, y), axis=1))
+    found = np.concatenate([np.zeros((0, 2), np.int64), *out])
+    return node[found]
+
+
+def shard_links(points: DataFrame, radius: int) -> DataFrame:
+    """``points(fp, fp2, node, bands)``, one row per fingerprint, to a spanning set ``a, b`` of the links inside shards."""
+    dealt = points.select("fp", "fp2", "node", F.explode("bands").alias("band"))
+    sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = materialize(dealt.join(sizes, "band"), "shards")
+    buckets = max(1, dealt.count() // SHARD_BLOCK)
+    dealt = dealt.withColumn("blocks", F.expr(f"cast(ceil(n / {SHARD_BLOCK}.0D) as bigint)")).withColumn("own", F.expr("pmod(xxhash64(node, 5), blocks)"))
+    single = dealt.where("blocks = 1").selectExpr("fp", "fp2", "node", "band", f"pmod(xxhash64(band), {buckets}L) as g", "-1L as p", "-1L as q")
+    # a large shard by pairs of its blocks, each a task
+    pairs = dealt.where("blocks > 1").selectExpr("*", "explode(sequence(0L, blocks - 1)) as x")
+    several = pairs.selectExpr("fp", "fp2", "node", "band", "band as g", "least(own, x) as p", "greatest(own, x) as q")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = leaf_links(pdf[["fp", "fp2"]].to_numpy().view(U64), pdf["node"].to_numpy(), pdf["home"].to_numpy(), radius)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        pdf = pdf.sort_values("band", kind="stable")
+        band, node, fp = pdf["band"].to_numpy(), pdf["node"].to_numpy(), pdf[["fp", "fp2"]].to_numpy().view(U64)
+        cuts = np.flatnonzero(band[1:] != band[:-1]) + 1
+        found = [wide_links(fp[lo:hi], node[lo:hi], radius) for lo, hi in zip([0, *cuts], [*cuts, len(band)]) if hi - lo > 1]
+        both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)})
 
-    routed = points.select("fp", "fp2", "node").mapInArrow(route, "shard int, fp bigint, fp2 bigint, node bigint, home boolean")
-    return routed.groupBy("shard").applyInPandas(links, "a bigint, b bigint")
+    return single.union(several).groupBy("g", "p", "q").applyInPandas(links, "a bigint, b bigint")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
     fps = materialize(fingerprints(docs, text, key, width), "fingerprints")
-    points = materialize(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")), "points")
+    # a fingerprint is its own node, so null ids need none
+    points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).selectExpr("fp", "fp as node", "least"), "points")
     parts = connected_components(near_duplicate_links(points, radius))
-    named = materialize(
-        points.join(parts, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "components"
-    )
-    return fps.join(named, ["fp", "fp2"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(points.join(parts, "node", "left").selectExpr("fp", "coalesce(component, node) as component", "least"), "components")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(ids, "component").select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def proposed_links(points: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``points(fp, fp2, node, keys)``, one row per shingle set, to links ``a, b`` whose components hold all pairs to compare."""
-    heads = materialize(points.groupBy("fp", "fp2").agg(F.min("node").alias("node")), "heads")
-    equal = points.join(heads.withColumnRenamed("node", "a"), ["fp", "fp2"]).selectExpr("a", "node as b")
+    """``points(fp, fp2, node, n, keys, bands)``, one row per shingle set, to links ``a, b`` whose components hold all pairs to compare."""
     keyed = points.select(F.explode("keys").alias("k"), "node")
     least = keyed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
     common = keyed.join(least, "k").selectExpr("a", "node as b")
-    return near_duplicate_links(heads, radius).union(equal.where("a <> b")).union(common.where("a <> b"))
+    return shard_links(points, radius).union(common.where("a <> b"))
 
 
 def similar_links(sets: list[np.ndarray], node: np.ndarray) -> list[tuple[int, int]]:
@@ -357,14 +515,28 @@ def exact_links(docs: DataFrame, proposed: DataFrame, width: int = 5) -> DataFra
     return rows.groupBy("g", "p", "q").applyInPandas(resolve, "a bigint, b bigint")
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their near-duplicate group."""
+    """One row of each near-duplicate group of ``docs``: that of the smallest id."""
+    ids = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"))
+    if ids.groupBy("id").count().where("id is null or count > 1").limit(1).count():
+        # ids that don't tell rows apart: number the rows in their order
+        name = _free_name(docs, "row_number")
+        ordered = docs.orderBy(F.col(f"`{key}`").asc_nulls_last(), F.xxhash64(F.col(f"`{text}`")), F.col(f"`{text}`")).withColumn(name, F.monotonically_increasing_id())
+        return keep_representatives(materialize(ordered, "numbered"), text, name, width, radius).drop(name)
     plain = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"cast(`{text}` as string) as text")
     rows = materialize(set_fingerprints(plain, width), "fingerprints")
-    points = materialize(rows.groupBy("fp", "fp2", "set", "n", "keys").agg(F.min("doc_id").alias("node")), "points")
+    points = materialize(rows.groupBy("fp", "fp2", "set", "n", "keys", "bands").agg(F.min("doc_id").alias("node")), "points")
     proposed = connected_components(proposed_links(points, radius))
     sized = points.groupBy("node").agg(F.max("n").alias("n"))
     proposed = materialize(proposed.join(sized, "node"), "proposed")
     gone = connected_components(exact_links(plain, proposed, width)).where("node <> component")
-    keep = points.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("__keep"))
-    return docs.join(keep, F.col(key) == F.col("__keep"), "left_semi")
+    name = _free_name(docs, "kept_id")
+    keep = points.select("node").join(gone, "node", "left_anti").select(F.col("node").alias(name))
+    return docs.join(keep, F.col(f"`{key}`").cast("bigint") == F.col(name), "left_semi")
