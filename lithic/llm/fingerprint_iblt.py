@@ -8,23 +8,31 @@ content-defined places: after words whose hash is 0 modulo ``EVERY`` (in words
 of over ``LONG_WORD`` characters after characters whose hash is 0 modulo ``EVERY_CHAR``).  So cuts
 depend on what is near them only, and short or single-line texts have several pieces.
 Without ``fine`` lines are cut only after sentence ends whose last letter is a to m.
-A piece is a number of 62 hashed bits: 16 deal it to a group, 34 choose cells, 12
-check those.  The number of groups grows with the text, so a group has up to about
-4 pieces and the work for a text grows little faster than its length.
+A piece is a number of 62 hashed bits: the topmost, up to 16, deal it to a group, 34
+choose cells, 12 check those.  The number of groups grows with the text, so a group has
+up to about 4 pieces.  Pieces are sorted, so a group is a slice whose ends are found by
+halving, and the work for a text grows little faster than its length.
 
 A group's sketch has three tables of cells; a piece is added to one cell of each.
 A cell is one long, ``count * 2**52 + sum of pieces``.  Sketches of two versions
 subtract cell by cell, which leaves their symmetric difference; peeling takes
 cells whose count is 1 or -1 and whose check bits agree, takes that piece out of
-its other cells, and goes on.  If cells are left, the group is tried again with
-larger tables, and at last by an exact set difference.
+its other cells, and goes on: it recovers the digests that only one version has, and on
+which side.  If cells are left, the group is tried again with larger tables, and at last
+by an exact set difference.
 
 Likeness is the number of common pieces over that of all pieces, 1 for two empty
-texts.  Only DataFrame and SQL functions.
+texts.  With ``whole`` results hold the sketches, which can be stored and subtracted
+(``subtracted``), and the recovered digests.  Only DataFrame and SQL functions.
+
+Rows are dealt by quantiles of their ids to buckets of neighbours, whatever the ids are;
+a text's pieces are made once and travel with it to the document before it.
 
 Defined results: null is the empty text; equal texts have equal fingerprints;
-repeated pieces count once; rows of one id follow each other by a hash of their
-text; a single row is its own next document.
+repeated pieces count once; null ids come before all others; rows of one id, or of none,
+follow each other by a hash of their text and get a result each; a single row is its own
+next document; texts of any length are read whole; an empty table gives an empty table;
+other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +44,15 @@ from .scratch import materialize
 
 #: Cells of a table at first and when tried again, peeling rounds, pieces of a group.
 CELLS, RETRIES, ROUNDS, GROUP = 4, (8, 32, 128, 1024), 16, 4
+#: Peeling rounds of the smallest sketches; what needs more is tried again.
+FEW_ROUNDS = 3
 #: Bits of a piece that deal to groups, at most, above the bits that choose and check cells; one in the count.
 GROUP_BITS, KEY_BITS, ONE = 16, 46, 1 << 52
 #: Lowest of the 11 bits that choose the cell in each table; below them are the check bits.
 TABLES = (12, 23, 34)
 CHECK = (1 << 12) - 1
-#: Bins of ids that are counted on the driver, and rows that a bucket should hold.
-BINS, BUCKET_ROWS = 65_536, 4_000
+#: Rows that a bucket of neighbouring ids should hold, and buckets at most.
+BUCKET_ROWS, BUCKETS = 4_000, 10_000
 #: Characters of bucket borders that may be broadcast.
 BROADCAST_CHARS = 32_000_000
 
@@ -54,7 +64,7 @@ LONG_WORD = 48
 
 def fine_parts(text: str) -> str:
     """SQL: a text cut at lines, sentence and clause ends, and by word hashes elsewhere."""
-    ends = "(?<=[^\\\\p{L}\\\\p{N},\\\\s])\\\\s+|(?<=[。！？；।])(?=[^\\\\s])"
+    ends = "(?=\\\\s)(?<=[^\\\\p{L}\\\\p{N},\\\\s])\\\\s+|(?<=[。！？；।])(?=[^\\\\s])"
     ended = lambda x, of: f"if(pmod(xxhash64({x}), {of}) = 0, concat({x}, '\\n'), {x})"
     chars = f"array_join(transform(split(v, ''), c -> {ended('c', EVERY_CHAR)}), '')"
     by_hash = f"split(array_join(transform(split(u, ' '), v -> if(length(v) > {LONG_WORD}, {chars}, {ended('v', EVERY)})), ' '), '\\n')"
@@ -78,34 +88,39 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _below(numbers: str, n: str, bound: str, halves: str) -> str:
+    """SQL: how many of the sorted numbers are less than a bound, by halving."""
+    return f"aggregate({halves}, 0, (p, s) -> if(p + s <= {n} and element_at({numbers}, greatest(1, least(p + s, {n}))) < {bound}, p + s, p))"
+
+
 def grouped(sets: str, bits: str) -> str:
-    """SQL: what each piece adds to cells, by group, first by half of the bits and then by the others."""
-    low = f"cast({bits} / 2 as int)"
+    """SQL: what each piece adds to cells, by group: slices of the sorted pieces."""
     add = f"(x & {(1 << KEY_BITS) - 1}L) + {ONE}L"
-    inner = f"transform(sequence(0L, shiftleft(1L, {bits} - {low}) - 1), g -> transform(filter(half, x -> (shiftright(x, {KEY_BITS} + {low}) & (shiftleft(1L, {bits} - {low}) - 1)) = g), x -> {add}))"
-    return f"""flatten(transform(sequence(0L, shiftleft(1L, {low}) - 1), h -> {_bind(f"filter({sets}, x -> (shiftright(x, {KEY_BITS}) & (shiftleft(1L, {low}) - 1)) = h)", 'half', inner)}))"""
+    halves = "transform(sequence(cast(floor(log2(greatest(size(o), 1))) as int), 0, -1), i -> shiftleft(1, i))"
+    ends = f"transform(sequence(1L, shiftleft(1L, {bits}) - 1L), g -> {_below('o', 'size(o)', f'shiftleft(g, {GROUP_BITS + KEY_BITS} - {bits})', 'hv')})"
+    many = f"if({bits} = 0, array(size(o)), concat({ends}, array(size(o))))"
+    cut = f"transform(es, (e, i) -> transform(slice(o, 1 + if(i = 0, 0, es[greatest(i, 1) - 1]), e - if(i = 0, 0, es[greatest(i, 1) - 1])), x -> {add}))"
+    return _bind(f"sort_array({sets})", "o", f"if(size(o) = 0, array(cast(array() as array<bigint>)), {_bind(halves, 'hv', _bind(many, 'es', cut))})")
 
 
-def sketch(pieces_of_group: str, w: str) -> str:
-    """SQL: the 3 * w cells of a group."""
-    return f"""flatten(transform(array({', '.join(map(str, TABLES))}), t -> transform(sequence(0L, {w} - 1L), j -> aggregate({pieces_of_group}, 0L,
-      (a, x) -> if((shiftright(x, t) & ({w} - 1L)) = j, a + x, a)))))"""
+def sketch(pieces_of_group: str, w: str, of: str = "x") -> str:
+    """SQL: the 3 * w cells of a group; ``of`` gives the bits of a piece ``x`` that choose its cells."""
+    tables = (f"transform(sequence(0L, {w} - 1L), j -> aggregate({pieces_of_group}, 0L, (a, x) -> if((shiftright({of}, {t}) & ({w} - 1L)) = j, a + x, a)))" for t in TABLES)
+    return f"concat({', '.join(tables)})"
 
 
 def _less(p: str, q: str) -> str:
     return f"zip_with({p}, {q}, (p, q) -> p - q)"
 
 
-def _peeled(cells: str, w: str) -> str:
-    """SQL: how many pieces a difference of sketches holds, -1 if it can't be peeled."""
+def _peeled(cells: str, w: str, rounds: int = ROUNDS) -> str:
+    """SQL: the pieces in a difference of sketches, as they are added to cells and negative if they are the second's; null if it can't be peeled."""
     single = f"shiftright(abs(c), {KEY_BITS}) = {ONE >> KEY_BITS} and (xxhash64(shiftright(abs(c), 12) & {(1 << 34) - 1}L) & {CHECK}L) = (abs(c) & {CHECK}L)"
-    first, width = TABLES[0], TABLES[1] - TABLES[0]
-    at = f"(shiftright(abs(p), {first} + {width} * cast(i div {w} as int)) & ({w} - 1L)) = i % {w}"
-    taken = f"transform(st.cells, (c, i) -> aggregate(pure, c, (a, p) -> if({at}, a - p, a)))"
-    step = _bind(f"array_distinct(filter(st.cells, c -> {single}))", "pure", f"if(size(pure) = 0, named_struct('cells', st.cells, 'found', st.found, 'go', false), named_struct('cells', {taken}, 'found', st.found + size(pure), 'go', true))")
-    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'go', true),
-      (st, r) -> if(not st.go, st, {step}),
-      st -> if(forall(st.cells, c -> c = 0L), st.found, -1))"""
+    own = sketch("pure", w, "abs(x)")
+    none = "cast(array() as array<bigint>)"
+    step = _bind(f"array_distinct(filter(st.cells, c -> {single}))", "pure", f"if(size(pure) = 0, st, named_struct('cells', zip_with(st.cells, {own}, (c, s) -> c - s), 'found', concat(st.found, pure)))")
+    peeled = f"aggregate(sequence(1, {rounds}), named_struct('cells', ce, 'found', {none}), (st, r) -> {step}, st -> if(forall(st.cells, c -> c = 0L), st.found, cast(null as array<bigint>)))"
+    return _bind(cells, "ce", f"if(forall(ce, c -> c = 0L), {none}, {peeled})")
 
 
 def sketches(sets: str, bits: str) -> str:
@@ -113,27 +128,27 @@ def sketches(sets: str, bits: str) -> str:
     return f"transform({grouped(sets, bits)}, z -> {sketch('z', f'{CELLS}L')})"
 
 
-def differing(a: str, b: str, sketches_a: str, sketches_b: str) -> str:
-    """SQL: the number of pieces in just one of two sets, by subtracting and peeling their sketches.
+def subtracted(a: str, b: str, sketches_a: str, sketches_b: str) -> str:
+    """SQL: the pieces in just one of two sets, by group, from subtracting and peeling their sketches; the second's are negative.
 
     Sketches of as many groups as the larger set has are subtracted as they are;
     the others are made anew.
     """
     left = f"if({groups(a)} = m, {sketches_a}, {sketches(a, 'm')})"
     right = f"if({groups(b)} = m, {sketches_b}, {sketches(b, 'm')})"
-    first = f"zip_with({left}, {right}, (sa, sb) -> {_peeled(_less('sa', 'sb'), f'{CELLS}L')})"
-    exact = "size(array_except(z.a, z.b)) + size(array_except(z.b, z.a))"
-    larger = f"""aggregate(array({', '.join(f'{w}L' for w in RETRIES)}), -1,
-      (d, w) -> if(d >= 0, d, {_peeled(_less(sketch('z.a', 'w'), sketch('z.b', 'w')), 'w')}), d -> if(d >= 0, d, {exact}))"""
-    again = f"zip_with(zip_with({grouped(a, 'm')}, {grouped(b, 'm')}, (ga, gb) -> named_struct('a', ga, 'b', gb)), ds, (z, d) -> if(d >= 0, d, {larger}))"
-    total = lambda counts: f"aggregate({counts}, 0, (s, d) -> s + d)"
-    return _bind(f"greatest({groups(a)}, {groups(b)})", "m", _bind(first, "ds", f"if(forall(ds, d -> d >= 0), {total('ds')}, {total(again)})"))
+    first = f"zip_with({left}, {right}, (sa, sb) -> {_peeled(_less('sa', 'sb'), f'{CELLS}L', FEW_ROUNDS)})"
+    mine = lambda sets: f"transform(filter({sets}, x -> shiftright(x, {GROUP_BITS + KEY_BITS} - m) = i), x -> (x & {(1 << KEY_BITS) - 1}L) + {ONE}L)"
+    exact = "concat(array_except(z.a, z.b), transform(array_except(z.b, z.a), x -> -x))"
+    larger = f"""aggregate(array({', '.join(f'{w}L' for w in RETRIES)}), cast(null as array<bigint>),
+      (d, w) -> if(d is not null, d, {_peeled(_less(sketch('z.a', 'w'), sketch('z.b', 'w')), 'w')}), d -> if(d is not null, d, {exact}))"""
+    again = f"transform(ds, (d, i) -> if(d is not null, d, {_bind(f'named_struct(%sa%s, {mine(a)}, %sb%s, {mine(b)})'.replace('%s', chr(39)), 'z', larger)}))"
+    return _bind(f"greatest({groups(a)}, {groups(b)})", "m", _bind(first, "ds", f"if(forall(ds, d -> d is not null), ds, {again})"))
 
 
-def likeness(a: str, b: str, sketches_a: str, sketches_b: str) -> str:
-    """SQL: common pieces over all pieces, from sizes and the size of the difference."""
-    both = f"(size({a}) + size({b}))"
-    return f"if({both} = 0, 1.0D, {_bind(differing(a, b, sketches_a, sketches_b), 'dd', f'({both} - dd) / cast({both} + dd as double)')})"
+def likeness(a: str, b: str, difference: str) -> str:
+    """SQL: common pieces over all pieces, from sizes and the difference."""
+    both, apart = f"(size({a}) + size({b}))", f"aggregate({difference}, 0, (s, d) -> s + size(d))"
+    return f"if({both} = 0, 1.0D, {_bind(apart, 'dd', f'({both} - dd) / cast({both} + dd as double)')})"
 
 
 def digest(cells: str) -> str:
@@ -141,43 +156,47 @@ def digest(cells: str) -> str:
     return _bind(cells, "s", "lower(concat(lpad(hex(xxhash64(s, 1)), 16, '0'), lpad(hex(xxhash64(s, 2)), 16, '0')))")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``id, text, next_text`` of ``docs(id, text)`` with the text of the row of the next id, after the last the first.
+def with_next(docs: DataFrame, made: str, also: str) -> DataFrame:
+    """``id, text, a, sa, next_text, b, sb`` of ``docs(id, text)``: ``a`` is what the SQL ``made`` makes of a text, ``sa`` what ``also`` makes of ``a``; the others are those of the row of the next id, after the last the first.
 
-    Rows are dealt to buckets of neighbouring ids by a histogram of ids; inside a
-    bucket a window gives the next row, and the first rows of buckets are joined
-    to the last ones of those before.
+    Rows are dealt to buckets of neighbouring ids between quantiles; inside a bucket a
+    window gives the next row, and the first rows of buckets are joined to the last
+    ones of those before.
     """
     spark = docs.sparkSession
-    span = docs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // BINS))
-    slot = F.coalesce(((F.col("id") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
-    counted = sorted((r["slot"], r["n"]) for r in docs.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = docs.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(1, span["n"] // max(4 * parts, span["n"] // BUCKET_ROWS, 1))
-    bucket_of, bucket, filled = [], 0, 0
-    for s, n in counted:
-        if filled >= size:
-            bucket, filled = bucket + 1, 0
-        bucket_of.append((s, bucket))
-        filled += n
-    total = bucket + 1
-    slots = F.broadcast(spark.createDataFrame(bucket_of, "slot int, bucket int"))
-    rows = docs.withColumn("slot", slot).join(slots, "slot").drop("slot").withColumn("tie", F.xxhash64("text"))
-    order = Window.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "tie")
-    near = rows.withColumn("next_text", F.lead("text").over(order))
-    firsts = rows.groupBy("bucket").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("first"))
-    head = rows.join(F.broadcast(firsts.withColumnRenamed("bucket", "b")), (F.col("b") == F.col("bucket")) & (F.coalesce("id", F.lit(-(1 << 63))) == F.col("first")))
-    head = head.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("tie"))).where("k = 1")
-    head = materialize(head.select(F.pmod(F.col("bucket") - 1, F.lit(total)).alias("before"), F.col("text").alias("head_text")), "borders")
+    wanted = max(1, min(BUCKETS, max(4 * parts, total // BUCKET_ROWS), total))
+    bounds: list[int] = []
+    if wanted > 1:
+        shares = ", ".join(repr(k / wanted) for k in range(1, wanted))
+        found = docs.selectExpr("id").agg(F.expr(f"percentile_approx(id, array({shares}), {max(10_000, 10 * wanted)})")).first()[0]
+        bounds = sorted(set(found or []))
+    low = "(-9223372036854775807L - 1L)"
+    numbers = "array(" + ", ".join(low if b == -(1 << 63) else f"{b}L" for b in bounds) + ")"
+    halves = "array(" + ", ".join(str(1 << k) for k in range(max(len(bounds), 1).bit_length() - 1, -1, -1)) + ")"
+    bucket = F.expr(_below(numbers, str(len(bounds)), f"coalesce(id, {low})", halves)) if bounds else F.lit(0)
+    rows = docs.withColumn("bucket", bucket).withColumn("tie", F.xxhash64("text"))
+    by = [F.col("id").asc_nulls_first(), F.col("tie")]
+    order = Window.partitionBy("bucket").orderBy(*by)
+    near = rows.select("*", F.lead("text").over(order).alias("next_text"))
+    # made after the shuffle, and handed on by a window over the same order
+    near = near.withColumn("a", F.expr(made)).withColumn("sa", F.expr(also)).select("*", F.lead("a").over(order).alias("next_a"), F.lead("sa").over(order).alias("next_sa"))
+    # a bucket's first row; ids and ties only, then the texts of those few
+    firsts = materialize(rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("f")).selectExpr("bucket as b", "f.id as first_id", "f.tie as first_tie"), "firsts")
+    have = sorted(r["b"] for r in firsts.select("b").collect())
+    before = spark.createDataFrame([(b, have[k - 1]) for k, b in enumerate(have)] or [(0, 0)], "b int, before int")
+    firsts = firsts.join(F.broadcast(before), "b")  # at most as many rows as there are buckets
+    head = rows.join(F.broadcast(firsts), (F.col("b") == F.col("bucket")) & F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_tie") == F.col("tie")))
+    head = materialize(head.dropDuplicates(["bucket"]).select("before", F.col("text").alias("head_text"), F.expr(made).alias("a")).select("*", F.expr(also).alias("head_sa")).withColumnRenamed("a", "head_a"), "borders")
     chars = head.agg(F.sum(F.length("head_text"))).first()[0] or 0
     last = F.col("next_text").isNull()
     if chars <= BROADCAST_CHARS:
         joined = near.join(F.broadcast(head), last & (F.col("bucket") == F.col("before")), "left")
     else:  # other rows get a key of their own, which meets nothing
-        own = F.when(last, F.col("bucket").cast("bigint")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+        own = F.when(last, F.col("bucket").cast("bigint")).otherwise(-1 - F.pmod(F.xxhash64("id", "tie"), F.lit(1 << 40)))
         joined = near.withColumn("own", own).join(head.withColumn("own", F.col("before").cast("bigint")), "own", "left")
-    return joined.select("id", "text", F.coalesce("next_text", "head_text").alias("next_text"))
+    return joined.select("id", "text", "a", "sa", *(F.coalesce(f"next_{x}", f"head_{x}").alias(y) for x, y in (("text", "next_text"), ("a", "b"), ("sa", "sb"))))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -186,25 +205,27 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - q), F.substring(next_text, F.lit(1), q))
 
 
-def fingerprint_versions(docs: DataFrame, text: str = "text", key: str = "doc_id", fine: bool = False) -> DataFrame:
-    """Per row its fingerprint and that of its edited text, and their likeness and that to the next document."""
+def fingerprint_versions(docs: DataFrame, text: str = "text", key: str = "doc_id", fine: bool = False, whole: bool = False) -> DataFrame:
+    """Per row its fingerprint and that of its edited text, and their likeness and that to the next document.
+
+    With ``whole`` also ``sketch`` and ``edited_sketch``, by group, and ``gone`` and ``added``:
+    the digests of the pieces that only the text, or only the edited text, has, as
+    recovered by peeling (a digest without the bits of its group).
+    """
     plain = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"coalesce(cast(`{text}` as string), '') as text")
-    rows = with_next(plain).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    sets = rows.select(
-        "id",
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.expr(pieces("text", fine)).alias("a"),
-        F.expr(pieces("edited", fine)).alias("e"),
-        F.expr(pieces("next_text", fine)).alias("b"),
-    )
-    made = sets.select("*", *(F.expr(sketches(x, groups(x))).alias(f"s{x}") for x in "aeb"))
+    rows = with_next(plain, pieces("text", fine), sketches("a", groups("a"))).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    sets = rows.select("id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "sa", F.expr(pieces("edited", fine)).alias("e"), "b", "sb")
+    # explode(array(x)) keeps the optimizer from writing x out again at each use
+    made = sets.select("*", F.explode(F.array(F.expr(sketches("e", groups("e"))))).alias("se"))
+    made = made.select("*", F.explode(F.array(F.expr(subtracted("a", "e", "sa", "se")))).alias("edits"))
+    value = f"abs(x) & {ONE - 1}L"
     return made.selectExpr(
         "id as doc_id",
         "n_chars",
         "edited_sha256",
         f"{digest('sa')} as fingerprint",
         f"{digest('se')} as edited_fingerprint",
-        f"{likeness('a', 'e', 'sa', 'se')} as near_edited",
-        f"{likeness('a', 'b', 'sa', 'sb')} as near_next",
+        f"{likeness('a', 'e', 'edits')} as near_edited",
+        f"{likeness('a', 'b', subtracted('a', 'b', 'sa', 'sb'))} as near_next",
+        *(["sa as sketch", "se as edited_sketch", f"transform(filter(flatten(edits), x -> x > 0), x -> {value}) as gone", f"transform(filter(flatten(edits), x -> x < 0), x -> {value}) as added"] if whole else []),
     )
