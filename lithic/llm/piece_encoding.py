@@ -13,8 +13,14 @@ Runs of two or more marks hold pieces of one equal score, where a pair test says
 nothing; such segments are merged literally.  Segments are remembered in a
 bounded table, so repeated words cost one look-up.
 
+A step looks at no more characters than the longest piece has and the bitfield is an
+array of bytes, so the time for a text without spaces grows with its length.
+
+Decoding puts together what the ids stand for, word by word, as they were encoded.
+
 Defined results: null and empty texts give the end id only; texts of any length
-are encoded whole; equal texts give equal ids; extra columns stay out.
+are encoded whole; equal texts give equal ids, repeated rows a result each; null ids stay
+null; an empty table gives an empty table; extra columns stay out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Segments remembered by a worker; the table is emptied when full.
 MEMORY = 800_000
+#: Longer words aren't remembered, so the table stays small.
+LONG_WORD = 64
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -57,7 +65,7 @@ class PieceModel:
         for p in self.ids:
             automaton.add_word(p, len(p))
         automaton.make_automaton()
-        self.automaton = automaton
+        self.automaton, self.longest = automaton, max(map(len, self.ids))
         self.pair_ok: dict[tuple[str, str], bool] = {}
         across = [p for p in self.ids if MARK in p.lstrip(MARK)]
         if across:
@@ -100,15 +108,17 @@ class PieceModel:
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a segment whose characters all occur in pieces and that has no run of marks."""
-        ids, pair_ok, reach = self.ids, self.pair_ok, self.automaton.longest_prefix
-        n, pos, failed, left, size = len(text), 0, 0, "", -1  # failed: bit p set if nothing from p reaches the end
+        ids, pair_ok, reach, most = self.ids, self.pair_ok, self.automaton.longest_prefix, self.longest
+        n, pos, left, size = len(text), 0, "", -1
+        failed = bytearray(n // 8 + 1)  # bit p is set if nothing from p reaches the end
         taken: list[str] = []
         while pos < n:
             if size < 0:
-                size = reach(text[pos:])
+                size = reach(text[pos : pos + most])
             while size:
-                piece = text[pos : pos + size]
-                if piece in ids and not failed >> pos + size & 1:
+                end = pos + size
+                piece = text[pos:end]
+                if piece in ids and not failed[end >> 3] >> (end & 7) & 1:
                     ok = pair_ok.get((left, piece))
                     if self.compatible(left, piece) if ok is None else ok:
                         break
@@ -119,7 +129,7 @@ class PieceModel:
             elif not taken:
                 raise ValueError(f"no encoding of {text!r}")
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 size = len(taken.pop())
                 pos -= size
                 size -= 1
@@ -175,23 +185,22 @@ def _lenient(raw: bytes) -> str:
 
 
 class _Words(dict):
-    """Word to its ids as text; a key that starts with a newline follows no mark."""
+    """Word to its ids as text and the bytes they are decoded to; a key that starts with a newline follows no mark."""
 
     def __init__(self, model: PieceModel):
         self.model = model
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple[str, bytes]:
         m = self.model
         if word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
             ids = [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else [])
-            shown = word
         else:
-            ids, shown = m.segment(MARK + word), " " + word
-        if b"".join([m.surface[i] for i in ids]) != shown.encode():
-            raise ValueError(f"{word!r} isn't decoded as it was encoded")
-        if len(self) >= MEMORY:
-            self.clear()
-        found = self[word] = " ".join(map(str, ids))
+            ids = m.segment(MARK + word)
+        found = " ".join(map(str, ids)), b"".join([m.surface[i] for i in ids])
+        if len(word) <= LONG_WORD:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -222,8 +231,9 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: st
                     ids = model.encode(t)[:-1]
                     ids_text, raw = " ".join(map(str, ids)), model.decode(ids).encode()
                 else:
-                    # a mark starts each word and each word is decoded as itself (checked when it is first met)
-                    ids_text, raw = " ".join([words[w] for w in t.replace("\n", " \n").split(" ")]), t.encode()
+                    # a mark starts each word, so words are encoded by themselves; the space that the first mark is decoded to goes
+                    found = [words[w] for w in t.replace("\n", " \n").split(" ")]
+                    ids_text, raw = " ".join([f[0] for f in found]), b"".join([f[1] for f in found])[1:]
                 counts.append(ids_text.count(" ") + 2 if ids_text else 1)
                 ids_hex.append(hashlib.sha256((f"{ids_text} {tail}" if ids_text else tail).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(raw).hexdigest())
