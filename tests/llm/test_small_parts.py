@@ -11,7 +11,7 @@ from lithic.llm import suffix_dedup
 from lithic.llm.bytesio import KeyTable, runs, xxh64
 from lithic.llm.language_ppm import LanguageModel, gram_keys
 from lithic.llm.piece_encoding import MARK, PieceModel
-from lithic.llm.simhash_vptree import VantageTree, leaf_links, simhash_rows
+from lithic.llm.simhash_vptree import HomePoints, VantageTree, simhash_rows, wide_links
 from lithic.llm.topk_bitsliced import BitSlicedIndex
 
 
@@ -56,7 +56,13 @@ def test_vantage_tree_misses_no_link(leaf):
     tree = VantageTree(pts[::2], len(pts), leaf)
     row, shard, home = tree.route(pts)
     assert home.sum() == len(pts)
-    links = [leaf_links(pts[row[m]], row[m].astype(np.int64), home[m]) for m in (shard == k for k in range(tree.leaves))]
+    links = []
+    for k in range(tree.leaves):
+        mine, others = row[(shard == k) & home], row[(shard == k) & ~home]
+        held = HomePoints(pts[mine])
+        links += [np.stack([mine[x], mine[y]], axis=1) for x, y, _ in held.joined(None)]
+        for part in np.array_split(others, 3):  # visitors come in batches
+            links += [np.stack([mine[x], part[v] if y is None else mine[y]], axis=1) for x, y, v in held.joined(pts[part])]
 
     def groups(edges):
         p = list(range(len(pts)))
@@ -75,6 +81,30 @@ def test_vantage_tree_misses_no_link(leaf):
     assert groups(np.concatenate(links)) == groups(brute)
 
 
+def test_wide_links():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, (40, 2)).astype(np.uint64)
+    pts = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 62, (40, 2)).astype(np.uint64)) for _ in range(5))])
+    for radius in (2, 32, 50):
+        near = [(i, j) for i in range(len(pts)) for j in range(i) if np.bitwise_count(pts[i] ^ pts[j]).sum() <= radius]
+        got = wide_links(pts, np.arange(len(pts)), radius)
+        parent = list(range(len(pts)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def groups(edges):
+            parent[:] = range(len(pts))
+            for a, b in edges:
+                a, b = sorted((find(int(a)), find(int(b))))
+                parent[b] = a
+            return [find(i) for i in range(len(pts))]
+
+        assert groups(got) == groups(near) and len(got) == len(pts) - len(set(groups(near)))
+
+
 def test_bit_sliced_index():
     rng = np.random.default_rng(5)
     v = rng.integers(-300, 300, (70, 6))
