@@ -26,6 +26,10 @@ class Files:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
+    def there(self, uri: str) -> bool:
+        """Whether a whole URI of this file system exists."""
+        return self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(uri))
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:

@@ -14,7 +14,7 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """Arrow IPC files or streams; executors read them whole, one task a file."""
     import pyarrow as pa
 
-    files = spark.read.format("binaryFile").load(path)
+    files = _contents(spark, path)
     head = bytes(files.select("content").first()[0])
     schema = _open(head).schema
     from pyspark.sql.pandas.types import from_arrow_schema
@@ -31,6 +31,28 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(rows, from_arrow_schema(schema))
 
 
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """``content`` of Arrow files, or of a folder that ``write_arrow`` made."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return spark.read.parquet(path) if files.limit(1).count() else spark.read.format("binaryFile").load(path)
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """A folder of Arrow IPC streams, one a partition, written by the executors through Spark's own files."""
+    import pyarrow as pa
+
+    def pack(batches):
+        sink, writer = pa.BufferOutputStream(), None
+        for b in batches:
+            writer = writer or pa.ipc.new_stream(sink, b.schema)
+            writer.write_batch(b)
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["content"])
+
+    df.mapInArrow(pack, "content binary").write.parquet(path)
+
+
 def _open(data):
     import pyarrow as pa
 

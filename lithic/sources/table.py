@@ -100,6 +100,9 @@ class Table:
         self.spark, self.files, self.path = spark, Files(spark, path), path.rstrip("/")
         self._manifests: dict[int, dict] = {}
         self._metas: dict[int, dict] = {}
+        #: URI of the record that makes this table object's commits visible, and the snapshots it wrote.
+        self.transaction: str | None = None
+        self.written: list[int] = []
 
     # -- snapshots -------------------------------------------------------------
 
@@ -117,7 +120,9 @@ class Table:
         return self
 
     def _write(self, manifest: dict) -> dict:
-        manifest = manifest | {"committed_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+        manifest = {k: v for k, v in manifest.items() if k != "transaction"} | {"committed_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+        if self.transaction:
+            manifest["transaction"] = self.transaction
         name = f"manifests/{manifest['sequence']:09d}.json"
         if self.files.exists(name):
             raise CommitConflict(f"snapshot {manifest['sequence']} exists")
@@ -126,11 +131,26 @@ class Table:
         except FileExistsError as e:
             raise CommitConflict(f"snapshot {manifest['sequence']} exists") from e
         self._manifests[manifest["sequence"]] = manifest
+        if self.transaction:
+            self.written.append(manifest["sequence"])
         return manifest
 
-    def sequences(self) -> list[int]:
+    def stored(self) -> list[int]:
+        """Numbers of all manifests, those of open transactions too."""
         return [int(n[:9]) for n in self.files.names("manifests") if n[:9].isdigit() and n.endswith(".json")]
 
+    def visible(self, sequence: int) -> bool:
+        """Whether a snapshot belongs to no open transaction but this object's."""
+        record = self.manifest(sequence).get("transaction")
+        return record is None or record == self.transaction or self.files.there(record)
+
+    def sequences(self) -> list[int]:
+        """Numbers of the visible snapshots; only the last ones can belong to an open transaction."""
+        found = self.stored()
+        while found and not self.visible(found[-1]):
+            self._manifests.pop(found.pop(), None)
+        return found
+
     @property
     def sequence(self) -> int:
         found = self.sequences()
@@ -266,9 +286,11 @@ class Table:
         """Statistics and partials of new files, in one job over all of them; those of ``few`` rows have no groups, answers scan them."""
         schema, meta = self.schema(manifest), self.meta(manifest)
         open_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-        df = self.spark.read.schema(open_schema).parquet(*[self.files.uri(p) for p in paths]).select("*", F.col("_metadata.file_name").alias("__file"))
+        held = T.StructType([*open_schema, T.StructField(ROW_ID, T.LongType(), True)]) if with_ids else open_schema
+        df = self.spark.read.schema(held).parquet(*[self.files.uri(p) for p in paths]).select("*", F.col("_metadata.file_name").alias("__file"))
         df = df.coalesce(1) if few else df
-        rows = {r["__file"]: r.asDict() for r in df.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), *stat_columns(schema)).collect()}
+        ends = [F.min(ROW_ID).alias("__low_id"), F.max(ROW_ID).alias("__high_id")] if with_ids else []
+        rows = {r["__file"]: r.asDict() for r in df.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), *stat_columns(schema), *ends).collect()}
         groups = None if few else self._group_partials(df, schema, meta)
         out, fid, rid = [], manifest["next_fragment"], manifest["next_row_id"]
         for path in paths:
@@ -276,9 +298,10 @@ class Table:
             if r is None:
                 self.files.delete(path)  # an empty part
                 continue
+            ids = [r.pop("__low_id", None), r.pop("__high_id", None)]
             stats = unpack(r)
             part = {c: stats[c]["lo"] for c in meta["partition_by"]}
-            out.append({"id": fid, "path": path, "rows": r["rows"], "deleted": 0, "base": None if with_ids else rid, "stats": stats, "partition": part, "groups": groups})
+            out.append({"id": fid, "path": path, "rows": r["rows"], "deleted": 0, "base": None if with_ids else rid, "stats": stats, "partition": part, "groups": groups} | ({"ids": ids} if with_ids else {}))
             fid += 1
             rid += 0 if with_ids else r["rows"]
         return out

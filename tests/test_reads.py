@@ -196,3 +196,71 @@ def test_random_conditions_against_plain_spark(db, spark):
     for _ in range(12):
         cond = f"{term()} {rng.choice(['and', 'or'])} {term()} and not ({term()})"
         assert sorted(map(str, db.sql(f"select * from t where {cond}").collect())) == sorted(map(str, spark.sql(f"select * from plain where {cond}").collect())), cond
+
+
+def test_transactions_over_tables(spark, tmp_path):
+    """Changes of several tables become visible together, are seen inside before, and leave no trace when rolled back."""
+    db, other = open_database(spark, str(tmp_path / "x")), open_database(spark, str(tmp_path / "x"))
+    for n in ("a", "b"):
+        db.create_table(n, "k bigint, v bigint").insert(spark.range(10).selectExpr("id as k", "id * 10 as v"))
+    tx = db.transaction()
+    assert tx.mutate("delete from a where k < 3") == 3 and tx.mutate("update b set v = 0 where k = 5") == 1
+    assert tx.mutate("insert into a (k, v) values (100, 1)") == 1 and tx.mutate("update a set v = 2 where k = 100") == 1
+    assert tx.sql("select count(*) n from a").first().n == 8
+    for d in (db, other):
+        assert d.sql("select count(*) n from a").first().n == 10 and d.sql("select sum(v) s from b").first().s == 450
+    with pytest.raises(CommitConflict):
+        other.mutate("delete from a where k = 9")
+    assert tx.commit() == 6
+    for d in (db, other):
+        assert d.sql("select count(*) n from a").first().n == 8 and d.sql("select sum(v) s from b").first().s == 400
+    assert db.sql("select v from a where k = 100").first().v == 2 and db.table("a").verify_history() == []
+    before = db.table("a").sequence
+    with pytest.raises(ValueError), db.transaction() as tx:
+        tx.mutate("delete from a")
+        raise ValueError
+    assert db.table("a").sequence == before and db.sql("select count(*) n from a").first().n == 8
+    dead = db.transaction()  # its writer dies
+    dead.mutate("delete from b")
+    assert other.sql("select count(*) n from b").first().n == 10 and len(maintenance.doctor(other.table("b"), repair=True)) > 0
+    assert other.mutate("delete from b where k = 0") == 1 and other.sql("select count(*) n from b").first().n == 9
+    with pytest.raises(Unsupported):
+        tx.mutate("delete from a")
+
+
+def test_databases_with_tables_of_one_name(spark, tmp_path):
+    a, b = (open_database(spark, str(tmp_path / n), tiny_rows=t) for n, t in (("a", 0), ("b", 100)))
+    for n, d in enumerate((a, b), 1):
+        d.create_table("t", "k bigint").insert(spark.range(10 * n).selectExpr("id as k"))
+    for _ in range(2):
+        assert a.sql("select k from t").count() == 10 and b.sql("select k from t").count() == 20
+    assert files(b.sql("select k from t where k > 3")) == 0  # held in memory
+    b.mutate("delete from t where k < 5")
+    assert b.sql("select k from t").count() == 15 and a.sql("select k from t").count() == 10
+
+
+def test_statistics_and_row_ids(db):
+    s = {r.column: r for r in db.statistics("t").collect()}
+    assert (s["k"].rows, s["k"].nulls, s["k"].lo, s["k"].hi, s["k"].exact) == (40, 0, "0", "39", True)
+    ids = {r.k: r._rowid for r in db.sql("select k, _rowid from t__rows where k in (5, 25)").collect()}
+    db.mutate("update t set s = 'new' where k = 25")
+    found = db.rows_by_id("t", list(ids.values()))
+    assert {(r.k, r._rowid) for r in found.collect()} == set(ids.items()) and files(found) <= 3
+    db.mutate("delete from t where k = 39")
+    s = {r.column: r for r in db.statistics("t").collect()}["k"]
+    assert (s.rows, s.hi, s.exact) == (39, "38", True)  # a tenth of the fragment is gone, so it was counted anew
+
+
+def test_broken_chain_and_broken_manifest(spark, tmp_path):
+    db = open_database(spark, str(tmp_path / "h"))
+    t = db.create_table("h", "k bigint")
+    for n in range(3):
+        t.insert(spark.range(n, n + 2).selectExpr("id as k"))
+    t.files.create("manifests/000000002.json", t.files.read("manifests/000000002.json") + " ", overwrite=True)
+    fresh = Table(spark, t.path)
+    assert fresh.verify_history() == ["snapshot 3 doesn't name the hash of 2"] and maintenance.check(fresh) != []
+    t.files.create("manifests/000000003.json", "{", overwrite=True)
+    fresh = Table(spark, t.path)
+    assert maintenance.doctor(fresh) == ["manifest 3 can't be read"]
+    maintenance.doctor(fresh, repair=True)
+    assert Table(spark, t.path).sequence == 2
