@@ -264,3 +264,28 @@ def test_broken_chain_and_broken_manifest(spark, tmp_path):
     assert maintenance.doctor(fresh) == ["manifest 3 can't be read"]
     maintenance.doctor(fresh, repair=True)
     assert Table(spark, t.path).sequence == 2
+
+
+def test_joins_read_only_fragments_of_the_other_side(db, spark):
+    """The keys of a small build side, or their range, narrow the probe side; results stay those of plain Spark."""
+    dim = db.create_table("dim", "id bigint, name string")
+    dim.insert(spark.sql("select id, concat('n', id) as name from range(40)").coalesce(1))
+    db.table("t").live().createOrReplaceTempView("plain_t")
+    dim.live().createOrReplaceTempView("plain_dim")
+    for q, n in (
+        ("select t.k, d.name from t join dim d on t.k = d.id where d.name in ('n5', 'n33')", 2), ("select count(*) n from t, dim d where t.k = d.id and d.id < 12", 2),
+        ("select t.k from t where t.k in (select id from dim where name = 'n17')", 1), ("select d.name, t.k from dim d left join t on t.k = d.id where d.id < 3", 4),
+        ("select t.k from t left join dim d on t.k = d.id and d.id < 3", 4), ("select t.k from t join dim d on t.k + 1 = d.id where d.id < 3", 4), ("select t.k from t join (select max(id) as m from dim) d on t.k = d.m", 1),
+    ):
+        df = db.sql(q)
+        assert files(df) - len([f for f in df.inputFiles() if "/dim/data/" in f]) <= n, q
+        plain = q.replace(" t ", " plain_t t ").replace(" t,", " plain_t t,").replace("dim d", "plain_dim d").replace("from dim", "from plain_dim").replace("join plain_t t on", "join plain_t t on")
+        assert sorted(map(str, df.collect())) == sorted(map(str, spark.sql(plain).collect())), q
+    from lithic import database
+
+    database.JOIN_KEYS, usual = 3, database.JOIN_KEYS
+    try:
+        df = db.sql("select t.k from t join dim d on t.k = d.id where d.id between 21 and 28")
+        assert df.count() == 8 and len([f for f in df.inputFiles() if "/t/data/" in f]) == 1
+    finally:
+        database.JOIN_KEYS = usual
