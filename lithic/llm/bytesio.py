@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-STEP = 1 << 20
+STEP = 1 << 18
 
 U64 = np.uint64
 P1, P2, P3, P4, P5 = (

@@ -16,7 +16,7 @@ bounded table, so repeated words cost one look-up.
 A step looks at no more characters than the longest piece has and the bitfield is an
 array of bytes, so the time for a text without spaces grows with its length.
 
-Decoding puts together what the ids stand for, word by word, as they were encoded.
+Decoding puts together what the ids stand for.
 
 Defined results: null and empty texts give the end id only; texts of any length
 are encoded whole; equal texts give equal ids, repeated rows a result each; null ids stay
@@ -35,7 +35,9 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Segments remembered by a worker; the table is emptied when full.
-MEMORY = 800_000
+MEMORY = 600_000
+#: Pairs whose compatibility is remembered.
+PAIRS = 200_000
 #: Longer words aren't remembered, so the table stays small.
 LONG_WORD = 64
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -101,7 +103,7 @@ class PieceModel:
         """Whether re-merging the joint text gives the two tokens; with no left token, whether merging makes the right one."""
         found = self.pair_ok.get((left, right))
         if found is None:
-            if len(self.pair_ok) >= MEMORY:
+            if len(self.pair_ok) >= PAIRS:
                 self.pair_ok.clear()
             found = self.pair_ok[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return found
@@ -185,24 +187,29 @@ def _lenient(raw: bytes) -> str:
 
 
 class _Words(dict):
-    """Word to its ids as text and the bytes they are decoded to; a key that starts with a newline follows no mark."""
+    """Word to its ids as text; a key that starts with a newline follows no mark."""
 
     def __init__(self, model: PieceModel):
         self.model = model
+        self.surface = {str(i): b for i, b in model.surface.items()}
 
-    def __missing__(self, word: str) -> tuple[str, bytes]:
+    def __missing__(self, word: str) -> str:
         m = self.model
         if word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
             ids = [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else [])
         else:
             ids = m.segment(MARK + word)
-        found = " ".join(map(str, ids)), b"".join([m.surface[i] for i in ids])
+        found = " ".join(map(str, ids))
         if len(word) <= LONG_WORD:
             if len(self) >= MEMORY:
                 self.clear()
             self[word] = found
         return found
 
+    def decoded(self, ids: str) -> bytes:
+        """What ids that begin with a mark are decoded to: the space of the first mark goes."""
+        return b"".join(map(self.surface.__getitem__, ids.split(" ")))[1:]
+
 
 _MODELS: dict[str, tuple[PieceModel, _Words]] = {}
 
@@ -231,9 +238,9 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: st
                     ids = model.encode(t)[:-1]
                     ids_text, raw = " ".join(map(str, ids)), model.decode(ids).encode()
                 else:
-                    # a mark starts each word, so words are encoded by themselves; the space that the first mark is decoded to goes
-                    found = [words[w] for w in t.replace("\n", " \n").split(" ")]
-                    ids_text, raw = " ".join([f[0] for f in found]), b"".join([f[1] for f in found])[1:]
+                    # a mark starts each word, so words are encoded by themselves
+                    ids_text = " ".join([words[w] for w in t.replace("\n", " \n").split(" ")])
+                    raw = words.decoded(ids_text)
                 counts.append(ids_text.count(" ") + 2 if ids_text else 1)
                 ids_hex.append(hashlib.sha256((f"{ids_text} {tail}" if ids_text else tail).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(raw).hexdigest())

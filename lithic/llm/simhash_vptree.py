@@ -59,7 +59,7 @@ SHELLS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 #: Points that visit one task, about; a leaf that more visit is dealt over several tasks that all hold its home points.
 VISITORS = 32_768
 #: Pairs that are compared at a time.
-PAIRS = 2_000_000
+PAIRS = 500_000
 #: Radius of wide fingerprints, and the similarity of shingle sets (as a fraction) that makes texts near duplicates.
 WIDE_RADIUS, ALIKE = 32, (4, 5)
 #: Bands of a text and least hashes of a band, that deal texts to shards; points of a shard's block.

@@ -610,15 +610,13 @@ def test_pieces(spark, odd, docs):
 
     path = registry.piece_model_path()
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    order = lambda rows: sorted(rows, key=repr)
     for df in (odd, docs):
-        got = {r.doc_id: r for r in piece_encoding.encode_digests(df, path).collect()}
-        ids = {r.doc_id: r.ids for r in piece_encoding.encode_ids(df, path).collect()}
-        for r in df.collect():
-            want = sp.encode(r.text or "", add_eos=True)
-            g = got[r.doc_id]
-            assert ids[r.doc_id] == want and g.n_tokens == len(want)
-            assert g.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
-            assert g.decoded_sha256 == hashlib.sha256(sp.decode(want).encode()).hexdigest()
+        want = [(r.doc_id, sp.encode(r.text or "", add_eos=True)) for r in df.collect()]
+        assert order((r.doc_id, r.ids) for r in piece_encoding.encode_ids(df, path).collect()) == order(want)
+        got = piece_encoding.encode_digests(df, path).collect()
+        assert order(tuple(r) for r in got) == order((i, len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids))) for i, ids in want)
     assert piece_encoding.encode_digests(every(spark, odd)[1], path).count() == 0
 
 
@@ -678,6 +676,24 @@ def pipeline_by_hand(rows, langs, key):
     return out
 
 
+def test_pieces_of_unbroken_text():
+    """The time for a long text without a space grows with its length."""
+    import time
+
+    import sentencepiece
+
+    path = registry.piece_model_path()
+    model, sp = piece_encoding.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng, took = random.Random(2), []
+    for n in (20_000, 160_000):
+        t = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        at = time.perf_counter()
+        ids = model.encode(t)
+        took.append(time.perf_counter() - at)
+        assert ids == sp.encode(t, add_eos=True) and model.decode(ids) == t
+    assert took[1] < 24 * took[0]
+
+
 def test_pipeline_against_plain_python(spark, docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import sentencepiece
