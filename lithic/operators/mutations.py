@@ -28,6 +28,8 @@ from .unique import check_inserted, extended
 
 #: Share of deleted rows from which a fragment's statistics are computed anew instead of taken back.
 RECOMPUTE_DENSITY = 0.10
+#: Delete sets that a snapshot names before they are written together as one.
+MERGE_DELETES = 16
 #: Matched rows that are held on the driver, at most.
 SMALL = 2_000
 
@@ -152,12 +154,26 @@ def _commit(table: Table, base: dict, matched: Matched | None, patches: list[dic
         return 0
     added = sum(f["rows"] for f in inserts)
     top = max([base["next_fragment"] - 1, *(f["id"] for f in new)]) + 1
-    dirty = any(f["deleted"] for f in fragments)
+    dirty = [f for f in fragments if f["deleted"]]
+    if len(deletes) > MERGE_DELETES and dirty:
+        deletes = [merged_deletes(table, deletes, dirty)]
     extra = {"streams": base.get("streams", {}) | stream} if stream else {}
     table.commit(base, fragments=[*fragments, *new], deletes=deletes if dirty else [], next_fragment=top, next_row_id=base["next_row_id"] + added, indexes=extended(table, base, new), **extra)
     return total
 
 
+def merged_deletes(table: Table, deletes: list[str], dirty: list[dict]) -> str:
+    """One delete set in place of many, without rows of files that no fragment names any more."""
+    path = f"deletes/{uuid.uuid4().hex}"
+    rows = table.spark.read.schema("file_name string, row_index bigint").parquet(*[table.files.uri(d) for d in deletes])
+    if len(dirty) <= 10_000:
+        rows = rows.where(F.col("file_name").isin([f["path"].rsplit("/", 1)[-1] for f in dirty]))
+    if sum(f["deleted"] for f in dirty) <= 1_000_000:
+        rows = rows.coalesce(1)
+    rows.write.parquet(table.files.uri(path))
+    return path
+
+
 def _matched(table: Table, base: dict, condition: str | None, alias: str | None, name: str) -> Matched:
     fragments = prune(table, base, condition, alias or name)
     live = table.scan(base, fragments, physical=True).alias(alias or name)

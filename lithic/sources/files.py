@@ -77,6 +77,17 @@ class Files:
         finally:
             self._fs.delete(side, False)
 
+    def create_bytes(self, name: str, data: bytes) -> None:
+        """Write a new binary file that nothing names yet."""
+        stream = self._fs.create(self._path(name), False)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
+    def size_of(self, uri: str) -> int:
+        return self._fs.getFileStatus(self._jvm.org.apache.hadoop.fs.Path(uri)).getLen()
+
     def _spark_strings(self):
         return self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
 

@@ -289,3 +289,43 @@ def test_joins_read_only_fragments_of_the_other_side(db, spark):
         assert df.count() == 8 and len([f for f in df.inputFiles() if "/t/data/" in f]) == 1
     finally:
         database.JOIN_KEYS = usual
+
+
+def test_many_mutations_share_a_delete_set(db):
+    for k in range(20):
+        db.mutate(f"delete from t where k = {k}")
+    t = db.table("t")
+    assert len(t.manifest()["deletes"]) <= 17 and db.sql("select count(*) n, min(k) lo from t").first() == (20, 20) and db.sql("select * from t").count() == 20
+    assert maintenance.check(t) == [] and db.to_arrow("t", ["k"]).num_rows == 20
+
+
+def test_iceberg_export(db, spark, tmp_path):
+    """The metadata name files and deleted positions that give the live rows."""
+    import json
+    from pathlib import Path
+
+    from lithic.sources import avro
+
+    db.mutate("delete from t where k in (3, 4, 17)")
+    name = db.export_iceberg("t", str(tmp_path / "ice"))
+    meta = json.loads(Path(name).read_text())
+    snap = meta["snapshots"][0]
+    assert meta["format-version"] == 2 and meta["current-snapshot-id"] == snap["snapshot-id"] == meta["refs"]["main"]["snapshot-id"]
+    names = {f["id"]: f["name"] for f in meta["schemas"][0]["fields"]}
+    assert {n["field-id"]: n["names"][0] for n in json.loads(meta["properties"]["schema.name-mapping.default"])} == names
+    read = lambda uri: avro.read(Path(uri.removeprefix("file:").replace("//", "/")).read_bytes())
+    live, gone = [], []
+    for m in read(snap["manifest-list"])[1]:
+        head, entries = read(m["manifest_path"])
+        assert head["format-version"] == "2" and m["added_files_count"] == len(entries) and json.loads(head["schema"])["fields"] == meta["schemas"][0]["fields"]
+        for e in entries:
+            f = e["data_file"]
+            assert Path(f["file_path"].removeprefix("file:").replace("//", "/")).stat().st_size == f["file_size_in_bytes"]
+            (gone if m["content"] else live).append(f)
+    assert len(live) == 4 and sum(f["record_count"] for f in live) == 40 and sum(f["record_count"] for f in gone) == 3
+    k = next(i for i, n in names.items() if n == "k")
+    clean = [f for f in live if f["lower_bounds"]]
+    assert {int.from_bytes(next(b["value"] for b in f["lower_bounds"] if b["key"] == k), "little", signed=True) for f in clean} == {20, 30}
+    dead = {(r.file_path.rsplit("/", 1)[-1], r.pos) for f in gone for r in spark.read.parquet(f["file_path"]).collect()}
+    rows = spark.read.parquet(*[f["file_path"] for f in live]).selectExpr("k", "_metadata.file_name as f", "_metadata.row_index as p").collect()
+    assert sorted(r.k for r in rows if (r.f, r.p) not in dead) == sorted(r.k for r in db.sql("select k from t").collect())
