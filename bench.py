@@ -46,6 +46,19 @@ def main() -> None:
     took["table_sum_from_metadata"] = best(lambda: db.sql("SELECT SUM(l_partkey) AS s, AVG(l_partkey) AS a FROM lineitem"))
     cached = "SELECT l_returnflag, SUM(l_quantity) AS q FROM lineitem WHERE l_tax > 0.01 GROUP BY l_returnflag ORDER BY 1"
     took["table_cached_query"] = best(lambda: db.sql(cached).collect())
+    # whole statements, planning and pruning included, over stored tables without and with deleted rows
+    stored = {
+        "group": "SELECT l_returnflag, COUNT(*) AS n, AVG(l_extendedprice) AS a FROM lineitem GROUP BY l_returnflag",
+        "wide_filter": "SELECT COUNT(*) AS n FROM lineitem WHERE l_quantity < 30 AND l_discount > 0.02 AND l_tax < 0.06 AND l_returnflag = 'N'",
+        "key_range": "SELECT SUM(l_partkey) AS s, COUNT(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 40000",
+        "join": "SELECT o_orderpriority, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY o_orderpriority",
+    }
+    sorted_db = inventory.stored(spark, sf_dir, "lineitem", "orders")
+    for kind in ("clean", "dirty"):
+        for name, text in stored.items():
+            took[f"{kind}_{name}"] = best(lambda text=text: sorted_db.sql(text).collect())
+        if kind == "clean":
+            sorted_db.mutate("DELETE FROM lineitem WHERE l_orderkey % 100 = 7")
     keys = iter(range(1, 100))
     took["point_delete"] = best(lambda: db.mutate(f"DELETE FROM orders WHERE o_orderkey = {next(keys) * 32}"))
     took["point_update"] = best(lambda: db.mutate(f"UPDATE orders SET o_totalprice = 1.0 WHERE o_orderkey = {next(keys) * 32 + 1}"))
