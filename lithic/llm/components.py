@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 #: Tasks that the neighbours of one node are dealt over.
@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _star(cur, larger=True)
         nxt = materialize(_tidy(_star(large, larger=False)), "edges")
         same = cur.exceptAll(nxt).limit(1).count() == 0 and nxt.exceptAll(cur).limit(1).count() == 0
+        discard(cur)
         cur = nxt
         if same:
             break

@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 #: Cells of a table at first and when tried again, peeling rounds, pieces of a group.
 CELLS, RETRIES, ROUNDS, GROUP = 4, (8, 32, 128, 1024), 16, 4
@@ -183,12 +183,13 @@ def with_next(docs: DataFrame, made: str, also: str) -> DataFrame:
     # made after the shuffle, and handed on by a window over the same order
     near = near.withColumn("a", F.expr(made)).withColumn("sa", F.expr(also)).select("*", F.lead("a").over(order).alias("next_a"), F.lead("sa").over(order).alias("next_sa"))
     # a bucket's first row; ids and ties only, then the texts of those few
-    firsts = materialize(rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("f")).selectExpr("bucket as b", "f.id as first_id", "f.tie as first_tie"), "firsts")
+    held = firsts = materialize(rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("f")).selectExpr("bucket as b", "f.id as first_id", "f.tie as first_tie"), "firsts")
     have = sorted(r["b"] for r in firsts.select("b").collect())
     before = spark.createDataFrame([(b, have[k - 1]) for k, b in enumerate(have)] or [(0, 0)], "b int, before int")
     firsts = firsts.join(F.broadcast(before), "b")  # at most as many rows as there are buckets
     head = rows.join(F.broadcast(firsts), (F.col("b") == F.col("bucket")) & F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_tie") == F.col("tie")))
     head = materialize(head.dropDuplicates(["bucket"]).select("before", F.col("text").alias("head_text"), F.expr(made).alias("a")).select("*", F.expr(also).alias("head_sa")).withColumnRenamed("a", "head_a"), "borders")
+    discard(held)
     chars = head.agg(F.sum(F.length("head_text"))).first()[0] or 0
     last = F.col("next_text").isNull()
     if chars <= BROADCAST_CHARS:

@@ -12,14 +12,18 @@ The trees of all languages lie in one table per order.  An entry holds, for each
 language, the cost of that context and symbol, escapes included, so a byte
 costs one look-up at the longest order at which any language knows it.
 
-Training: about ``TRAIN_DOCS`` documents of each language, taken by a hash of
-the id among the rows whose ``crc32(id) % 4`` isn't 2; counts are added up in
-Spark, and what reaches the driver is bounded by that sample.
+Training: about ``TRAIN_DOCS`` documents and at most about ``TRAIN_BYTES`` bytes of each
+language, taken by a hash of the id among the rows whose ``crc32(id) % 4`` isn't 2; counts
+are added up in Spark, and what reaches the driver is bounded by that sample and the
+number of languages.
 
 Defined results: null texts and texts without a letter give ``und`` and score 0;
 a text of letters gets the best language even if short, with the softmax of the
 code lengths as score; ties go to the language first in code-point order; with
-no training rows everything is ``und``.
+no training rows everything is ``und``; rows of a null id don't train and are
+predicted like others; repeated rows train as often as they occur and are predicted each;
+texts of any length are read whole; an empty table gives an empty table; other columns are
+left out by ``identify`` and kept by ``accepted``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .bytesio import U64, KeyTable, column_bytes, segment_sums, steps
 
-#: Longest context in bytes, and training documents of a language (a bounded sample).
-ORDER, TRAIN_DOCS = 4, 400
+#: Longest context in bytes, and training documents and bytes of a language, about (a bounded sample).
+ORDER, TRAIN_DOCS, TRAIN_BYTES = 4, 400, 4_000_000
 #: Bits a byte from which no learned language explains a text: nearly every byte then is one no training text
 #: has, at 8 bits and the escapes down to them (another script).  Unusual words in known letters cost up to about 10.
 REJECT_BITS = 14.0
@@ -57,12 +61,12 @@ def gram_keys(raw: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def training_rows(docs: DataFrame, text: str, lang: str, key: str, per_lang: int) -> DataFrame:
-    """``lang, text`` of about ``per_lang`` documents of each language, by a hash of the id."""
+    """``lang, text`` of about ``per_lang`` documents of each language, of about ``TRAIN_BYTES`` at most, by a hash of the id."""
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"cast(`{lang}` as string) as lang", f"cast(`{text}` as string) as text").where(
         "lang is not null and text is not null and id is not null and crc32(cast(cast(id as string) as binary)) % 4 <> 2"
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"), F.lit(float(TRAIN_BYTES)) / F.greatest("size", F.lit(1)))
     return rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
 
@@ -81,7 +85,7 @@ class LanguageModel:
         for k in range(top + 1):
             m = order == k
             grams, g = np.unique(key[m], return_inverse=True)
-            c = np.zeros((len(grams), n))
+            c = np.zeros((len(grams), n), np.float32)
             c[g, lang[m]] = count[m]
             ctxs, x = np.unique(grams >> U64(8), return_inverse=True)
             total, kinds = np.zeros((len(ctxs), n)), np.zeros((len(ctxs), n))

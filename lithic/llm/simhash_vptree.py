@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .bytesio import P1, U64, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
 from .components import connected_components
-from .scratch import materialize
+from .scratch import discard, materialize
 
 #: Points of the driver's sample at least and at most, sampled points of a leaf, and home points that a leaf should hold.
 SAMPLE, MAX_SAMPLE, PER_LEAF, LEAF = 8192, 2_000_000, 8, 4096
@@ -442,6 +442,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).selectExpr("fp", "fp as node", "least"), "points")
     parts = connected_components(near_duplicate_links(points, radius))
     named = materialize(points.join(parts, "node", "left").selectExpr("fp", "coalesce(component, node) as component", "least"), "components")
+    discard(points)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -533,6 +534,7 @@ def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     plain = docs.selectExpr(f"cast(`{key}` as bigint) as id", f"cast(`{text}` as string) as text")
     rows = materialize(set_fingerprints(plain, width), "fingerprints")
     points = materialize(rows.groupBy("fp", "fp2", "set", "n", "keys", "bands").agg(F.min("doc_id").alias("node")), "points")
+    discard(rows)
     proposed = connected_components(proposed_links(points, radius))
     sized = points.groupBy("node").agg(F.max("n").alias("n"))
     proposed = materialize(proposed.join(sized, "node"), "proposed")

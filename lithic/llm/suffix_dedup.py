@@ -433,7 +433,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = found.where("not whole").selectExpr("id", "anchor as key", "x", "hot")
     cut = materialize(cut_contexts(docs, wanted), "cut")
     parts = [batch, _resolved(cut.where("not hot"))]
-    hot, made = cut.where("hot"), [found, cut]
+    hot, made = cut.where("hot"), [frequent, found, cut]
     if hot.limit(1).count():
         firsts = materialize(hot.groupBy("key", "bytes").agg(F.min(F.struct("id", "p")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
         later = hot.join(firsts.where("n > 1").drop("n"), ["key", "bytes"]).where("id <> first.id or p <> first.p")

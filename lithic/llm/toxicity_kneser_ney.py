@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .bytesio import U64, KeyTable, column_bytes, lower_ascii, runs, segment_sums, steps, xxh64
-from .scratch import materialize
+from .scratch import discard, materialize
 
 #: Distinct left neighbours from which a bigram has a probability of its own.
 CUT = 4
@@ -259,6 +259,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     arrays = lambda df, *names: {n: v.to_numpy() for n, v in zip(names, df.select(*names).toArrow().columns)}
     words, pairs, histories = arrays(told, "word", "n0", "n1"), arrays(kept, "prev", "word", "n0", "n1"), arrays(history, "prev", "n0", "n1")
     words["word"], pairs["word"] = words["word"].view(U64), pairs["word"].view(U64)
+    discard(counts)
+    discard(grams)
     model = fitted(words, sizes, pairs, histories, pair_sizes)
     if model.ready:
         fit = rows.where("fold = 3")
