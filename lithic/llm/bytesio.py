@@ -129,7 +129,7 @@ class KeyTable:
     """Open-addressing map from distinct unsigned 64-bit keys to 0..n-1, looked up by whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = keys = np.asarray(keys, U64)
+        keys = np.asarray(keys, U64)
         self.bits = max(4, int(2 * len(keys) + 1).bit_length())
         self.mask = np.int64((1 << self.bits) - 1)
         self.slot_key = np.zeros(1 << self.bits, U64)
@@ -142,6 +142,14 @@ class KeyTable:
             self.slot_key[slot[won]] = keys[left[won]]
             left, slot = left[~won], (slot[~won] + 1) & self.mask
 
+    @property
+    def keys(self) -> np.ndarray:
+        """The keys in the order of their ids."""
+        held = self.slot_id >= 0
+        out = np.empty(int(held.sum()), U64)
+        out[self.slot_id[held]] = self.slot_key[held]
+        return out
+
     def __reduce__(self):
         return KeyTable, (self.keys,)  # slots are made anew where it is sent to
 

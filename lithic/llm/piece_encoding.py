@@ -10,8 +10,8 @@ first sequence that reaches the end is the one that merging produces.
 Texts are cut where no piece can lie across: before a run of word-boundary
 marks, and around characters that no piece holds (they become byte pieces).
 Runs of two or more marks hold pieces of one equal score, where a pair test says
-nothing; such segments are merged literally.  Segments are remembered in a
-bounded table, so repeated words cost one look-up.
+nothing; such segments are merged literally.  Words are remembered in a bounded table, so
+repeated ones cost one look-up.
 
 A step looks at no more characters than the longest piece has and the bitfield is an
 array of bytes, so the time for a text without spaces grows with its length.
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Segments remembered by a worker; the table is emptied when full.
-MEMORY = 600_000
+#: Words remembered by a worker, in two generations: when the younger is full the older goes, so frequent words stay.
+MEMORY = 640_000
 #: Pairs whose compatibility is remembered.
 PAIRS = 200_000
 #: Longer words aren't remembered, so the table stays small.
@@ -190,18 +190,20 @@ class _Words(dict):
     """Word to its ids as text; a key that starts with a newline follows no mark."""
 
     def __init__(self, model: PieceModel):
-        self.model = model
+        self.model, self.older = model, {}
         self.surface = {str(i): b for i, b in model.surface.items()}
 
     def __missing__(self, word: str) -> str:
-        m = self.model
-        if word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
-            ids = [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else [])
+        m, known = self.model, self.older.get(word)
+        if known is not None:
+            found = known
+        elif word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
+            found = " ".join(map(str, [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else [])))
         else:
-            ids = m.segment(MARK + word)
-        found = " ".join(map(str, ids))
+            found = " ".join(map(str, m.segment(MARK + word)))
         if len(word) <= LONG_WORD:
-            if len(self) >= MEMORY:
+            if len(self) >= MEMORY // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found

@@ -59,7 +59,7 @@ SHELLS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 #: Points that visit one task, about; a leaf that more visit is dealt over several tasks that all hold its home points.
 VISITORS = 32_768
 #: Pairs that are compared at a time.
-PAIRS = 500_000
+PAIRS = 200_000
 #: Radius of wide fingerprints, and the similarity of shingle sets (as a fraction) that makes texts near duplicates.
 WIDE_RADIUS, ALIKE = 32, (4, 5)
 #: Bands of a text and least hashes of a band, that deal texts to shards; points of a shard's block.
@@ -67,7 +67,7 @@ BANDS, ROWS, SHARD_BLOCK = 14, 4, 4096
 #: Texts of up to so many distinct shingles meet by common shingles too; a partner may have a quarter more.
 FEW = 24
 #: Texts, and shingles, of a block; two blocks are compared at a time.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 500_000
 #: Texts to compare, up to so many, are found by a broadcast of their ids; more by a shuffle.
 BROADCAST_NODES = 1_500_000
 LANES = U64(0x0101010101010101)
@@ -417,7 +417,7 @@ def shard_links(points: DataFrame, radius: int) -> DataFrame:
     dealt = points.select("fp", "fp2", "node", F.explode("bands").alias("band"))
     sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = materialize(dealt.join(sizes, "band"), "shards")
-    buckets = max(1, dealt.count() // SHARD_BLOCK)
+    buckets = max(1, dealt.count() // (SHARD_BLOCK // 4))
     dealt = dealt.withColumn("blocks", F.expr(f"cast(ceil(n / {SHARD_BLOCK}.0D) as bigint)")).withColumn("own", F.expr("pmod(xxhash64(node, 5), blocks)"))
     single = dealt.where("blocks = 1").selectExpr("fp", "fp2", "node", "band", f"pmod(xxhash64(band), {buckets}L) as g", "-1L as p", "-1L as q")
     # a large shard by pairs of its blocks, each a task
