@@ -39,6 +39,8 @@ def parser() -> argparse.ArgumentParser:
     add("optimize", "table", sort={"default": ""})
     add("gc", "table", keep={"type": int, "default": 3})
     add("check", "table")
+    add("statistics", "table")
+    add("export-iceberg", "table", "folder")
     add("doctor", "table", repair={"action": "store_true"})
     return p
 
@@ -64,6 +66,10 @@ def run(spark, argv: list[str], out=print) -> int:
             db.drop_table(a.table)
         case "snapshots":
             out("\n".join(to_json_lines(db.snapshots(a.table))))
+        case "statistics":
+            out("\n".join(to_json_lines(db.statistics(a.table))))
+        case "export-iceberg":
+            out(db.export_iceberg(a.table, a.folder))
         case "index":
             unique.create_index(db.table(a.table), a.name, a.column, a.unique)
         case "create-view":

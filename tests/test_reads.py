@@ -329,3 +329,28 @@ def test_iceberg_export(db, spark, tmp_path):
     dead = {(r.file_path.rsplit("/", 1)[-1], r.pos) for f in gone for r in spark.read.parquet(f["file_path"]).collect()}
     rows = spark.read.parquet(*[f["file_path"] for f in live]).selectExpr("k", "_metadata.file_name as f", "_metadata.row_index as p").collect()
     assert sorted(r.k for r in rows if (r.f, r.p) not in dead) == sorted(r.k for r in db.sql("select k from t").collect())
+
+
+def test_rows_are_sorted_when_written(spark, tmp_path, monkeypatch):
+    from lithic.sources import table
+
+    monkeypatch.setattr(table, "TARGET_ROWS", 600)
+    db = open_database(spark, str(tmp_path / "o"))
+    t = db.create_table("o", "k bigint, v bigint", sort_by=["k"])
+    t.insert(spark.range(2000).selectExpr("(id * 7919) % 2000 as k", "id as v").repartition(4))
+    spans = sorted((f["stats"]["k"]["lo"], f["stats"]["k"]["hi"]) for f in t.manifest()["fragments"])
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    for f in t.manifest()["fragments"]:
+        rows = spark.read.parquet(t.files.uri(f["path"])).select("k", "_metadata.row_index").collect()
+        assert [r.k for r in sorted(rows, key=lambda r: r.row_index)] == sorted(r.k for r in rows)
+    assert files(db.sql("select * from o where k = 77")) == 1
+
+
+def test_values_that_are_not_finite(spark, tmp_path):
+    db = open_database(spark, str(tmp_path / "n"))
+    t = db.create_table("n", "k int, x double")
+    t.insert(spark.createDataFrame([(1, float("nan")), (2, 1.5), (3, float("inf")), (4, None), (5, -2.0)], "k int, x double").coalesce(1))
+    t.insert(spark.createDataFrame([(6, 7.0), (7, 8.0)], "k int, x double").coalesce(1))
+    t.live().createOrReplaceTempView("plain_n")
+    for q in ("select min(x) a, max(x) b, count(x) c from {}", "select sum(x) a, avg(x) b from {}", "select min(x) a, sum(x) b from {} where k > 5", "select count(*) a, max(k) b from {} where x > 2.5", "select max(x) a from {} where x < 100"):
+        assert repr(db.sql(q.format("n")).collect()) == repr(spark.sql(q.format("plain_n")).collect()), q

@@ -25,6 +25,7 @@ QUESTIONS = [
     "select sum(v) s from kv where k >= 20 and k < 1000",
     "select s, sum(v) x, count(v) n from kv group by s",
     "select min(s) a, max(s) b from kv",
+    "select min(f) a, max(f) b from kv where f > 1.5",
 ]
 
 
