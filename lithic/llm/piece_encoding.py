@@ -16,7 +16,8 @@ repeated ones cost one look-up.
 A step looks at no more characters than the longest piece has and the bitfield is an
 array of bytes, so the time for a text without spaces grows with its length.
 
-Decoding puts together what the ids stand for.
+Decoding puts together what the ids stand for; the ids of a word are decoded when it is
+first met, and texts are put together from decoded words.
 
 Defined results: null and empty texts give the end id only; texts of any length
 are encoded whole; equal texts give equal ids, repeated rows a result each; null ids stay
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Words remembered by a worker, in two generations: when the younger is full the older goes, so frequent words stay.
-MEMORY = 640_000
+MEMORY = 400_000
 #: Pairs whose compatibility is remembered.
 PAIRS = 200_000
 #: Longer words aren't remembered, so the table stays small.
@@ -187,20 +188,22 @@ def _lenient(raw: bytes) -> str:
 
 
 class _Words(dict):
-    """Word to its ids as text; a key that starts with a newline follows no mark."""
+    """Word to its ids as text, once these are decoded to it again; a key that starts with a newline follows no mark."""
 
     def __init__(self, model: PieceModel):
         self.model, self.older = model, {}
-        self.surface = {str(i): b for i, b in model.surface.items()}
 
     def __missing__(self, word: str) -> str:
-        m, known = self.model, self.older.get(word)
-        if known is not None:
-            found = known
-        elif word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
-            found = " ".join(map(str, [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else [])))
-        else:
-            found = " ".join(map(str, m.segment(MARK + word)))
+        found = self.older.get(word)
+        if found is None:
+            m = self.model
+            if word[:1] == "\n":  # a newline lies in no piece, so the rest stands by itself
+                ids, shown = [m.byte[10]] + (m.segment(word[1:]) if len(word) > 1 else []), word
+            else:
+                ids, shown = m.segment(MARK + word), " " + word
+            if b"".join([m.surface[i] for i in ids]) != shown.encode():
+                raise ValueError(f"{word!r} isn't decoded as it was encoded")
+            found = " ".join(map(str, ids))
         if len(word) <= LONG_WORD:
             if len(self) >= MEMORY // 2:
                 self.older = dict(self)
@@ -208,10 +211,6 @@ class _Words(dict):
             self[word] = found
         return found
 
-    def decoded(self, ids: str) -> bytes:
-        """What ids that begin with a mark are decoded to: the space of the first mark goes."""
-        return b"".join(map(self.surface.__getitem__, ids.split(" ")))[1:]
-
 
 _MODELS: dict[str, tuple[PieceModel, _Words]] = {}
 
@@ -240,9 +239,11 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: st
                     ids = model.encode(t)[:-1]
                     ids_text, raw = " ".join(map(str, ids)), model.decode(ids).encode()
                 else:
-                    # a mark starts each word, so words are encoded by themselves
-                    ids_text = " ".join([words[w] for w in t.replace("\n", " \n").split(" ")])
-                    raw = words.decoded(ids_text)
+                    # a mark starts each word, so words are encoded, and their ids decoded, by themselves;
+                    # what a word's ids are decoded to is the word, and the space of the first mark goes
+                    found = t.replace("\n", " \n").split(" ")
+                    ids_text = " ".join([words[w] for w in found])
+                    raw = " ".join(found).replace(" \n", "\n").encode()
                 counts.append(ids_text.count(" ") + 2 if ids_text else 1)
                 ids_hex.append(hashlib.sha256((f"{ids_text} {tail}" if ids_text else tail).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(raw).hexdigest())
