@@ -49,6 +49,8 @@ from .scratch import discard, materialize
 CUT = 4
 #: Neighbouring words over which the largest mean is taken.
 WINDOWS = (1, 2, 4)
+#: Tasks that the bigrams of one history are dealt over.
+SALTS = 16
 #: Labelled rows of the fitting fold that the curve is fitted on, about.
 FIT_DOCS = 20_000
 #: Labels up to this many rows are broadcast to the texts; more are joined by a shuffle.
@@ -174,7 +176,7 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFra
 
 
 def contexts(rows: DataFrame, order: int) -> DataFrame:
-    """``word, k`` of ``rows(toxic, text)``: distinct words with their left neighbour (``order`` 1) or two neighbours (2) and class, in one number."""
+    """``word, k`` of ``rows(toxic, text)``, distinct inside some megabytes of text: words with their left neighbour (``order`` 1) or two neighbours (2) and class, in one number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +197,7 @@ def contexts(rows: DataFrame, order: int) -> DataFrame:
                 new[1:] = (words[1:] != words[:-1]) | (k[1:] != k[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(k[new].view(np.int64))], names=["word", "k"])
 
-    return rows.select("toxic", "text").mapInArrow(count, "word bigint, k bigint").distinct()
+    return rows.select("toxic", "text").mapInArrow(count, "word bigint, k bigint")
 
 
 def fitted(words: dict, sizes: dict, pairs: dict, histories: dict, pair_sizes: dict) -> ToxicityModel:
@@ -244,18 +246,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
     of_counts = lambda c, name: F.array(*(F.count_if(F.col(c) == k) for k in (1, 2, 3, 4))).alias(name)
     classes = [F.count_if(F.expr(f"k & 1 = {c}")).alias(f"n{c}") for c in (0, 1)]
-    counts = materialize(contexts(train, 1).groupBy("word").agg(*classes).withColumn("ns", F.col("n0") + F.col("n1")), "continuations")
+    counts = materialize(contexts(train, 1).distinct().groupBy("word").agg(*classes).withColumn("ns", F.col("n0") + F.col("n1")), "continuations")
     sizes = counts.agg(F.count(F.lit(1)).alias("v"), sums("n0").alias("s0"), sums("n1").alias("s1"), of_counts("n0", "c0"), of_counts("n1", "c1"), of_counts("ns", "cs")).first().asDict()
-    # bigrams, and histories (where word is null) with the sums of theirs
-    grams = contexts(train, 2).selectExpr("shiftrightunsigned(k, 25) as prev", "word", "k")
+    # one shuffle: a history's bigrams are dealt over SALTS tasks, which give their sums and those of CUT or more
+    grams = contexts(train, 2).selectExpr("shiftrightunsigned(k, 25) as prev", f"pmod(xxhash64(word), {SALTS}) as salt", "word", "k")
+    grams = grams.repartition("prev", "salt").dropDuplicates(["prev", "salt", "word", "k"]).groupBy("prev", "salt", "word").agg(*classes)
     seen = Observation("bigrams")
-    grams = grams.groupingSets([["prev", "word"], ["prev"]], "prev", "word").agg(*classes, F.grouping("word").alias("sum"))
-    grams = grams.observe(seen, *(F.count_if((F.col("sum") == 0) & (F.col(f"n{c}") == k)).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2, 3, 4)))
-    grams = materialize(grams.where(f"sum = 1 or n0 >= {CUT} or n1 >= {CUT}"), "bigrams")
+    grams = grams.observe(seen, *(F.count_if(F.col(f"n{c}") == k).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2, 3, 4)))
+    held = F.collect_list(F.when((F.col("n0") >= CUT) | (F.col("n1") >= CUT), F.struct("word", "n0", "n1"))).alias("held")
+    grams = materialize(grams.groupBy("prev", "salt").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), held), "bigrams")
     pair_sizes = {f"c{c}": [seen.get[f"n{c}_{k}"] for k in (1, 2, 3, 4)] for c in (0, 1)}
-    kept = grams.where("sum = 0")
+    kept = grams.select("prev", F.explode("held").alias("h")).select("prev", "h.*")
     told = counts.join(kept.select("word").distinct().withColumn("paired", F.lit(True)), "word", "left").where("n0 > 1 or n1 > 1 or paired")
-    history = grams.where("sum = 1").join(kept.select("prev").distinct(), "prev", "left_semi")
+    history = grams.select("prev", "n0", "n1").join(kept.select("prev").distinct(), "prev", "left_semi")
     arrays = lambda df, *names: {n: v.to_numpy() for n, v in zip(names, df.select(*names).toArrow().columns)}
     words, pairs, histories = arrays(told, "word", "n0", "n1"), arrays(kept, "prev", "word", "n0", "n1"), arrays(history, "prev", "n0", "n1")
     words["word"], pairs["word"] = words["word"].view(U64), pairs["word"].view(U64)
