@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Words remembered by a worker, in two generations: when the younger is full the older goes, so frequent words stay.
-MEMORY = 400_000
+MEMORY = 800_000
 #: Pairs whose compatibility is remembered.
 PAIRS = 200_000
 #: Longer words aren't remembered, so the table stays small.
@@ -190,8 +190,8 @@ def _lenient(raw: bytes) -> str:
 class _Words(dict):
     """Word to its ids as text, once these are decoded to it again; a key that starts with a newline follows no mark."""
 
-    def __init__(self, model: PieceModel):
-        self.model, self.older = model, {}
+    def __init__(self, model: PieceModel, memory: int = MEMORY):
+        self.model, self.memory, self.older = model, memory, {}
 
     def __missing__(self, word: str) -> str:
         found = self.older.get(word)
@@ -205,29 +205,29 @@ class _Words(dict):
                 raise ValueError(f"{word!r} isn't decoded as it was encoded")
             found = " ".join(map(str, ids))
         if len(word) <= LONG_WORD:
-            if len(self) >= MEMORY // 2:
+            if len(self) >= self.memory // 2:
                 self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
 
 
-_MODELS: dict[str, tuple[PieceModel, _Words]] = {}
+_MODELS: dict[tuple[str, int], tuple[PieceModel, _Words]] = {}
 
 
-def piece_model(path: str) -> tuple[PieceModel, _Words]:
+def piece_model(path: str, memory: int = MEMORY) -> tuple[PieceModel, _Words]:
     """The model and the words met so far, kept by a worker from task to task."""
-    if path not in _MODELS:
+    if (path, memory) not in _MODELS:
         model = PieceModel(path)
-        _MODELS[path] = model, _Words(model)
-    return _MODELS[path]
+        _MODELS[path, memory] = model, _Words(model, memory)
+    return _MODELS[path, memory]
 
 
-def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document its number of ids and the SHA-256 of the ids and of the decoded text."""
+def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", memory: int = MEMORY) -> DataFrame:
+    """Per document its number of ids and the SHA-256 of the ids and of the decoded text; ``memory`` words are remembered by a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = piece_model(model_path)
+        model, words = piece_model(model_path, memory)
         plain = "\n" not in model.known
         tail = str(model.end)
         for batch in batches:
