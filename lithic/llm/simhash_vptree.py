@@ -14,18 +14,26 @@ work is that of the routed points and not of all pairs of a leaf.  A leaf gives
 forest of its links, never all pairs.  Components come from star contraction.
 
 ``keep_representatives`` deletes rows, so there fingerprints only propose.  They have
-128 bits and are made of the *distinct* five-word shingles: texts whose sets have a
-Jaccard similarity of exactly 0.8 differ in about 19 bits (deviation about 4), and a
-radius of 32 misses some 0.1 % of such pairs.  At so wide a radius no tree prunes, so
-texts are dealt to shards first: by ``BANDS`` bands of ``ROWS`` least hashes of their
-shingles under different multipliers.  A pair of similarity 0.8 meets in some shard with a
-probability of 0.9994 (each band agrees with 0.8 ** 4); texts that only share a passage of
-half their shingles meet in one with 6 % a band.  Inside a shard fingerprints are compared
-in blocks, large shards by pairs of blocks.  Where the smaller text has at most ``FEW``
-shingles bits scatter more, and texts that share a shingle among the least hashes of both
-are proposed too (a prefix filter, which misses none).  Inside each component of proposals
-all pairs are compared by their shingle sets, large components by pairs of blocks, and
-only pairs of similarity 0.8 or more are links.
+128 bits and are made of the *distinct* five-word shingles.  The tree over the whole table
+finds all that differ in at most 4 of the first 64 bits.  Texts whose sets have a Jaccard
+similarity of exactly 0.8 differ in about 19 of 128 bits (deviation about 4), and a radius of
+32 misses some 0.1 % of such pairs.  Where the smaller text has at most ``FEW`` shingles bits
+scatter more (a bit differs with a probability of up to 0.19), and the radius is 56, which a
+pair of similarity 0.8 exceeds with a probability of 2e-11 at most.  Texts that share nothing are
+some 64 bits apart (deviation 6), so at such a radius a tree over all points sends each to
+half of all leaves, however many.  The wide search therefore goes by a metric that is the
+Hamming distance inside a pocket and infinite between pockets.  Pockets are ``BANDS`` bands
+of ``ROWS`` least hashes of a text's shingles under different multipliers, and of texts of
+few shingles each shingle among the least hashes of which a similar text must share one (a
+prefix filter, which misses none).  A pair of similarity 0.8 meets in some band with a
+probability of 0.9994 (each agrees with 0.8 ** 4); texts that only share a passage of half
+their shingles meet in one with 6 % a band.  Points at an infinite distance never visit, so
+the tree's uppermost levels are a shuffle by pocket; below, each pocket has a vantage-point
+tree of its own, with the shells that spare most pairs.  Trees of large pockets are grown
+from a sample and deal points to shards as above, home points and visitors; the home points
+of a shard, or a whole smaller pocket, have a tree in their task, in whose leaves fingerprints
+are compared.  Inside each component of proposals all pairs are compared by their shingle
+sets, large components by pairs of blocks, and only pairs of similarity 0.8 or more are links.
 
 Defined results: a null, empty or word-free text has fingerprint zero and is
 linked like any other; fewer than four words give one shingle; repeated rows
@@ -39,7 +47,8 @@ the least hash of the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,10 +69,14 @@ SHELLS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 VISITORS = 32_768
 #: Pairs that are compared at a time.
 PAIRS = 200_000
-#: Radius of wide fingerprints, and the similarity of shingle sets (as a fraction) that makes texts near duplicates.
-WIDE_RADIUS, ALIKE = 32, (4, 5)
-#: Bands of a text and least hashes of a band, that deal texts to shards; points of a shard's block.
+#: Radius of wide fingerprints, of those of texts of few shingles, and the similarity of shingle sets (as a fraction) that makes texts near duplicates.
+WIDE_RADIUS, FEW_RADIUS, ALIKE = 32, 56, (4, 5)
+#: Bands of a text and least hashes of a band, that deal texts to pockets; home points that a shard of a large pocket should hold.
 BANDS, ROWS, SHARD_BLOCK = 14, 4, 4096
+#: Sampled points of such a shard, points of a leaf in a task, and comparisons that a shell must spare each point of a node on average.
+PER_SHARD, POCKET_LEAF, SPARED = 64, 64, 16
+#: Edges of a batch.
+EDGES = 1 << 16
 #: Texts of up to so many distinct shingles meet by common shingles too; a partner may have a quarter more.
 FEW = 24
 #: Texts, and shingles, of a block; two blocks are compared at a time.
@@ -197,8 +210,9 @@ def set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def distances(points: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Differing bits of points and one of them."""
-    return np.bitwise_count(points ^ v).astype(np.int64)
+    """Differing bits of points, of one word or rows of several, and one of them."""
+    d = np.bitwise_count(points ^ v).astype(np.int64)
+    return d if d.ndim == 1 else d.sum(axis=1)
 
 
 class VantageTree:
@@ -207,35 +221,43 @@ class VantageTree:
     def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, radius: int = RADIUS):
         self.radius, self.leaves = radius, 0
         self.rng = np.random.default_rng(7)
-        sample = np.unique(np.asarray(sample, U64))
+        sample = np.unique(np.asarray(sample, U64), axis=0)
         self.root = self._grow(sample, max(1.0, total / max(1, len(sample))), leaf, 0)
 
     def _grow(self, pts: np.ndarray, scale: float, leaf: int, depth: int):
         if len(pts) * scale > leaf and len(pts) >= PER_LEAF and depth < 200:
-            best = None
-            for v in pts[self.rng.choice(len(pts), size=min(8, len(pts)), replace=False)]:
-                d = distances(pts, v)
-                within = np.cumsum(np.bincount(d, minlength=65)) / len(pts)
-                for share in SHELLS:
-                    shell = int(np.searchsorted(within, share))
-                    inside = within[shell]
-                    if not 0 < inside < 1:
-                        continue
-                    # copies made for what is learnt of a point's place: inner points within the radius of the shell visit its outside
-                    over = inside - (within[shell - self.radius] if shell >= self.radius else 0.0)
-                    bits = -(inside * np.log2(inside) + (1 - inside) * np.log2(1 - inside))
-                    if best is None or np.log2(1 + over) / bits < best[0]:
-                        best = (np.log2(1 + over) / bits, v, shell, d <= shell)
+            best = self._shell(pts)
             if best is not None:
-                _, v, shell, inner = best
-                return (v, shell, self._grow(pts[inner], scale, leaf, depth + 1), self._grow(pts[~inner], scale, leaf, depth + 1))
+                v, shell, beyond, inner = best
+                return (v, shell, beyond, self._grow(pts[inner], scale, leaf, depth + 1), self._grow(pts[~inner], scale, leaf, depth + 1))
         self.leaves += 1
         return self.leaves - 1
 
-    def route(self, pts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, whether it's at home) of every leaf that a point must be in."""
+    def _vantage(self, pts: np.ndarray) -> np.ndarray:
+        return pts[self.rng.choice(len(pts), size=min(8, len(pts)), replace=False)]
+
+    def _shell(self, pts: np.ndarray):
+        """(vantage point, shell, least distance outside, which points it holds) of the least copying, or None."""
+        best = None
+        for v in self._vantage(pts):
+            d = distances(pts, v)
+            within = np.cumsum(np.bincount(d, minlength=65)) / len(pts)
+            for share in SHELLS:
+                shell = int(np.searchsorted(within, share))
+                inside = within[shell]
+                if not 0 < inside < 1:
+                    continue
+                # copies made for what is learnt of a point's place: inner points within the radius of the shell visit its outside
+                over = inside - (within[shell - self.radius] if shell >= self.radius else 0.0)
+                bits = -(inside * np.log2(inside) + (1 - inside) * np.log2(1 - inside))
+                if best is None or np.log2(1 + over) / bits < best[0]:
+                    best = (np.log2(1 + over) / bits, v, shell, shell + 1, d <= shell)
+        return best and best[1:]
+
+    def route(self, pts: np.ndarray, at_home: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, whether it's at home) of every leaf that a point must be in; of points without a home, of all that may hold a point within the radius."""
         out: list[tuple[np.ndarray, int, np.ndarray]] = []
-        stack = [(self.root, np.arange(len(pts)), np.ones(len(pts), bool))]
+        stack = [(self.root, np.arange(len(pts)), np.full(len(pts), at_home))]
         while stack:
             node, rows, home = stack.pop()
             if not len(rows):
@@ -243,12 +265,12 @@ class VantageTree:
             if not isinstance(node, tuple):
                 out.append((rows, node, home))
                 continue
-            v, shell, inner, outer = node
+            v, shell, beyond, inner, outer = node
             d = distances(pts[rows], v)
             near = d <= shell
             # a pair that the shell parts is met where its outer point is at home
             go_in = near | (~home & (d <= shell + self.radius))
-            go_out = ~near | (d > shell - self.radius)
+            go_out = ~near | (d >= beyond - self.radius)
             stack.append((inner, rows[go_in], home[go_in] & near[go_in]))
             stack.append((outer, rows[go_out], home[go_out] & ~near[go_out]))
         if not out:
@@ -256,6 +278,38 @@ class VantageTree:
         return (np.concatenate([r for r, _, _ in out]), np.concatenate([np.full(len(r), k) for r, k, _ in out]), np.concatenate([h for _, _, h in out]))
 
 
+class WideTree(VantageTree):
+    """Tree over rows of two words for a radius beyond most distances: its shells spare most pairs.
+
+    Where none spares enough a node is a leaf.  A tree that ``deals`` knows a sample only, and halves such a node,
+    so that leaves stay bounded; another knows all its points, and so how far they are inside and outside a shell.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, leaf: int, radius: int, deals: bool):
+        self.deals = deals
+        super().__init__(sample, total, leaf, radius)
+        del self.rng
+
+    def _shell(self, pts: np.ndarray):
+        best, middle = None, None
+        for v in self._vantage(pts):
+            d = distances(pts, v)
+            within = np.cumsum(np.bincount(d, minlength=129)) / len(pts)
+            # inner points further than the radius from the shell don't meet the points outside
+            spared = np.concatenate([np.zeros(self.radius), within[: -self.radius]]) * (1 - within)
+            shell = int(spared.argmax())
+            if spared[shell] * len(pts) >= SPARED and (best is None or spared[shell] > best[0]):
+                best = (spared[shell], v, shell, d)
+            half = min(int(np.searchsorted(within, 0.5)), int(d.max()) - 1)
+            if self.deals and (middle is None or abs(within[half] - 0.5) < middle[0]):
+                middle = (abs(within[half] - 0.5), v, half, d)
+        if best is None and middle is None:
+            return None
+        _, v, shell, d = best or middle
+        inner = d <= shell
+        return (v, shell, shell + 1, inner) if self.deals else (v, d[inner].max(), d[~inner].min(), inner)
+
+
 class Forest:
     """Groups of things by number, and the edges that made them: a spanning forest, whatever the number of links."""
 
@@ -331,108 +385,199 @@ class HomePoints:
         yield first[linked], None, linked
 
 
-def near_duplicate_links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """``points(fp, node)``, one row per fingerprint, to a spanning set ``a, b`` of the links within ``radius``."""
-    total = points.count()
-    size = min(MAX_SAMPLE, max(SAMPLE, PER_LEAF * total // leaf))
-    taken = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, size / max(1, total)) * (1 << 30)))
-    sample = taken.toArrow()["fp"].to_numpy().view(U64)
-    tree = VantageTree(sample, total, leaf, radius)
+class VantagePoints(HomePoints):
+    """Home points of two words, looked up by a vantage-point tree over them."""
+
+    def __init__(self, fp: np.ndarray, radius: int):
+        self.fp, self.radius, self.forest = fp, radius, Forest(len(fp))
+        self.tree, self.held = None, [np.arange(len(fp))]
+        if len(fp) > POCKET_LEAF:
+            self.tree = WideTree(fp, len(fp), POCKET_LEAF, radius, deals=False)
+            row, leaf, home = self.tree.route(fp)
+            self.held = [row[home & (leaf == k)] for k in range(self.tree.leaves)]
+
+    def links(self, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.tree is None:
+            yield from self._compared(self.held[0], np.arange(len(fp)), fp)
+            return
+        row, leaf, _ = self.tree.route(fp, at_home=False)
+        for k, held in enumerate(self.held):
+            yield from self._compared(held, row[leaf == k], fp)
+
+    def _compared(self, home: np.ndarray, visitor: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, PAIRS // max(1, len(home)))
+        for lo in range(0, len(visitor), step):
+            part = visitor[lo : lo + step]
+            d = np.bitwise_count(self.fp[home, None, 0] ^ fp[None, part, 0])
+            d += np.bitwise_count(self.fp[home, None, 1] ^ fp[None, part, 1])
+            x, y = np.nonzero(d <= self.radius)
+            yield home[x], part[y]
+
+
+def leaf_tasks(tree: VantageTree, fp: np.ndarray, key: np.ndarray, tasks: np.ndarray, first_task: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, task, whether it's at home): visitors go to one of a leaf's ``tasks`` by ``key``, home points to all of them."""
+    row, leaf, home = tree.route(fp)
+    many = np.where(home, tasks[leaf], 1)
+    copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    row, leaf, home = np.repeat(row, many), np.repeat(leaf, many), np.repeat(home, many)
+    own = np.where(home, copy, (_mixed(key[row], 0x9FB21C651E98DF25) % tasks[leaf].astype(U64)).astype(np.int64))
+    return row, first_task[leaf] + own, home
+
+
+def visitor_tasks(tree: VantageTree, sample: np.ndarray, total: int) -> np.ndarray:
+    """Number of tasks of each leaf, by the visitors that a sample of the points lets expect."""
     expected = np.zeros(max(1, tree.leaves))
     for lo in range(0, len(sample), 1024):
-        _, shard, home = tree.route(sample[lo : lo + 1024])
-        expected += np.bincount(shard[~home], minlength=len(expected)) * (total / max(1, len(sample)))
-    tasks = np.maximum(1, np.ceil(expected / VISITORS)).astype(np.int64)
-    first_task = np.concatenate([[0], np.cumsum(tasks)])
+        _, leaf, home = tree.route(sample[lo : lo + 1024])
+        expected += np.bincount(leaf[~home], minlength=len(expected)) * (total / max(1, len(sample)))
+    return np.maximum(1, np.ceil(expected / VISITORS)).astype(np.int64)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, node = (batch.column(k).to_numpy() for k in range(2))
-            for lo in range(0, len(fp), 1024):
-                row, shard, home = tree.route(fp[lo : lo + 1024].view(U64))
-                row = row + lo
-                # visitors go to one of a leaf's tasks, home points to all of them
-                many = np.where(home, tasks[shard], 1)
-                copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                row, shard, home = np.repeat(row, many), np.repeat(shard, many), np.repeat(home, many)
-                own = np.where(home, copy, (_mixed(fp[row].view(U64), 0x9FB21C651E98DF25) % tasks[shard].astype(U64)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array((first_task[shard] + own).astype(np.int32)), pa.array(~home), pa.array(fp[row]), pa.array(node[row])], names=["shard", "visits", "fp", "node"])
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def leaf_links(batches: Iterator[pa.RecordBatch], words: int, hold: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, visits, node, radius, fingerprint words), by shard and home points first, to edges ``a, b``.
+
+    ``hold`` makes home points of fingerprints and a radius.
+    """
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         shard, parts, home, nodes = None, [], None, None
-        for batch in batches:  # by shard, home points first
+        for batch in batches:
             numbers, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (visits[1:] != visits[:-1])) + 1
-            fps, of = batch.column(2).to_numpy().view(U64), batch.column(3).to_numpy()
+            of, radii = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            fps = [batch.column(4 + k).to_numpy().view(U64) for k in range(words)]
+            fps = fps[0] if words == 1 else np.stack(fps, axis=1)
             for lo, hi in zip([0, *cuts], [*cuts, len(numbers)]):
-                if numbers[lo] != shard or not visits[lo]:
-                    if numbers[lo] != shard and parts:
+                if lo == hi:
+                    continue
+                if numbers[lo] != shard:
+                    if parts:
                         yield from closed(parts)
-                        parts = []
-                    if numbers[lo] != shard:
-                        shard, home = numbers[lo], None
-                    if not visits[lo]:
-                        parts.append((fps[lo:hi], of[lo:hi]))
-                        continue
+                    shard, home, parts = numbers[lo], None, []
+                if not visits[lo]:
+                    parts.append((fps[lo:hi], of[lo:hi], radii[lo]))
+                    continue
                 if home is None:
-                    nodes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
-                    home = HomePoints(np.concatenate([np.zeros(0, U64), *(f for f, _ in parts)]), radius)
+                    if not parts:  # nobody is at home
+                        continue
+                    home, nodes = held(parts)
                     yield from edges(home.joined(None), nodes, None)
                     parts = []
-                if len(nodes):
-                    yield from edges(home.joined(fps[lo:hi]), nodes, of[lo:hi])
+                yield from edges(home.joined(fps[lo:hi]), nodes, of[lo:hi])
         if parts:
             yield from closed(parts)
 
-    def closed(parts) -> Iterator[pa.RecordBatch]:
-        nodes = np.concatenate([n for _, n in parts])
-        yield from edges(HomePoints(np.concatenate([f for f, _ in parts]), radius).joined(None), nodes, None)
+    def held(parts):
+        return hold(np.concatenate([f for f, _, _ in parts]), int(parts[0][2])), np.concatenate([n for _, n, _ in parts])
 
-    def edges(found, nodes, visitors) -> Iterator[pa.RecordBatch]:
-        for x, y, v in found:
+    def closed(parts):
+        home, nodes = held(parts)
+        if len(nodes) > 1:
+            yield from edges(home.joined(None), nodes, None)
+
+    def edges(joined, nodes, visitors):
+        for x, y, v in joined:
             a, b = nodes[x], nodes[y] if y is not None else visitors[v]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield np.minimum(a, b), np.maximum(a, b)
+
+    some, many = [], 0
+    for pair in found():
+        some.append(pair)
+        many += len(pair[0])
+        if many >= EDGES:
+            yield edge_batch(some)
+            some, many = [], 0
+    if some:
+        yield edge_batch(some)
+
 
-    routed = points.select("fp", "node").mapInArrow(route, "shard int, visits boolean, fp bigint, node bigint")
+def edge_batch(some: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pair[k] for pair in some])) for k in range(2)], names=["a", "b"])
+
+
+def near_duplicate_links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """``points(fp, node)``, one row per fingerprint, to a spanning set ``a, b`` of the links within ``radius``."""
+    total = points.count()
+    size = min(MAX_SAMPLE, max(SAMPLE, PER_LEAF * total // leaf))
+    taken = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, size / max(1, total)) * (1 << 30)))
+    sample = taken.toArrow()["fp"].to_numpy().view(U64)
+    tree = VantageTree(sample, total, leaf, radius)
+    tasks = visitor_tasks(tree, sample, total)
+    first_task = np.concatenate([[0], np.cumsum(tasks)])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node = (batch.column(k).to_numpy() for k in range(2))
+            for lo in range(0, len(fp), 1024):
+                part = fp[lo : lo + 1024].view(U64)
+                row, task, home = leaf_tasks(tree, part, part, tasks, first_task)
+                row = row + lo
+                yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(~home), pa.array(node[row]), pa.array(np.full(len(row), radius, np.int32)), pa.array(fp[row])], names=["shard", "visits", "node", "radius", "fp"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return leaf_links(batches, 1, HomePoints)
+
+    routed = points.select("fp", "node").mapInArrow(route, "shard int, visits boolean, node bigint, radius int, fp bigint")
     parts = int(first_task[-1])
     return routed.repartition(min(parts, 20_000), "shard").sortWithinPartitions("shard", "visits").mapInArrow(links, "a bigint, b bigint")
 
 
 def wide_links(fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
     """A spanning forest, as rows (node, node), of the links of fingerprints of two words."""
-    forest, out = Forest(len(fp)), []
-    step = max(1, PAIRS // max(1, len(fp)))
-    for lo in range(0, len(fp), step):
-        d = np.bitwise_count(fp[lo : lo + step, None, 0] ^ fp[None, :, 0])
-        d += np.bitwise_count(fp[lo : lo + step, None, 1] ^ fp[None, :, 1])
-        x, y = np.nonzero(d <= radius)
-        out.append(np.stack(forest.join(x + lo, y), axis=1))
-    found = np.concatenate([np.zeros((0, 2), np.int64), *out])
-    return node[found]
-
-
-def shard_links(points: DataFrame, radius: int) -> DataFrame:
-    """``points(fp, fp2, node, bands)``, one row per fingerprint, to a spanning set ``a, b`` of the links inside shards."""
-    dealt = points.select("fp", "fp2", "node", F.explode("bands").alias("band"))
-    sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = materialize(dealt.join(sizes, "band"), "shards")
-    buckets = max(1, dealt.count() // (SHARD_BLOCK // 4))
-    dealt = dealt.withColumn("blocks", F.expr(f"cast(ceil(n / {SHARD_BLOCK}.0D) as bigint)")).withColumn("own", F.expr("pmod(xxhash64(node, 5), blocks)"))
-    single = dealt.where("blocks = 1").selectExpr("fp", "fp2", "node", "band", f"pmod(xxhash64(band), {buckets}L) as g", "-1L as p", "-1L as q")
-    # a large shard by pairs of its blocks, each a task
-    pairs = dealt.where("blocks > 1").selectExpr("*", "explode(sequence(0L, blocks - 1)) as x")
-    several = pairs.selectExpr("fp", "fp2", "node", "band", "band as g", "least(own, x) as p", "greatest(own, x) as q")
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("band", kind="stable")
-        band, node, fp = pdf["band"].to_numpy(), pdf["node"].to_numpy(), pdf[["fp", "fp2"]].to_numpy().view(U64)
-        cuts = np.flatnonzero(band[1:] != band[:-1]) + 1
-        found = [wide_links(fp[lo:hi], node[lo:hi], radius) for lo, hi in zip([0, *cuts], [*cuts, len(band)]) if hi - lo > 1]
-        both = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)})
-
-    return single.union(several).groupBy("g", "p", "q").applyInPandas(links, "a bigint, b bigint")
+    found = [np.stack([x, y], axis=1) for x, y, _ in VantagePoints(fp, radius).joined(None)]
+    return node[np.concatenate([np.zeros((0, 2), np.int64), *found])]
+
+
+def pocket_links(dealt: DataFrame) -> DataFrame:
+    """``dealt(pocket, radius, node, fp, fp2)`` to a spanning set ``a, b`` of the links within ``radius`` inside pockets, by vantage-point trees."""
+    block, key = SHARD_BLOCK, ["pocket", "radius"]
+    sizes = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = materialize(dealt.join(sizes, key).select("pocket", "radius", "n", "node", "fp", "fp2"), "pockets")
+    rows = dealt.count()
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, total, radius = pdf[["fp", "fp2"]].to_numpy().view(U64), int(pdf["n"].iloc[0]), int(pdf["radius"].iloc[0])
+        tree = WideTree(fp, total, block, radius, deals=True)
+        return pd.DataFrame({"pocket": pdf["pocket"].iloc[:1], "radius": radius, "tree": pickle.dumps((tree, visitor_tasks(tree, fp, total)))})
+
+    sampled = dealt.where(f"n > {block} and pmod(xxhash64(node, 5), {block}) < {PER_SHARD}")
+    grown = sampled.groupBy(*key).applyInPandas(grow, "pocket bigint, radius int, tree binary").collect()
+    trees = {(r["pocket"], r["radius"]): pickle.loads(r["tree"]) for r in grown}
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pocket, radius, n, node = (batch.column(k).to_numpy() for k in range(4))
+            fp = np.stack([batch.column(k).to_numpy().view(U64) for k in (4, 5)], axis=1)
+            with np.errstate(over="ignore"):
+                shard = _mixed(pocket.view(U64) + radius.astype(U64), 0x9FB21C651E98DF25)
+            whole = np.ones(len(node), bool)
+            for p, r in set(zip(pocket[n > block].tolist(), radius[n > block].tolist())):
+                if (p, r) not in trees:
+                    continue
+                tree, tasks = trees[p, r]
+                first_task = np.concatenate([[0], np.cumsum(tasks)])
+                own = np.flatnonzero((pocket == p) & (radius == r))
+                whole[own] = False
+                for lo in range(0, len(own), 1024):
+                    part = own[lo : lo + 1024]
+                    row, task, home = leaf_tasks(tree, fp[part], fp[part, 0] ^ fp[part, 1], tasks, first_task)
+                    with np.errstate(over="ignore"):
+                        numbers = _mixed(shard[part[row]] + task.astype(U64) + U64(1), 0xC2B2AE3D27D4EB4F)
+                    yield routed(numbers, ~home, part[row], node, radius, fp)
+            own = np.flatnonzero(whole)
+            yield routed(shard[own], np.zeros(len(own), bool), own, node, radius, fp)
+
+    def routed(shard, visits, row, node, radius, fp) -> pa.RecordBatch:
+        columns = [shard.view(np.int64), visits, node[row], radius[row], fp[row, 0].view(np.int64), fp[row, 1].view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "visits", "node", "radius", "fp", "fp2"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return leaf_links(batches, 2, VantagePoints)
+
+    parts = max(1, min(20_000, rows // (4 * block)), sum(int(t.sum()) for _, t in trees.values()))
+    shards = dealt.mapInArrow(route, "shard bigint, visits boolean, node bigint, radius int, fp bigint, fp2 bigint")
+    return shards.repartition(min(parts, 20_000), "shard").sortWithinPartitions("shard", "visits").mapInArrow(links, "a bigint, b bigint")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -450,10 +595,17 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
 def proposed_links(points: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """``points(fp, fp2, node, n, keys, bands)``, one row per shingle set, to links ``a, b`` whose components hold all pairs to compare."""
-    keyed = points.select(F.explode("keys").alias("k"), "node")
-    least = keyed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
-    common = keyed.join(least, "k").selectExpr("a", "node as b")
-    return shard_links(points, radius).union(common.where("a <> b"))
+    # all that is within RADIUS in the first word, by the tree over the whole table
+    words = materialize(points.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("sets")), "words")
+    equal = points.join(words.where("sets > 1").selectExpr("fp", "node as a"), "fp").selectExpr("a", "node as b").where("a <> b")
+    links = near_duplicate_links(words).union(equal)
+    # and what is within the wide radius; sets of one fingerprint are one point, in the pockets of all of them
+    several = points.groupBy("fp", "fp2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    named = points.join(several, ["fp", "fp2"], "left")
+    pockets = F.expr(f"explode(concat(transform(bands, x -> struct(x as pocket, {radius} as radius)), transform(keys, x -> struct(x as pocket, {FEW_RADIUS} as radius)))) as p")
+    dealt = named.select("first", F.coalesce("first", "node").alias("node"), "fp", "fp2", pockets).select("first", "p.pocket", "p.radius", "node", "fp", "fp2")
+    alone, shared = dealt.where("first is null").drop("first"), dealt.where("first is not null").drop("first").distinct()
+    return links.union(pocket_links(alone.union(shared)))
 
 
 def similar_links(sets: list[np.ndarray], node: np.ndarray) -> list[tuple[int, int]]:

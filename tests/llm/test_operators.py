@@ -303,6 +303,54 @@ def test_representatives_by_shingle_similarity(spark):
         simhash_vptree.BLOCK_ROWS = usual
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_proposals_by_vantage_trees(spark, monkeypatch, block):
+    """Links within 4 bits over the whole table, and within the wide radii inside pockets, that are dealt by trees where large; no others."""
+    rng = random.Random(21)
+    flip = lambda x, k, bits=128: x ^ sum(1 << b for b in rng.sample(range(bits), k))
+    points = []  # 128 bits, bands, keys
+
+    def add(x, bands=(), keys=()):
+        points.append((x, list(bands), list(keys)))
+        return x
+
+    for _ in range(30):  # no pocket in common: only the first word links, up to 4 bits
+        x = add(rng.getrandbits(128))
+        add(flip(x, 3, 64) ^ rng.getrandbits(64) << 64)
+        add(flip(x, 12, 64))
+    for k in range(40):  # groups in one large pocket, some bound to each other
+        x = add(rng.getrandbits(128), [1, 1000 + k])
+        for _ in range(9):
+            add(flip(x, rng.randrange(1, 36)), [1])
+    for k in range(40):  # few shingles: a common one, and up to 56 bits
+        x = add(rng.getrandbits(128), keys=[2])
+        add(flip(x, 45 + k // 2), keys=[2, 3])
+    for bands in ([4], [5]):  # sets of one fingerprint are in the pockets of all of them
+        add(12345 << 64 | 12345, bands)
+        add(flip(12345 << 64 | 12345, 25), bands)
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+    low = (1 << 64) - 1
+    rows = [(long(x & low), long(x >> 64), i, 9, keys, bands) for i, (x, bands, keys) in enumerate(points)]
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, (x, bands, keys) in enumerate(points):
+        for j, (y, other_bands, other_keys) in enumerate(points[:i]):
+            d = (x ^ y).bit_count()
+            near = ((x ^ y) & low).bit_count() <= 4 or (d <= 32 and set(bands) & set(other_bands)) or (d <= 56 and set(keys) & set(other_keys))
+            if near:
+                a, b = sorted((find(i), find(j)))
+                comp[b] = a
+    monkeypatch.setattr(simhash_vptree, "SHARD_BLOCK", block)
+    df = spark.createDataFrame(rows, "fp bigint, fp2 bigint, node bigint, n bigint, keys array<bigint>, bands array<bigint>").repartition(3)
+    got = {r.node: r.component for r in connected_components(simhash_vptree.proposed_links(df)).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == [find(i) for i in range(len(rows))]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]

@@ -11,7 +11,7 @@ from lithic.llm import suffix_dedup
 from lithic.llm.bytesio import KeyTable, runs, xxh64
 from lithic.llm.language_ppm import LanguageModel, gram_keys
 from lithic.llm.piece_encoding import MARK, PieceModel
-from lithic.llm.simhash_vptree import HomePoints, VantageTree, simhash_rows, wide_links
+from lithic.llm.simhash_vptree import HomePoints, VantagePoints, VantageTree, WideTree, simhash_rows, wide_links
 from lithic.llm.topk_bitsliced import BitSlicedIndex
 
 
@@ -105,6 +105,32 @@ def test_wide_links():
         assert groups(got) == groups(near) and len(got) == len(pts) - len(set(groups(near)))
 
 
+@pytest.mark.parametrize("radius", [12, 32])
+def test_wide_trees_miss_no_pair(radius):
+    rng = np.random.default_rng(9)
+    flips = lambda k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 2)).astype(np.uint64), axis=0)
+    centres = rng.integers(0, 1 << 63, (25, 2)).astype(np.uint64)
+    pts = np.unique(np.array([c ^ flips(int(rng.integers(1, 5))) for c in centres for _ in range(40)]), axis=0)
+    near = lambda a, b: np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2, dtype=int) <= radius
+    # a tree that knows all its points looks up others too, and spares most comparisons
+    held = VantagePoints(pts, radius)
+    others = np.concatenate([pts[::3] ^ np.uint64(5), rng.integers(0, 1 << 63, (50, 2)).astype(np.uint64)])
+    found = np.zeros((len(pts), len(others)), bool)
+    for x, y in held.links(others):
+        found[x, y] = True
+    assert (found == near(pts, others)).all()
+    row, leaf, _ = held.tree.route(pts, at_home=False)
+    assert sum(len(h) * (leaf == k).sum() for k, h in enumerate(held.held)) < 0.5 * len(pts) ** 2
+    # one that knows a sample brings each pair together where one of it is at home
+    tree = WideTree(pts[::4], len(pts), 64, radius, deals=True)
+    row, leaf, home = tree.route(pts)
+    assert np.bincount(row[home], minlength=len(pts)).tolist() == [1] * len(pts) and tree.leaves > 8
+    met = np.zeros((len(pts), len(pts)), bool)
+    for k in range(tree.leaves):
+        met[np.ix_(row[(leaf == k) & home], row[leaf == k])] = True
+    assert not (near(pts, pts) & ~(met | met.T)).any()
+
+
 def test_bit_sliced_index():
     rng = np.random.default_rng(5)
     v = rng.integers(-300, 300, (70, 6))
