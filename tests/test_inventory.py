@@ -47,7 +47,7 @@ def test_merge_of_keys_beyond_a_million(spark, tmp_path):
     spark.range(999_900, 1_000_100).unionByName(spark.range(0, 100)).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
     duck = duckdb.connect()
     duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
-    for name in ("m05_merge",):
+    for name in ("m05_merge", "m05_merge_arms"):
         got = sorted(tuple(r) for r in inventory.queries()[name](spark, str(tmp_path)).select("p_partkey", "p_size").collect())
         assert got == sorted(duck.execute(f"select p_partkey, p_size from ({ORACLES[name]})").fetchall())
         assert len({k for k, _ in got}) < len(got)
