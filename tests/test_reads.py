@@ -354,3 +354,23 @@ def test_values_that_are_not_finite(spark, tmp_path):
     t.live().createOrReplaceTempView("plain_n")
     for q in ("select min(x) a, max(x) b, count(x) c from {}", "select sum(x) a, avg(x) b from {}", "select min(x) a, sum(x) b from {} where k > 5", "select count(*) a, max(k) b from {} where x > 2.5", "select max(x) a from {} where x < 100"):
         assert repr(db.sql(q.format("n")).collect()) == repr(spark.sql(q.format("plain_n")).collect()), q
+
+
+def test_sketches_stand_apart_from_distinct_values(db, spark):
+    df = db.sql("SELECT approx_count_distinct(k, 0.01) AS a, COUNT(DISTINCT k) AS n FROM t")
+    steps = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "approx_count_distinct" in line and "Aggregate" in line]
+    assert steps and all("keys=[]" in line for line in steps)
+    db.table("t").insert(spark.sql("select cast(null as bigint) k, 1.5D x, cast(null as decimal(12,2)) d, cast(null as timestamp_ntz) ts, cast(null as string) s, cast(null as int) p"))
+    db.mutate("DELETE FROM t WHERE k % 4 = 0")
+    db.table("t").live().createOrReplaceTempView("plain_t")
+    for q in [
+        "SELECT ABS(approx_count_distinct(k, 0.01) - COUNT(DISTINCT k)) <= 0.05 * COUNT(DISTINCT k) AS near, SUM(k) + 1 AS s FROM {}",
+        "SELECT s, p + 1 AS q, approx_count_distinct(k) AS a, COUNT(DISTINCT k) AS n, COUNT(DISTINCT x) AS m, MAX(d) AS d FROM {} GROUP BY s, p",
+        "SELECT p, approx_count_distinct(k) FILTER (WHERE k > 10) AS a, COUNT(DISTINCT s) AS n FROM {} WHERE k > 20 GROUP BY p HAVING COUNT(DISTINCT s) > 1",
+        "SELECT SUM(n) AS n, SUM(a) AS a FROM (SELECT p, approx_count_distinct(k) AS a, COUNT(DISTINCT s) AS n FROM {} GROUP BY p) AS g",
+        "SELECT approx_count_distinct(k) AS a, COUNT(DISTINCT k) AS n FROM {} WHERE k > 1000",
+        "SELECT lower(s) AS l, approx_count_distinct(k) AS a, COUNT(DISTINCT k) AS n FROM {} GROUP BY lower(s)",
+    ]:
+        got, want = db.sql(q.format("t")), spark.sql(q.format("plain_t"))
+        assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
