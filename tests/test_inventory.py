@@ -51,3 +51,10 @@ def test_merge_of_keys_beyond_a_million(spark, tmp_path):
         got = sorted(tuple(r) for r in inventory.queries()[name](spark, str(tmp_path)).select("p_partkey", "p_size").collect())
         assert got == sorted(duck.execute(f"select p_partkey, p_size from ({ORACLES[name]})").fetchall())
         assert len({k for k, _ in got}) < len(got)
+
+
+def test_tables_are_stored_in_equal_shares(spark, tmp_path):
+    spark.range(0, 3_000_000, 1, 2).selectExpr("id as l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    fragments = inventory.common(spark, str(tmp_path), "lineitem").table("lineitem").manifest()["fragments"]
+    assert sum(f["rows"] for f in fragments) == 3_000_000
+    assert max(f["rows"] for f in fragments) <= 1.2 * 500_000
