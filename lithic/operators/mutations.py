@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..errors import MergeConflict, SchemaMismatch, Unsupported
 from ..plans.pruning import prune
-from ..sources.table import FLOATS, INTEGERS, ORDERED, ROW_ID, Table, decode, encode, stat_columns, unpack
+from ..sources.table import FLOATS, INTEGERS, ORDERED, ROW_ID, Table, by_file, decode, encode, unpack
 from .unique import check_inserted, extended
 
 #: Share of deleted rows from which a fragment's statistics are computed anew instead of taken back.
@@ -70,7 +70,7 @@ class Matched:
         """File name to row count and partials of the matched rows."""
         schema = self.table.schema(self.base)
         if self.held is None:
-            got = self.rows.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), *stat_columns(schema)).collect()
+            got = by_file(self.rows, schema, F.count(F.lit(1)).alias("rows"))
             return {r["__file"]: {"rows": r["rows"], "stats": unpack(r.asDict())} for r in got}
         out = {}
         for f in self.touched:
@@ -136,7 +136,7 @@ def _retracted(table: Table, base: dict, matched: Matched) -> tuple[list[dict],
     if again:
         trial = base | {"fragments": fragments, "deletes": [*base["deletes"], matched.path]}
         live = table.scan(trial, [f for f in fragments if f["id"] in set(again)], physical=True)
-        fresh = {r["__file"]: unpack(r.asDict()) for r in live.groupBy("__file").agg(*stat_columns(schema)).collect()}
+        fresh = {r["__file"]: unpack(r.asDict()) for r in by_file(live, schema)}
         fragments = [f | {"stats": fresh.get(f["path"].rsplit("/", 1)[-1], f["stats"])} if f["id"] in set(again) else f for f in fragments]
     return fragments, total
 

@@ -374,3 +374,15 @@ def test_sketches_stand_apart_from_distinct_values(db, spark):
         got, want = db.sql(q.format("t")), spark.sql(q.format("plain_t"))
         assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_statistics_of_files_need_no_sort(db, spark, monkeypatch):
+    plans, collect = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    db.table("t").insert(spark.sql(f"select {ROWS} from range(40, 3000)"))
+    db.mutate("DELETE FROM t WHERE k BETWEEN 100 AND 2600")
+    assert maintenance.check(db.table("t")) == []
+    aggregates = [p for p in plans if "__file" in p and "Aggregate(" in p and "min(s" in p]
+    assert len(aggregates) >= 4 and not any("SortAggregate" in p for p in aggregates)
+    stats = db.table("t").manifest()["fragments"][-1]["stats"]["s"]
+    assert (stats["lo"], stats["hi"]) == ("s'0", "s'6")
