@@ -58,3 +58,8 @@ def test_tables_are_stored_in_equal_shares(spark, tmp_path):
     fragments = inventory.common(spark, str(tmp_path), "lineitem").table("lineitem").manifest()["fragments"]
     assert sum(f["rows"] for f in fragments) == 3_000_000
     assert max(f["rows"] for f in fragments) <= 1.2 * 500_000
+
+
+def test_shares_grow_before_there_are_too_many_for_a_plain_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(inventory, "SHARE_ROWS", 10)
+    assert [inventory.shares(spark.range(n)) for n in (0, 30, 1_000, 2_000, 2_010, 8_000, 10_000)] == [4, 4, 100, 200, 200, 200, 250]
